@@ -99,3 +99,11 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (epochs + CASE WHEN start + size / 2.0::DOUBLE <= target - epochs * source_size AND start < target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM e
 """
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.kneser_ney import classify
+
+    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.selectExpr("doc_id", "lang", "_perplexity AS perplexity", "_threshold AS threshold", "_kept AS kept")
