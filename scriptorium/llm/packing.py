@@ -50,8 +50,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tok
         bpe = tokens.shared(tokens.ByteBpe, tokenizer_path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = bpe.ids(text) + tail
+            for doc_id, ids in zip(batch["doc_id"], bpe.ids(batch["text"].tolist()), strict=True):
+                ids += tail
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, k, start, length, zlib.crc32(part)) + ((np.frombuffer(part, dtype="<u4").astype("int64"),) if with_ids else ()))

@@ -107,3 +107,57 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.selectExpr("doc_id", "lang", "_perplexity AS perplexity", "_threshold AS threshold", "_kept AS kept")
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table through a store: four arrivals, a compaction, then every document as the current version has it."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm.sharding import ShardStore
+    from scriptorium.session import shared_dir
+
+    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    for folder in store.write_arrivals(table(spark, sf_dir, "documents"), 4):
+        store.append(folder)
+    version = store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read(version).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), F.lit(version).cast("long").alias("version"))
+
+
+ORACLES["op3_sharding"] = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, CAST(5 AS BIGINT) AS version FROM documents
+"""
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm.rp_forest import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.pq_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id
+"""

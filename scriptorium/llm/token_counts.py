@@ -29,7 +29,7 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, model_path: str | None = N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = tokens.shared(tokens.PieceCounter, model_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [counter.count(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counter.counts(batch["text"].tolist())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))

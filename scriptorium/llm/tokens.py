@@ -7,9 +7,11 @@ is encoded once per task; a text costs one dictionary lookup a word.
 
 from __future__ import annotations
 
+import operator
+import os
+import struct
 from collections import Counter
-
-import numpy as np
+from collections.abc import Iterator
 
 #: Entries a task keeps before it starts a new dictionary (memory bound).
 CACHE_ENTRIES = 1_500_000
@@ -21,8 +23,11 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Irregular(Exception):
-    """White space beside white space: the place is not a safe cut."""
+_SIGNS = frozenset(",.;:!?")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBpe:
@@ -36,32 +41,42 @@ class ByteBpe:
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self._tok = Tokenizer.from_file(path or default_path("byte_bpe_50k.json"))
         self._cache: dict[str, bytes] = {}
+        self._signs = {c: self._encode(c) for c in _SIGNS}
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self._tok.encode(text, add_special_tokens=False).ids)
 
-    def ids(self, text: str) -> bytes:
-        """The token ids of ``text`` as little-endian unsigned 32-bit numbers."""
-        first, *rest = text.split(" ")
-        if not rest:
-            return self._encode(text)
+    def _learn(self, words: set[str]) -> None:
+        """Encode new words, each behind a space, that are safe to cut at."""
         cache = self._cache
-        new = [w for w in set(rest) if w not in cache]
-        if new:
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                return self._encode(text)
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-                new = list(set(rest))
-                if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                    return self._encode(text)
-            encoded = self._tok.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
-            cache.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
-        if first and first[-1].isspace():
-            return self._encode(text)
-        return b"".join((self._encode(first), *map(cache.__getitem__, rest)))
+        # letters and one sign behind them are always two pre-tokens
+        ended = {w for w in words if w[-1:] in _SIGNS and w[:-1].isalpha()}
+        plain = words - ended
+        plain.update(w[:-1] for w in ended)
+        plain = [w for w in plain.difference(cache) if w and not (w[0].isspace() or w[-1].isspace())]
+        encoded = self._tok.encode_batch_fast([" " + w for w in plain], add_special_tokens=False)
+        cache.update(zip(plain, [_packed(e.ids) for e in encoded], strict=True))
+        cache.update((w, cache[w[:-1]] + self._signs[w[-1]]) for w in ended)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text, its token ids as little-endian unsigned 32-bit numbers."""
+        if len(self._cache) > CACHE_ENTRIES:
+            self._cache.clear()
+        words = [t.split(" ") for t in texts]
+        if new := set().union(*words).difference(self._cache):
+            self._learn(new)
+        get = self._cache.__getitem__
+        for text, (first, *rest) in zip(texts, words, strict=True):
+            try:
+                if not rest or (first and first[-1].isspace()):
+                    yield self._encode(text)
+                else:
+                    yield b"".join((self._encode(first), *map(get, rest)))
+            except KeyError:  # white space beside white space
+                yield self._encode(text)
 
 
 class PieceCounter:
@@ -84,24 +99,24 @@ class PieceCounter:
         self._cut = re.compile("(?<=[^ ]) ")
         self._cache: dict[str, int] = {}
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self._separable:
-            return len(self._sp.encode(text))
+    def _pre_tokens(self, text: str) -> Counter:
         if "▁" in text:
             text = text.replace("▁", " ")
-        regular = "  " not in text and text[0] != " "
-        freq = Counter(text.split(" ") if regular else self._cut.split(text))
-        trailing = freq.pop("", 0)  # a final space: a word mark by itself
+        regular = "  " not in text and text[:1] != " "
+        return Counter(text.split(" ") if regular else self._cut.split(text)) if text else Counter()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        if not self._separable:
+            return [len(self._sp.encode(t)) for t in texts]
         cache = self._cache
-        new = [w for w in freq if w not in cache]
-        if new:
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-                new = list(freq)
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
+        freqs = [self._pre_tokens(t) for t in texts]
+        if new := list(set().union(*freqs).difference(cache)):
             cache.update(zip(new, map(len, self._sp.encode(new, num_threads=1)), strict=True))
-        return trailing + sum(n * cache[w] for w, n in freq.items())
+        cache[""] = 1  # a final space: a word mark by itself
+        return [sum(map(operator.mul, f.values(), map(cache.__getitem__, f))) for f in freqs]
 
 
 _LOADED: dict[tuple[type, str | None], object] = {}
