@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +30,22 @@ def build_session(app: str = "scriptorium", cpus: int | str = "*", partitions: i
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: tasks import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scriptorium_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="scriptorium-"), "scriptorium.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(archive)
+    sc._scriptorium_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +61,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     recomputing the plan, and no expensive branch is evaluated twice.
     """
     spark = df.sparkSession
+    ship_code(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -66,4 +86,5 @@ def input_bytes(df: DataFrame) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch: document rows can be very long."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
