@@ -81,7 +81,7 @@ def drop_cut(df: DataFrame) -> None:
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan, used to choose partition counts."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size.toString()))
+    return int(str(size))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
