@@ -19,11 +19,11 @@ no row a key); a bucket sorts its keys and returns, for each key that several
 documents share, links to its smallest document, and the members where there are
 more than two.  The number of buckets follows the input's size.
 
-Verification.  Round one checks each document against the candidate with which it
-shares most keys.  Documents that those links connect need no further check with
+Verification.  Candidates whose sizes or parity bits (a set's shingles, XORed into
+one or two bits each) are too far apart are dropped.  Round one checks each document
+against the candidate with which it shares most keys.  Documents that those links connect need no further check with
 each other.  Round two checks what is left: the other candidate links, and within
-each shared key all pairs of different components.  Of these, only pairs whose bit
-sketches are within the Hamming bound are compared.  Copies are joined by their
+each shared key all pairs of different components within the Hamming bound.  Copies are joined by their
 sets' fingerprints; a task emits the keys of one of its copies only.
 
 Pairs are compared as sets of 64-bit shingle hashes of the whole texts.
@@ -50,8 +50,11 @@ from scriptorium.session import cut, input_bytes, small_batches
 SMALL = 32
 #: Input bytes (as stored) for each bucket of keys.
 BUCKET_BYTES = 2 << 20
+#: Ids of texts to compare that are broadcast rather than shuffled (16 MB of ids).
+BROADCAST_IDS = 2_000_000
 _FLUSH = 2_000_000  # keys a task holds before it writes them out
 _BLOCK = 2048  # members of one key that meet in a task
+_GROUP_ROWS = 20_000  # rows of small keys that share a task
 _U = np.uint64
 
 
@@ -206,7 +209,10 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts are similar."""
+    """The rows (a, b) of ``pairs`` whose texts are similar; only their texts are shuffled further than once."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard_ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = cut(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard_texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}  # the last batch's left sides: a hub's set is made once
@@ -230,44 +236,49 @@ def _near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [_possible(n, m) and hamming(s, t) <= _most(n, m) for n, m, s, t in zip(batch["n_a"], batch["n_b"], batch["s_a"], batch["s_b"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, ["a", "b", "n"]]
 
     side = lambda x: facts.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long, n long")
 
 
 def _members_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components within a key that the sketches do not rule out.
 
-    Rows: key, doc, component, n, sketch.  A key's members are dealt into blocks;
-    each two blocks of a key meet in a group of their own.
+    Rows: key, doc, component, n, sketch.  The members of a large key are dealt into
+    blocks; each two blocks meet in a task.  Small keys share a task.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        group = group.drop_duplicates("doc").sort_values("n").reset_index(drop=True)
+    def of_key(group: pd.DataFrame, same_block: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, block, comp, doc = (group[c].to_numpy(np.int64) for c in ("n", "own", "component", "doc"))
-        by_size: dict[int, np.ndarray] = {}
-        for size in {len(s) for s in group["sketch"]}:
-            by_size[size] = np.stack([_folded(np.frombuffer(s, np.uint8), min(size, len(s))) if len(s) >= size else np.zeros(size, np.uint8) for s in group["sketch"]])
-        width = np.array([len(s) for s in group["sketch"]])
-        out = []
-        for x in range(len(group)):  # partners y > x are not smaller, so x's width is the smaller one
-            stop = np.searchsorted(n, 4 * n[x] // 3, side="right")
-            y = np.arange(x + 1, stop)
-            y = y[(comp[y] != comp[x]) & (block[y] != block[x] if i != j else True)]
+        sketches = [np.frombuffer(s, np.uint8) for s in group["sketch"]]
+        width = np.array([len(s) for s in sketches])
+        tables = {w: np.stack([_folded(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in sketches]) for w in set(width.tolist())}
+        for x in range(len(group) - 1):  # partners y > x are not smaller, so x's width is the smaller one
+            y = np.arange(x + 1, np.searchsorted(n, 4 * n[x] // 3, side="right"))
+            y = y[comp[y] != comp[x]]
+            if not same_block:
+                y = y[block[y] != block[x]]
             if len(y):
-                table = by_size[width[x]]
-                far = np.bitwise_count(table[y] ^ table[x]).sum(axis=1)
-                y = y[far <= (n[x] + n[y]) // 7]
-                out.append(pd.DataFrame({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+                table = tables[width[x]]
+                y = y[np.bitwise_count(table[y] ^ table[x]).sum(axis=1) <= (n[x] + n[y]) // 7]
+                yield np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        same_block = rows["i"].iloc[0] == rows["j"].iloc[0]
+        rows = rows.drop_duplicates(["key", "doc"]).sort_values(["key", "n"])
+        cuts = np.flatnonzero(np.diff(rows["key"].to_numpy(), prepend=-1, append=-1))
+        found = [p for a, b in zip(cuts, cuts[1:]) for p in of_key(rows.iloc[a:b], same_block)]
+        if not found:
+            return pd.DataFrame({"a": [], "b": []})
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
 
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     dealt = dealt.withColumn("_m", F.explode(meets)).select("key", "doc", "component", "n", "sketch", "own", "_m.i", "_m.j")
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    groups = max(64, members.count() // _GROUP_ROWS)
+    return dealt.groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"), "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -290,12 +301,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = cut(texts.mapInPandas(pack, _PACKED).groupBy("bucket").applyInPandas(_bucket, _FOUND), "jaccard_found")
     facts = found.filter("what = 0").groupBy(F.col("a").alias("doc")).agg(F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     same = found.filter("what = 3").select("a", "b")
-    candidates = cut(found.filter("what = 1").groupBy("a", "b").agg(F.sum("n").alias("n")), "jaccard_candidates")
-    ids = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
-    held = cut(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "jaccard_texts")
-
+    candidates = found.filter("what = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    candidates = cut(_near(candidates, facts), "jaccard_candidates")
     best = candidates.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = cut(_verified(best, held).union(same), "jaccard_links")
+    links = cut(_verified(best, texts).union(same), "jaccard_links")
     joined = cut(components(links), "jaccard_components")
 
     of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
@@ -305,8 +314,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = cut(members.select("key", "doc", F.coalesce("component", "doc").alias("component")), "jaccard_members")
     open_ = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     members = members.join(open_, "key", "left_semi").join(facts, "doc")
-    more = _near(rest, facts).union(_members_pairs(members)).distinct().join(best, ["a", "b"], "left_anti")
-    links = cut(_verified(more, held).union(joined.filter("node != component").select("component", "node")), "jaccard_links")
+    more = cut(rest.union(_members_pairs(members)).distinct().join(best, ["a", "b"], "left_anti"), "jaccard_more")
+    links = cut(_verified(more, texts).union(joined.filter("node != component").select("component", "node")), "jaccard_links")
 
     final = components(links)
     out = facts.select("doc", "n").join(final.withColumnRenamed("node", "doc"), "doc", "left")

@@ -35,7 +35,10 @@ from scriptorium.session import cut
 THRESHOLD = 0.93
 SUBSPACES = 8
 CODES = 64
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
+#: Numbers of coarse lists to choose from, and the cost of a probe in table lookups.
+LISTS = (1, 8, 32, 128, 512)
+ROW_COST = 250
 _SLIP = 1e-7  # for rounding in the bounds; pairs within it are computed exactly
 
 
@@ -56,9 +59,20 @@ class Index:
     edges: np.ndarray  # first dimension of each subspace, and the end
 
     @classmethod
-    def fit(cls, points: np.ndarray, n: int, seed: int = 11) -> "Index":
+    def fit(cls, points: np.ndarray, n: int, radius: float, seed: int = 11) -> "Index":
+        """``n``: vectors of the largest label.  Of several numbers of lists, takes the one whose probes cost least."""
         rng = np.random.default_rng(seed)
-        centres = _kmeans(points, int(np.clip(np.sqrt(n) / 2, 1, 512)), rng)
+        trial, best = points[rng.choice(len(points), min(len(points), 500), replace=False)], None
+        for k in LISTS:
+            if k > 1 and k > len(points) / 20:
+                break
+            index = cls(_kmeans(points, k, rng), [], np.zeros(0))
+            share = np.bincount(cls._nearest(points, index.centres), minlength=k) / len(points)
+            probes = index.probes(trial, radius)
+            cost = np.mean([len(p) * ROW_COST + share[p].sum() * n for p in probes])
+            if best is None or cost < best[0]:
+                best = cost, index.centres
+        centres = best[1]
         rest = points - centres[cls._nearest(points, centres)]
         edges = np.linspace(0, points.shape[1], min(SUBSPACES, points.shape[1]) + 1).astype(int)
         return cls(centres, [_kmeans(rest[:, a:b], CODES, rng) for a, b in zip(edges, edges[1:])], edges)
@@ -121,7 +135,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, sample_rows:
     good = good.filter(F.size("embedding") == points.shape[1])
     equal = ["label", "embedding"]
     reps = cut(good.dropDuplicates(["vec_id", *equal]).groupBy(*equal).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vector_reps")
-    index = spark.sparkContext.broadcast(Index.fit(points, reps.count()) if len(points) else None)
+    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
+    index = spark.sparkContext.broadcast(Index.fit(points, largest, radius) if len(points) else None)
     kind, vector, label = (rows.schema[c].dataType.simpleString() for c in ("vec_id", "embedding", "label"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(first[at])  # index of each word's first letter among the letters
     size = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at)) - np.repeat(begin, size)
-    powers = np.cumprod(np.concatenate(([1], np.full(int(size.max()) - 1, _STEP, dtype=np.uint64))).astype(np.uint64))
+    powers = np.full(int(size.max()), _STEP, dtype=np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
     return mix(np.add.reduceat(_BYTE[data[at]] * powers[place], begin) + size.astype(np.uint64)), bounds
 
 
