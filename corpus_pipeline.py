@@ -1,12 +1,71 @@
-"""Corpus cleaning as a chain of stages over ``documents``."""
+"""Corpus cleaning: five stages over ``documents``, from raw rows to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written
+as Parquet and read again as the next stage's docs.  All stages but the last return
+the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import kneser_ney, mixing, ngram_join, packing, substring_dedup
+from scriptorium.session import cut, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney model of the trusted ones accepts."""
+    judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("_kept").select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    copies = ngram_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = cut(copies, "near_copies")
+    copies = F.broadcast(copies) if copies.count() <= ngram_join.BROADCAST_IDS else copies
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated 200-byte strings; documents of which nothing remains go."""
+    made = substring_dedup.remove_repeats(docs, keep_columns=True)
+    left = made.filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    count = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return left.withColumn("text", text).withColumn("n_chars", count).select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("CAST(taken / size AS INT)")).alias("_times"))
+    mixed = cut(mixed, "mix_times")
+    mixed = F.broadcast(mixed) if mixed.count() <= ngram_join.BROADCAST_IDS else mixed
+    taken = docs.join(mixed, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return taken.select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("source mixing", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Shingle similarity, suffix arrays and tokenisers are beyond SQL: tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages, one after the other, over the whole ``documents`` table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs
