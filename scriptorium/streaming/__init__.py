@@ -1 +1 @@
-
+"""Structured Streaming plans: file sources, watermarks, deduplication, quarantine, state."""
