@@ -16,14 +16,14 @@ under ``SMALL`` shingles use each shingle as a part, in the order of the hashes.
 
 Candidates.  Tasks pack their keys by bucket of the key (six to twelve bytes a key,
 no row a key); a bucket sorts its keys and returns, for each key that several
-documents share, links to its smallest document, and the members where there are
-more than two.  The number of buckets follows the input's size.
+documents share, links to its smallest document, the leader; documents that share a
+key share its leader.  The number of buckets follows the input's size.
 
 Verification.  Candidates whose sizes or parity bits (a set's shingles, XORed into
 one or two bits each) are too far apart are dropped.  Round one checks each document
 against the candidate with which it shares most keys.  Documents that those links connect need no further check with
 each other.  Round two checks what is left: the other candidate links, and within
-each shared key all pairs of different components within the Hamming bound.  Copies are joined by their
+each leader's group all pairs of different components within the Hamming bound.  Copies are joined by their
 sets' fingerprints; a task emits the keys of one of its copies only.
 
 Pairs are compared as sets of 64-bit shingle hashes of the whole texts.
@@ -53,8 +53,8 @@ BUCKET_BYTES = 2 << 20
 #: Ids of texts to compare that are broadcast rather than shuffled (16 MB of ids).
 BROADCAST_IDS = 2_000_000
 _FLUSH = 2_000_000  # keys a task holds before it writes them out
-_BLOCK = 2048  # members of one key that meet in a task
-_GROUP_ROWS = 20_000  # rows of small keys that share a task
+_BLOCK = 1024  # members of one group that meet in a task
+_GROUP_ROWS = 5_000  # rows of small groups that share a task
 _U = np.uint64
 
 
@@ -168,7 +168,7 @@ class _Buffer:
 
 _PACKED = "bucket long, keys binary, base long, ids binary, doc long, n long, leader long, f long, g long, sketch binary"
 _PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
-#: what = 0: document a with n shingles; 1: candidates a < b sharing n keys; 2: document a is a member of key b; 3: a and b have equal sets
+#: what = 0: document a with n shingles; 1: a leads n keys that b has too; 2: a and b have equal sets
 _FOUND = "what int, a long, b long, n long, sketch binary"
 
 
@@ -183,11 +183,11 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
         doc, leader = (facts[c].to_numpy(dtype=np.int64) for c in ("doc", "leader"))
         out.append(_found(0, doc, doc, facts["n"].to_numpy(dtype=np.int64), facts["sketch"]))
         copies = doc != leader
-        out.append(_found(3, leader[copies], doc[copies]))
+        out.append(_found(2, leader[copies], doc[copies]))
         lead = facts[~copies & (facts["n"].to_numpy(dtype=np.int64) > 0)]
         least = lead.groupby(["n", "f", "g"])["doc"].transform("min").to_numpy(dtype=np.int64)
         own = lead["doc"].to_numpy(dtype=np.int64)
-        out.append(_found(3, least[least != own], own[least != own]))
+        out.append(_found(2, least[least != own], own[least != own]))
     if len(packed):
         wide = {2: np.uint16, 4: np.uint32, 8: np.int64}
         some_keys = [np.frombuffer(k, np.uint32) for k in packed["keys"]]
@@ -199,12 +199,9 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
         key, doc = key[fresh], doc[fresh]
         first = np.concatenate(([True], key[1:] != key[:-1]))
         run = np.cumsum(first) - 1
-        leader, size = doc[first][run], np.bincount(run)[run]
+        leader = doc[first][run]
         pair = pd.DataFrame({"a": leader[~first], "b": doc[~first]}).value_counts().reset_index(name="n")
         out.append(_found(1, pair["a"], pair["b"], pair["n"]))
-        many = size > 2
-        # members of one key share a number: bucket and key together
-        out.append(_found(2, doc[many], (key[many].astype(np.int64) << 24) + (int(rows["bucket"].iloc[0]) & 0xFFFFFF)))
     return pd.concat(out) if out else _found(0, np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -242,18 +239,20 @@ def _near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long, n long")
 
 
-def _members_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a key that the sketches do not rule out.
+def _group_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different components within a leader's group that the sketches do not rule out.
 
-    Rows: key, doc, component, n, sketch.  The members of a large key are dealt into
-    blocks; each two blocks meet in a task.  Small keys share a task.
+    Rows: leader, doc, component, n, sketch.  The members of a large group are dealt
+    into blocks; each two blocks meet in a task.  Small groups share a task.
     """
 
-    def of_key(group: pd.DataFrame, same_block: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_group(group: pd.DataFrame, same_block: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, block, comp, doc = (group[c].to_numpy(np.int64) for c in ("n", "own", "component", "doc"))
+        if len(group) < 2 or comp.min() == comp.max():
+            return
         sketches = [np.frombuffer(s, np.uint8) for s in group["sketch"]]
         width = np.array([len(s) for s in sketches])
-        tables = {w: np.stack([_folded(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in sketches]) for w in set(width.tolist())}
+        tables = {w: np.stack([_folded(s, w).view(np.uint64) if len(s) >= w else np.zeros(w // 8, np.uint64) for s in sketches]) for w in set(width.tolist())}
         for x in range(len(group) - 1):  # partners y > x are not smaller, so x's width is the smaller one
             y = np.arange(x + 1, np.searchsorted(n, 4 * n[x] // 3, side="right"))
             y = y[comp[y] != comp[x]]
@@ -266,19 +265,19 @@ def _members_pairs(members: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         same_block = rows["i"].iloc[0] == rows["j"].iloc[0]
-        rows = rows.drop_duplicates(["key", "doc"]).sort_values(["key", "n"])
-        cuts = np.flatnonzero(np.diff(rows["key"].to_numpy(), prepend=-1, append=-1))
-        found = [p for a, b in zip(cuts, cuts[1:]) for p in of_key(rows.iloc[a:b], same_block)]
+        rows = rows.sort_values(["leader", "n"])
+        cuts = np.flatnonzero(np.diff(rows["leader"].to_numpy(), prepend=np.iinfo(np.int64).min, append=np.iinfo(np.int64).max))
+        found = [p for a, b in zip(cuts, cuts[1:]) for p in of_group(rows.iloc[a:b], same_block)]
         if not found:
             return pd.DataFrame({"a": [], "b": []})
         return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
 
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    dealt = dealt.withColumn("_m", F.explode(meets)).select("key", "doc", "component", "n", "sketch", "own", "_m.i", "_m.j")
+    dealt = dealt.withColumn("_m", F.explode(meets)).select("leader", "doc", "component", "n", "sketch", "own", "_m.i", "_m.j")
     groups = max(64, members.count() // _GROUP_ROWS)
-    return dealt.groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"), "i", "j").applyInPandas(run, "a long, b long")
+    return dealt.groupBy(F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("group"), "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -300,9 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = cut(texts.mapInPandas(pack, _PACKED).groupBy("bucket").applyInPandas(_bucket, _FOUND), "jaccard_found")
     facts = found.filter("what = 0").groupBy(F.col("a").alias("doc")).agg(F.first("n").alias("n"), F.max("sketch").alias("sketch"))
-    same = found.filter("what = 3").select("a", "b")
-    candidates = found.filter("what = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    candidates = cut(_near(candidates, facts), "jaccard_candidates")
+    same = found.filter("what = 2").select("a", "b")
+    shared = cut(found.filter("what = 1").groupBy("a", "b").agg(F.sum("n").alias("n")), "jaccard_shared")
+    candidates = cut(_near(shared, facts), "jaccard_candidates")
     best = candidates.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     links = cut(_verified(best, texts).union(same), "jaccard_links")
     joined = cut(components(links), "jaccard_components")
@@ -310,11 +309,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     rest = candidates.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    members = found.filter("what = 2").select(F.col("a").alias("doc"), F.col("b").alias("key")).join(joined.withColumnRenamed("node", "doc"), "doc", "left")
-    members = cut(members.select("key", "doc", F.coalesce("component", "doc").alias("component")), "jaccard_members")
-    open_ = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = members.join(open_, "key", "left_semi").join(facts, "doc")
-    more = cut(rest.union(_members_pairs(members)).distinct().join(best, ["a", "b"], "left_anti"), "jaccard_more")
+    groups = shared.select(F.col("a").alias("leader"), F.col("b").alias("doc"))
+    groups = groups.union(groups.select("leader", "leader").distinct()).join(joined.withColumnRenamed("node", "doc"), "doc", "left")
+    groups = groups.select("leader", "doc", F.coalesce("component", "doc").alias("component"))
+    unsettled = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("size > 2 and low < high")
+    members = cut(groups.join(unsettled.select("leader"), "leader", "left_semi").join(facts, "doc"), "jaccard_members")
+    more = cut(rest.union(_group_pairs(members)).distinct().join(best, ["a", "b"], "left_anti"), "jaccard_more")
     links = cut(_verified(more, texts).union(joined.filter("node != component").select("component", "node")), "jaccard_links")
 
     final = components(links)
