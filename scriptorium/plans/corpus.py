@@ -1 +1,172 @@
-"""Queries."""
+"""Text work over ``documents`` and ``pages``: cleaning, hashing, quality, chunks, HTML."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.catalog import query
+from scriptorium.functions import text as X
+from scriptorium.operators.chunks import hierarchical, word_windows
+from scriptorium.operators.tables import first_by
+from scriptorium.session import ship_code, table
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '\b\d+ *$', '', 'g'), '(?i)^ *page +\d+ *$', '', 'g')) AS text FROM documents""")
+def clean_text_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", X.clean_basic(F.col("text")).alias("text"))
+
+
+def _preprocess_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    out = "text"
+    for p in X.REMOVED:
+        out = f"regexp_replace({out}, {quoted(p)}, '', 'g')"
+    for p, to in ((r"\t", "' '"), (r"\r\n?", "chr(10)"), (" +", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r" +\n", "chr(10)")):
+        out = f"regexp_replace({out}, {quoted(p)}, {to}, 'g')"
+    for old, new in X.REPLACED.items():
+        out = f"replace({out}, chr({ord(old)}), {quoted(new)})"
+    for p, to in ((r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""), (r"\.([A-Z])", r". \1"), (r"[.]{4,}", "..."), (r"[-]{3,}", "--")):
+        out = f"regexp_replace({out}, {quoted(p)}, {quoted(to)}, 'g')"
+    return f"SELECT doc_id, md5(trim({out})) AS text_md5 FROM documents"
+
+
+@query(_preprocess_sql())
+def preprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.preprocessed(F.col("text"))).alias("text_md5"))
+
+
+@query(r"""SELECT doc_id, hash FROM (SELECT doc_id, hash, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS k FROM (SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS hash FROM documents)) WHERE k = 1""")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First document of each content hash, by a grouped minimum."""
+    hashed = _docs(spark, sf_dir).select("doc_id", F.sha2(X.collapsed(F.col("text")), 256).alias("hash"))
+    return hashed.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "hash")
+
+
+@query("SELECT doc_id, md5(source || ':' || lang || ':' || doc_id) AS chunk_id, substr(md5(lower(trim(text))), 1, 12) AS short_id FROM documents")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(F.concat_ws(":", "source", "lang", F.col("doc_id").cast("string"))).alias("chunk_id"), F.substring(F.md5(F.lower(F.trim("text"))), 1, 12).alias("short_id"))
+
+
+_QUALITY = r"""CASE WHEN coalesce(length(text), 0) < 100 THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN length(text) < 1000 THEN 0.3 ELSE 0 END
+  - CASE WHEN len(regexp_extract_all(text, '[^\p{L}\p{N}_ \t\n\r.,;:!?()-]')) / length(text)::DOUBLE > 0.1 THEN 0.2 ELSE 0 END
+  - CASE WHEN contains(lower(text), 'the')::INT + contains(lower(text), 'and')::INT + contains(lower(text), 'of')::INT + contains(lower(text), 'to')::INT + contains(lower(text), 'in')::INT + contains(lower(text), 'a')::INT < 3 THEN 0.2 ELSE 0 END
+  - CASE WHEN len(regexp_extract_all(text, '[ \t\n\r]{3,}')) / greatest(length(text) // 100, 1)::DOUBLE > 5 THEN 0.1 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(text), 'abstract|introduction|methods|results|conclusion') THEN 0.1 ELSE 0 END)) END"""
+
+
+@query(f"SELECT doc_id, CAST(round({_QUALITY}, 3) AS DOUBLE) AS quality FROM documents")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.round(X.quality_score(F.col("text")), 3).alias("quality"))
+
+
+@query(f"SELECT l.quality AS label, count(*) AS n, round(avg(CAST({_QUALITY} AS DOUBLE)), 6) AS mean_score FROM documents JOIN labels l USING (doc_id) GROUP BY 1")
+def quality_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _docs(spark, sf_dir).select("doc_id", X.quality_score(F.col("text")).alias("score"))
+    return table(spark, sf_dir, "labels").join(scored, "doc_id").groupBy(F.col("quality").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query(r"""SELECT doc_id, CAST(nullif(regexp_extract(substr(text, 1, 2000), '\b(?:19|20)\d{2}\b'), '') AS INTEGER) AS year, regexp_matches(substr(text, 1, 3000), '[a-zA-Z0-9_.-]+@[a-zA-Z0-9_.-]+\.[a-zA-Z0-9_]+') AS has_email,
+  CAST(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS words, CAST(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) // 200 AS BIGINT) AS minutes, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents""")
+def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.nullif(F.regexp_extract(F.substring("text", 1, 2000), r"\b(?:19|20)\d{2}\b", 0), F.lit("")).cast("int")
+    words = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
+    mail = F.substring("text", 1, 3000).rlike(r"[a-zA-Z0-9_.-]+@[a-zA-Z0-9_.-]+\.[a-zA-Z0-9_]+")
+    return _docs(spark, sf_dir).select("doc_id", year.alias("year"), mail.alias("has_email"), words.alias("words"), F.floor(words / 200).alias("minutes"), X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN contains(substr(text, 1, 297), ' ') AND 297 - instr(reverse(substr(text, 1, 297)), ' ') > 240 THEN substr(text, 1, 297 - instr(reverse(substr(text, 1, 297)), ' ')) || '...' ELSE substr(text, 1, 297) || '...' END AS head FROM documents""")
+def truncated_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", X.truncated(F.col("text"), 300).alias("head"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\$\$[^$]+\$\$')) AS BIGINT) AS display, CAST(len(regexp_extract_all(text, '\$[^$\n]+\$')) AS BIGINT) AS inline, CAST(len(regexp_extract_all(text, '[∑∫√∂∞≤≥≠±×÷]+')) AS BIGINT) AS symbols, regexp_matches(text, '\\[a-zA-Z]+\{|\$') AS has_latex FROM documents""")
+def equation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return _docs(spark, sf_dir).select("doc_id", n(r"\$\$[^$]+\$\$").alias("display"), n(r"\$[^$\n]+\$").alias("inline"), n("[∑∫√∂∞≤≥≠±×÷]+").alias("symbols"), F.col("text").rlike(r"\\[a-zA-Z]+\{|\$").alias("has_latex"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS word FROM (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')[1:100] AS t FROM documents)),
+  i AS (SELECT doc_id, word, list(pos ORDER BY pos) AS positions FROM w GROUP BY 1, 2), x AS (SELECT doc_id, word, unnest(positions) AS pos FROM i)
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS abstract FROM x GROUP BY 1""")
+def inverted_abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word -> positions, then back to running text."""
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.slice(F.split(X.collapsed(F.col("text")), " "), 1, 100)).alias("pos", "word"))
+    inverted = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
+    back = inverted.select("doc_id", F.explode("positions").alias("pos"), "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    return back.select("doc_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("abstract"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') AS t FROM documents),
+  s AS (SELECT doc_id, t, unnest(range(0, greatest(len(t) - 50, 1), 150)) AS start FROM w)
+  SELECT doc_id, CAST(start // 150 AS BIGINT) AS chunk, CAST(start AS BIGINT) AS start, CAST(len(t[start + 1:start + 200]) AS BIGINT) AS n_words, md5(array_to_string(t[start + 1:start + 200], ' ')) AS chunk_md5 FROM s""")
+def word_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_windows(_docs(spark, sf_dir), 200, 50).select("doc_id", "chunk", "start", "n_words", F.md5("text").alias("chunk_md5"))
+
+
+@query(None)
+def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchical(_docs(spark, sf_dir))
+
+
+@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS BIGINT) AS links,
+  CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\s>]')) AS BIGINT) AS headings FROM pages""")
+def html_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), n(r"(?i)<a\s[^>]*href").alias("links"), n(r"(?i)<h[1-6][\s>]").alias("headings"))
+
+
+@query(r"""WITH h AS (SELECT page_id, lower(trim(regexp_replace(unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)), '<[^>]+>', '', 'g'))) AS name FROM pages)
+  SELECT CASE WHEN contains(name, 'abstract') OR contains(name, 'summary') THEN 'abstract' WHEN contains(name, 'introduction') OR contains(name, 'background') THEN 'introduction' WHEN contains(name, 'methods') OR contains(name, 'methodology') THEN 'methods'
+   WHEN contains(name, 'results') OR contains(name, 'findings') THEN 'results' WHEN contains(name, 'discussion') THEN 'discussion' WHEN contains(name, 'conclusion') THEN 'conclusion' WHEN contains(name, 'references') THEN 'references' END AS section, count(*) AS n FROM h GROUP BY 1""")
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))).alias("h"))
+    return heads.groupBy(X.section_name(F.regexp_replace("h", "<[^>]+>", "")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')) AS s FROM documents WHERE source = 'src1'),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM w a JOIN w b ON a.doc_id < b.doc_id)
+  SELECT a, b, round(i / (n - i)::DOUBLE, 6) AS jaccard FROM p WHERE i / (n - i)::DOUBLE > 0.3""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar documents of one source: pairs meet on shared words through an inverted index."""
+    sets = _docs(spark, sf_dir).filter("source = 'src1'").select("doc_id", X.word_set(F.col("text")).alias("s"))
+    posts = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("word"))
+    left, right = posts.toDF("a", "n", "word"), posts.toDF("b", "m", "word")
+    both = left.join(right, "word").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("i"))
+    j = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
+    return both.filter(j > 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT substr(md5(lower(trim(line))), 1, 12) AS fact_id, doc_id FROM l WHERE length(trim(line)) > 20)
+  SELECT fact_id, min(doc_id) AS doc_id, count(*) AS n FROM f GROUP BY 1""")
+def fact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length(F.trim("line")) > 20)
+    return lines.groupBy(F.substring(F.md5(F.lower(F.trim("line"))), 1, 12).alias("fact_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def offline_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in embedder: hashed word counts, one Arrow batch at a time."""
+    import zlib
+
+    import numpy as np
+
+    ship_code(spark)
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = np.zeros((len(batch), 64), dtype=np.float32)
+            for i, words in enumerate(batch.str.lower().str.split()):
+                for w in words:
+                    out[i, zlib.crc32(w.encode()) % 64] += 1
+            yield pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)))
+
+    return _docs(spark, sf_dir).select("doc_id", embed("text").alias("embedding"))
