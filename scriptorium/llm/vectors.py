@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +21,12 @@ def usable(vector: str) -> Column:
 
 
 def sample(rows: DataFrame, key: str, vector: str, n: int = SAMPLE_ROWS) -> np.ndarray:
-    """At most ``n`` unit vectors, chosen by a hash of the key."""
+    """At most ``n`` unit vectors, chosen by a hash of the key; of lengths, the most frequent one."""
     got = rows.select(key, vector).orderBy(F.xxhash64(F.col(key)), key).limit(n).select(vector).toArrow().column(0).to_pylist()
-    return unit(np.asarray(got, dtype=np.float64)) if got else np.zeros((0, 1))
+    if not got:
+        return np.zeros((0, 1))
+    (length, _), *_ = Counter(map(len, got)).most_common(1)
+    return unit(np.asarray([v for v in got if len(v) == length], dtype=np.float64))
 
 
 def stack(column: pd.Series) -> np.ndarray:
