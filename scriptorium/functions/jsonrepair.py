@@ -37,8 +37,7 @@ def repair(text: str | None) -> str:
             if open_:
                 open_.pop()
             ends.append((i + 1, "".join(reversed(open_))))
-    whole = body.rstrip().rstrip(",") + "".join(reversed(open_))
-    for candidate in [whole, re.sub(r",\s*([\]}])", r"\1", body), *(body[:i] + rest for i, rest in reversed(ends))]:
+    for candidate in [re.sub(r",\s*([\]}])", r"\1", body), *(body[:i] + rest for i, rest in reversed(ends))]:
         try:
             return json.dumps(json.loads(candidate))
         except ValueError:

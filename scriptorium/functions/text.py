@@ -78,7 +78,7 @@ def preprocessed(text: Column) -> Column:
         out = F.replace(out, F.lit(old), F.lit(new))
     for pattern, to in ((r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""), (r"\.([A-Z])", ". $1"), (r"[.]{4,}", "..."), (r"[-]{3,}", "--")):
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return F.btrim(out, F.lit(" \t\r\n"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -35,7 +35,7 @@ def _preprocess_sql() -> str:
         out = f"replace({out}, chr({ord(old)}), {quoted(new)})"
     for p, to in ((r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""), (r"\.([A-Z])", r". \1"), (r"[.]{4,}", "..."), (r"[-]{3,}", "--")):
         out = f"regexp_replace({out}, {quoted(p)}, {quoted(to)}, 'g')"
-    return f"SELECT doc_id, md5(trim({out})) AS text_md5 FROM documents"
+    return f"SELECT doc_id, md5(trim({out}, ' ' || chr(9) || chr(13) || chr(10))) AS text_md5 FROM documents"
 
 
 @query(_preprocess_sql())
