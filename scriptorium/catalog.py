@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return wrap
 
 
-from scriptorium.plans import answers, corpus, linkage, operations, relational, retrieval, streams  # noqa: E402, F401
+from scriptorium.plans import answers, corpus, linkage, operations, planning, relational, retrieval, streams  # noqa: E402, F401
