@@ -36,7 +36,9 @@ def test_chat_round_trip(spark):
 def test_mix(docs, no_docs):
     p = mixing.mix(docs).toPandas()
     assert len(p) == docs.count() and (p.taken <= 2 * p["size"]).all() and (p.taken % p["size"].clip(lower=1) == 0).all()
-    assert mixing.mix(docs).toPandas().sort_values(["doc_id", "taken"]).equals(mixing.mix(docs).toPandas().sort_values(["doc_id", "taken"])) or True
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    order = lambda x: x.sort_values(["doc_id", "size", "taken"]).reset_index(drop=True)[["doc_id", "size", "taken"]]
+    assert order(p).equals(order(again))
     by = p.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), most=("size", "max"), taken=("taken", "sum"))
     assert ((by.taken - by.target).abs() <= by.most / 2 + 1e-6).all()
     assert abs(by.target.sum() - min(1.5 * by["size"].sum(), 2 * by["size"].sum())) < 1e-3
@@ -67,16 +69,16 @@ def test_shards(spark, docs, tmp_path):
     assert store.compact() == after  # nothing is due
 
 
-def test_quality_classifier(spark, sf):
+def test_quality_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    seen = kneser_ney.classify(docs, labels)
-    p = seen.toPandas().merge(labels.toPandas(), on="doc_id")
-    good = p[(p.quality == 1) & (p.toxic == 0)]
-    assert good._kept.mean() > 0.95 and p[p.quality == 0]._kept.mean() < 0.4
+    p = kneser_ney.classify(docs, labels.filter("doc_id % 2 = 0")).toPandas().merge(labels.filter("doc_id % 2 = 1").toPandas(), on="doc_id")
+    good, bad = p[(p.quality == 1) & (p.toxic == 0)], p[p.quality == 0]
+    assert good._kept.mean() > 0.9 and bad._kept.mean() < 0.3, (good._kept.mean(), bad._kept.mean())
 
 
 def test_scores_both_ways_and_probabilities(spark, docs, no_docs):
-    model = kneser_ney.fit(docs.select("doc_id", "lang", "text"))
+    model = kneser_ney.fit(kneser_ney.count_grams(docs.withColumn("fold", F.lit(0))).selectExpr("gram", "n0 + n1 AS n"))
     a = {r.text: r._perplexity for r in kneser_ney._scored_by_lookup(docs, model).collect()}
     b = {r.text: r._perplexity for r in kneser_ney._scored_by_joins(docs, model).collect()}
     assert a.keys() == b.keys()
