@@ -11,8 +11,9 @@ whose whole strings agree are copies: their windows repeat, and one of them stan
 for the others in what follows (a task does this before it writes anything, a bucket
 for what tasks have left).  Where strings of one key differ, at the ends of a
 repeat, the strings are fetched and a suffix array of them finds the windows that
-repeat.  A key with more than ``GROUP_STRINGS`` strings is not gathered: its windows
-are grouped by their bytes, by Spark.
+repeat.  A key with more than ``GROUP_STRINGS`` strings is not gathered: its strings are
+cut into blocks of ``FINE`` windows, whose cores are longer, and settled alike; what
+then still shares a key so often is grouped by the bytes of its windows, by Spark.
 
 Matches never cross documents; all judgements are on the input texts.  Strings are
 compared by 64-bit hashes in the first two steps, by their bytes in the others.
@@ -39,7 +40,9 @@ from scriptorium.session import cut, input_bytes, small_batches
 WIDTH = 200
 BLOCK = 64
 GRAM = 8
+FINE = 8
 GROUP_STRINGS = 400
+TASK_STRINGS = 500  # strings of several keys that share a task
 BUCKET_BYTES = 2 << 20
 _CHUNK = 4 << 20  # bytes scanned at once
 _FLUSH = 1_500_000  # blocks a task holds before it writes them out
@@ -69,13 +72,13 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    """key, first window, windows, string hash of every block of a buffer.
+    """key, first window, windows, string hash and the anchor's offset in the string, of every block of a buffer.
 
     ``own`` numbers the document of each byte; windows that cross documents don't count.
     """
     n = len(data) - WIDTH + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     wide = data.astype(np.uint64)
     m = len(data) - GRAM + 1
     gram = np.zeros(m, dtype=np.uint64)
@@ -98,7 +101,7 @@ def blocks(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
     core_from = anchor[first] - place[at] * BLOCK
     key = mix(hashed(core_from, core_from + WIDTH - BLOCK + 1) + place[at].astype(np.uint64))
     string = hashed(first, first + count + WIDTH - 1) ^ mix((anchor[first] - first).astype(np.uint64))
-    return key, first, count, string
+    return key, first, count, string, back[at]
 
 
 def _buffers(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -141,14 +144,14 @@ def _copies(entries: np.ndarray) -> np.ndarray:
     return same
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("string", "<u8"), ("count", "u1"), ("many", "u1"), ("doc", "<i8"), ("start", "<u4")])
+_ENTRY = np.dtype([("key", "<u4"), ("string", "<u8"), ("count", "u1"), ("many", "u1"), ("back", "u1"), ("doc", "<i8"), ("start", "<u4")])
 #: what = 0: bytes start to stop of doc are covered; 1: the string start to stop of doc under key is to be compared;
 #: a packed row has a bucket and entries
-_ROW = "bucket long, entries binary, what int, doc long, start long, stop long, key long"
+_ROW = "bucket long, entries binary, what int, doc long, start long, stop long, key long, back int"
 
 
-def _rows(what: int, doc, start, stop, key=0) -> pd.DataFrame:
-    out = pd.DataFrame({"what": np.full(len(doc), what, np.int32), "doc": doc, "start": start, "stop": stop, "key": key})
+def _rows(what: int, doc, start, stop, key=0, back=0) -> pd.DataFrame:
+    out = pd.DataFrame({"what": np.full(len(doc), what, np.int32), "doc": doc, "start": start, "stop": stop, "key": key, "back": back})
     return out.assign(bucket=out["doc"] & 0xFFFF if what == 0 else -1, entries=None)
 
 
@@ -164,18 +167,18 @@ class _Scan:
             sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
             begins = np.cumsum(sizes) - sizes
             own = np.repeat(np.arange(len(pieces)), sizes)
-            key, first, count, string = blocks(data, own)
+            key, first, count, string, back = blocks(data, own)
             piece = own[first]
-            self.parts.append((key, string, count.astype(np.uint8), np.asarray(docs, np.int64)[piece], first - begins[piece] + np.asarray(offsets, np.int64)[piece]))
+            self.parts.append((key, string, count.astype(np.uint8), back.astype(np.uint8), np.asarray(docs, np.int64)[piece], first - begins[piece] + np.asarray(offsets, np.int64)[piece]))
             self.held += len(key)
 
     def rows(self) -> Iterator[pd.DataFrame]:
         if not self.parts:
             return
-        key, string, count, doc, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        key, string, count, back, doc, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.held = [], 0
         order = np.lexsort((count, string, key))
-        key, string, count, doc, start = key[order], string[order], count[order], doc[order], start[order]
+        key, string, count, back, doc, start = (x[order] for x in (key, string, count, back, doc, start))
         same = (key[1:] == key[:-1]) & (string[1:] == string[:-1]) & (count[1:] == count[:-1])
         head = np.concatenate(([True], ~same)) if len(key) else np.zeros(0, bool)
         many = np.zeros(len(key), dtype=bool)
@@ -185,12 +188,12 @@ class _Scan:
         bucket = (key[head] % _U(self.buckets)).astype(np.int64)
         entries = np.zeros(int(head.sum()), dtype=_ENTRY)
         entries["key"], entries["string"], entries["count"] = key[head] >> _U(32), string[head], count[head]
-        entries["many"], entries["doc"], entries["start"] = many[head], doc[head], start[head]
+        entries["many"], entries["back"], entries["doc"], entries["start"] = many[head], back[head], doc[head], start[head]
         order = np.argsort(bucket, kind="stable")
         bucket, entries = bucket[order], entries[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         packed = [(int(bucket[a]), entries[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-        yield pd.DataFrame(packed, columns=["bucket", "entries"]).assign(what=2, doc=-1, start=0, stop=0, key=0)
+        yield pd.DataFrame(packed, columns=["bucket", "entries"]).assign(what=2, doc=-1, start=0, stop=0, key=0, back=0)
 
 
 def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,8 +214,8 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     kinds = np.bincount(run[head], minlength=int(run.max()) + 1 if len(run) else 0)
     go = head & (kinds[run] > 1) if len(e) else head
     key = (e["key"].astype(np.int64) << 24) + (int(rows["bucket"].iloc[0]) & 0xFFFFFF)
-    ask = _rows(1, e["doc"][go].astype(np.int64), e["start"][go].astype(np.int64), stop[go], key[go])
-    return pd.concat([cover, ask])[["what", "doc", "start", "stop", "key"]]
+    ask = _rows(1, e["doc"][go].astype(np.int64), e["start"][go].astype(np.int64), stop[go], key[go], e["back"][go].astype(np.int32))
+    return pd.concat([cover, ask])[["what", "doc", "start", "stop", "key", "back"]]
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -226,6 +229,43 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("doc", "start", "stop"), _merged(doc, start, stop), strict=True)))
 
 
+def _by_size(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strings of keys with 2 to ``GROUP_STRINGS`` strings, and of larger keys."""
+    sizes = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return strings.join(sizes.filter(f"n between 2 and {GROUP_STRINGS}"), "key", "left_semi"), strings.join(sizes.filter(f"n > {GROUP_STRINGS}"), "key", "left_semi")
+
+
+def _by_suffix_arrays(strings: DataFrame) -> DataFrame:
+    tasks = max(64, strings.count() // TASK_STRINGS)
+    return strings.select("doc", "start", "key", "string").groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("group")).applyInPandas(_compare, "doc long, start long, stop long")
+
+
+def _finer(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strings cut into blocks of ``FINE`` windows, again by the anchor's offset, each keyed by its longer core.
+
+    Gives the spans of strings that occur more than once, and one string of each kind.
+    """
+    more = F.length("string") - WIDTH  # windows of a string, less one
+    block = F.explode(F.sequence(F.floor((F.col("back") - more) / FINE), F.floor(F.col("back") / FINE)).cast("array<int>")).alias("block")
+    far, near = F.least(F.col("back"), F.col("block") * FINE + FINE - 1), F.greatest(F.col("back") - more, F.col("block") * FINE)
+    part = F.substring("string", F.col("back") - far + 1, far - near + WIDTH)
+    core = F.substring("string", F.col("back") - F.col("block") * FINE + 1, F.lit(WIDTH - FINE + 1))
+    parts = strings.select("doc", "start", "back", "key", "string", block)
+    parts = cut(parts.select("doc", (F.col("start") + F.col("back") - far).alias("start"), F.xxhash64("key", "block", core).alias("key"), part.alias("string")), "repeat_parts")
+    kinds = parts.groupBy("key", "string").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("one"))
+    copies = parts.join(kinds.filter("n > 1").select("key", "string"), ["key", "string"], "left_semi").select("doc", "start", (F.col("start") + F.length("string")).alias("stop"))
+    return copies, kinds.select("one.doc", "one.start", F.lit(0).alias("back"), "key", "string")
+
+
+def _by_windows(strings: DataFrame) -> DataFrame:
+    """Every window of the strings, grouped by its bytes."""
+    starts = F.explode(F.sequence(F.lit(0), F.length("string") - WIDTH)).alias("at")
+    windows = strings.select("doc", "start", "string", starts)
+    windows = windows.select("doc", (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("string"), F.col("at") + 1, F.lit(WIDTH)).alias("window"))
+    counts = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    return windows.join(counts, "window", "left_semi").select("doc", "start", (F.col("start") + WIDTH).alias("stop"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, start, stop: bytes of documents (doc_id, text) that repeated windows cover; spans may overlap."""
     spark = docs.sparkSession
@@ -244,35 +284,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         packed = rows["what"] == 2
-        parts = [rows.loc[~packed, ["what", "doc", "start", "stop", "key"]]]
+        parts = [rows.loc[~packed, ["what", "doc", "start", "stop", "key", "back"]]]
         if packed.any():
             parts.append(_bucket(rows[packed]))
         return pd.concat(parts)
 
     scanned = texts.mapInPandas(scan, _ROW)
     scanned = scanned.withColumn("bucket", F.when(F.col("what") == 0, F.pmod(F.xxhash64("doc", "start"), F.lit(buckets))).otherwise(F.col("bucket")))
-    found = cut(scanned.groupBy("bucket").applyInPandas(settle, "what int, doc long, start long, stop long, key long"), "repeat_found")
+    found = cut(scanned.groupBy("bucket").applyInPandas(settle, "what int, doc long, start long, stop long, key long, back int"), "repeat_found")
     covered = found.filter("what = 0").select("doc", "start", "stop")
-    asked = found.filter("what = 1").select("doc", "start", "stop", "key")
+    asked = found.filter("what = 1").select("doc", "start", "stop", "key", "back")
 
     ids = cut(asked.select(F.col("doc").alias("doc_id")).distinct(), "repeat_ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
     sources = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc")
     piece = F.substring(F.col("text").cast("binary"), F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "key")).alias("asks"))
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "key", "back")).alias("asks"))
     strings = sources.join(by_doc, "doc").select("doc", "text", F.explode("asks").alias("a")).select("doc", "text", "a.*")
-    strings = cut(strings.select("doc", "start", "key", piece.alias("string")), "repeat_strings")
-    sizes = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    large = F.broadcast(sizes.filter(F.col("n") > GROUP_STRINGS).select("key")) if sizes.filter(F.col("n") > GROUP_STRINGS).count() <= BROADCAST_IDS else sizes.filter(F.col("n") > GROUP_STRINGS).select("key")
-    few = strings.join(large, "key", "left_anti")
-    tasks = max(64, few.count() // 2000)
-    small = few.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("group")).applyInPandas(_compare, "doc long, start long, stop long")
-    starts = F.explode(F.sequence(F.lit(0), F.length("string") - WIDTH)).alias("at")
-    windows = strings.join(large, "key", "left_semi").select("doc", "start", "string", starts)
-    windows = windows.select("doc", (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("string"), F.col("at") + 1, WIDTH).alias("window"))
-    counts = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    many = windows.join(counts, "window", "left_semi").select("doc", "start", (F.col("start") + WIDTH).alias("stop"))
-    direct = small.unionByName(many)
+    strings = cut(strings.select("doc", "start", "back", "key", piece.alias("string")), "repeat_strings")
+    few, large = _by_size(strings)
+    copies, kinds = _finer(large)
+    few_finer, still_large = _by_size(kinds)
+    direct = _by_suffix_arrays(few.unionByName(few_finer)).unionByName(copies).unionByName(_by_windows(still_large))
     return covered.unionByName(direct)
 
 
