@@ -43,6 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm import tokens
 from scriptorium.llm.shingles import mix, shingle_sets
 from scriptorium.operators.components import components
 from scriptorium.session import cut, input_bytes, small_batches
@@ -290,6 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = int(np.clip(input_bytes(docs) // BUCKET_BYTES, 64, 1 << 24))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens.release()
         buffer = _Buffer(buckets)
         for batch in batches:
             buffer.add(batch["doc_id"].tolist(), batch["text"].tolist())

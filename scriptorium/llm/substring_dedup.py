@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm import tokens
 from scriptorium.llm.shingles import mix
 from scriptorium.llm.suffix_array import repeated_starts
 from scriptorium.session import cut, input_bytes, small_batches
@@ -274,6 +275,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = int(np.clip(input_bytes(docs) // BUCKET_BYTES, 64, 1 << 24))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens.release()
         task = _Scan(buckets)
         for batch in batches:
             batch = batch[batch["text"].map(len) >= WIDTH // 4]

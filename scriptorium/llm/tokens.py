@@ -127,3 +127,8 @@ def shared(kind: type, path: str | None):
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
     return _LOADED[kind, path]
+
+
+def release() -> None:
+    """Free the tokenisers of this process: workers outlive a stage, and other stages need the memory."""
+    _LOADED.clear()
