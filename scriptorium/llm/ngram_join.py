@@ -53,7 +53,7 @@ SMALL = 32
 BUCKET_BYTES = 2 << 20
 #: Ids of texts to compare that are broadcast rather than shuffled (16 MB of ids).
 BROADCAST_IDS = 2_000_000
-_FLUSH = 2_000_000  # keys a task holds before it writes them out
+_FLUSH = 1_000_000  # keys a task holds before it writes them out
 _BLOCK = 1024  # members of one group that meet in a task
 _GROUP_ROWS = 5_000  # rows of small groups that share a task
 _U = np.uint64
