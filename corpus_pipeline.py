@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import kneser_ney, mixing, ngram_join, packing, substring_dedup
+from scriptorium.operators.tables import one_row_each
 from scriptorium.session import cut, table
 
 
@@ -21,11 +22,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id; of a document's rows, the one with the greatest text."""
     copies = ngram_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     copies = cut(copies, "near_copies")
     copies = F.broadcast(copies) if copies.count() <= ngram_join.BROADCAST_IDS else copies
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    rows, _ = one_row_each(docs, "doc_id", "text", ngram_join.BROADCAST_IDS)
+    return rows.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,10 @@ then still shares a key so often is grouped by the bytes of its windows, by Spar
 Matches never cross documents; all judgements are on the input texts.  Strings are
 compared by 64-bit hashes in the first two steps, by their bytes in the others.
 
-Defined results: a null text is empty; rows of one doc_id are one document, judged by
-the first text met, and come back once each; a null doc_id is left as it is; an empty
-table gives no rows; other columns are ignored.
+Defined results: a null text is empty; rows of one doc_id are one document, whose text
+is the greatest of theirs, and come back once each, those with another text as they
+are; a null doc_id is left as it is; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import tokens
 from scriptorium.llm.shingles import mix
 from scriptorium.llm.suffix_array import repeated_starts
+from scriptorium.operators.tables import one_row_each
 from scriptorium.session import cut, input_bytes, small_batches
 
 WIDTH = 200
@@ -267,11 +269,15 @@ def _by_windows(strings: DataFrame) -> DataFrame:
     return windows.join(counts, "window", "left_semi").select("doc", "start", (F.col("start") + WIDTH).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, start, stop: bytes of documents (doc_id, text) that repeated windows cover; spans may overlap."""
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc, start, stop: bytes of documents (doc_id, text) that repeated windows cover; spans may overlap.
+
+    Also gives the rows that documents of several rows were judged by, if there are such documents.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and octet_length(text) > 0")
+    texts, judged = one_row_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text", BROADCAST_IDS)
+    texts = texts.filter("doc_id is not null and octet_length(text) > 0")
     buckets = int(np.clip(input_bytes(docs) // BUCKET_BYTES, 64, 1 << 24))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,7 +305,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ids = cut(asked.select(F.col("doc").alias("doc_id")).distinct(), "repeat_ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    sources = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc")
+    sources = texts.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
     piece = F.substring(F.col("text").cast("binary"), F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
     by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "key", "back")).alias("asks"))
     strings = sources.join(by_doc, "doc").select("doc", "text", F.explode("asks").alias("a")).select("doc", "text", "a.*")
@@ -308,7 +314,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies, kinds = _finer(large)
     few_finer, still_large = _by_size(kinds)
     direct = _by_suffix_arrays(few.unionByName(few_finer)).unionByName(copies).unionByName(_by_windows(still_large))
-    return covered.unionByName(direct)
+    return covered.unionByName(direct), judged
 
 
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
@@ -320,11 +326,15 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
 
     kept_text is what remains, decoded (bytes of a character cut in two are dropped).
     """
-    spans = cut(repeated_spans(docs), "repeat_spans")
-    cuts = spans.groupBy("doc").agg(F.collect_list(F.struct(F.col("start"), F.col("stop"))).alias("_cuts"))
+    spans, judged = repeated_spans(docs)
+    cuts = cut(spans, "repeat_spans").groupBy("doc").agg(F.collect_list(F.struct(F.col("start"), F.col("stop"))).alias("_cuts"))
     text = F.coalesce("text", F.lit(""))
     base = docs if keep_columns else docs.select("doc_id", "text")
+    if judged is not None:
+        cuts = cuts.join(judged.select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("_of")), "doc", "left")
     joined = base.join(cuts, F.col("doc_id").cast("long") == F.col("doc"), "left").drop("doc")
+    if judged is not None:
+        joined = joined.withColumn("_cuts", F.when(F.col("_of").isNull() | (F.col("_of") == F.sha2("text", 256)), F.col("_cuts"))).drop("_of")
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept_text string")
     def cut_out(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next page behind a key: a filter that reaches the scan, then a top-n."""
@@ -33,6 +35,24 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
 
 
+def one_row_each(df: DataFrame, key: str, order: str, bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """One row for each key, the greatest by ``order`` and then the other columns, and the rows of null keys.
+
+    Also gives the rows chosen for keys of several rows, if there are any.  Only the keys are shuffled, and the rows
+    of such keys; up to ``bound`` of these keys are broadcast.
+    """
+    again = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    again = cut(again, "repeated_keys")
+    n = again.count()
+    if not n:
+        return df, None
+    again = F.broadcast(again) if n <= bound else again
+    rest = [c for c in df.columns if c not in (key, order)]
+    chosen = df.join(again, key, "left_semi").groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_row"))
+    chosen = cut(chosen.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns]), "repeated_rows")
+    return df.join(again, key, "left_anti").select(df.columns).unionByName(chosen), chosen
+
+
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, *order: Column) -> DataFrame:
     """The incoming rows that are new, one for each key."""
     return first_by(incoming.join(existing.select(key), key, "left_anti"), [key], *order)

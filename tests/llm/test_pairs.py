@@ -133,6 +133,17 @@ def test_repeats_on_table(spark, sf):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(df).collect()} == want
 
 
+def test_repeats_of_repeated_rows(spark, docs):
+    want = brute_repeats({r.doc_id: (r.text or "").encode() for r in docs.collect() if r.doc_id is not None})
+    twice = docs.union(docs)
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in substring_dedup.remove_repeats(twice).collect() if r.doc_id is not None]
+    assert len(got) == 2 * docs.filter("doc_id is not null").count() and all(x == want[i] for i, x in got)
+    assert want[9][1:3] == (0, 0)
+    one, two = " ".join(map(str, range(200))), "x " + " ".join(map(str, range(500, 700)))  # one document, two texts: the greater is judged
+    rows = substring_dedup.remove_repeats(spark.createDataFrame([(1, one), (1, two), (1, None), (2, two[2:])], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.kept_text) for r in rows) == [(1, ""), (1, one), (1, "x "), (2, "")]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)

@@ -19,3 +19,14 @@ def test_stages(spark, sf):
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == taken
     packed = stages["best-fit packing"](spark, mixed, sf)
     assert packed.filter("piece = 0").count() == mixed.count() and packed.agg({"length": "max"}).first()[0] <= packing.CAPACITY
+
+
+def test_stages_keep_a_document_delivered_twice(spark, sf, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.filter("doc_id in (9, 13)")  # 9 is there twice
+    one = stages["n-gram Jaccard join"](spark, rows, sf).cache()
+    assert sorted(r.doc_id for r in one.collect()) == [9, 13] and one.columns == docs.columns
+    text = docs.filter("doc_id = 9").first().text
+    for given in (one, rows):
+        left = stages["suffix-array dedup"](spark, given, sf).filter("doc_id = 9").collect()
+        assert [r.text for r in left] == [text] * given.filter("doc_id = 9").count()
