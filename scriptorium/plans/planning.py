@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,12 +157,26 @@ def merge_small_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_code(spark)
 
     def merge(plan: pd.DataFrame) -> pd.DataFrame:
-        sections = [[r.title, int(r.cited)] for r in plan.sort_values("turn").itertuples()]
-        while len(sections) > 4:
-            k = min(range(len(sections) - 1), key=lambda i: sections[i][1] + sections[i + 1][1])
-            a, b = sections[k : k + 2]
-            sections[k : k + 2] = [[f"{a[0]} & {b[0]}", a[1] + b[1]]]
-        return pd.DataFrame([(plan["conv_id"].iloc[0], i, t, n) for i, (t, n) in enumerate(sections)], columns=["conv_id", "section", "title", "cited"])
-
-    plans = table(spark, sf_dir, "conversations").filter("turn < 20").select("conv_id", "turn", F.concat(F.lit("S"), F.col("turn").cast("string")).alias("title"), (F.length("text") % 9).cast("long").alias("cited"))
+        plan = plan.sort_values("turn")
+        titles, cited = plan["title"].tolist(), plan["cited"].astype(int).tolist()
+        n = left = len(titles)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # neighbours of the section that begins at a place
+        alive = [True] * n
+        heap = [(cited[k] + cited[k + 1], k, k + 1) for k in range(n - 1)]
+        heapq.heapify(heap)
+        while left > 4:
+            total, a, b = heapq.heappop(heap)
+            if not alive[a] or not alive[b] or after[a] != b or cited[a] + cited[b] != total:
+                continue  # one of the two has been merged since
+            cited[a], alive[b], after[a] = total, False, after[b]
+            left -= 1
+            if after[a] < n:
+                before[after[a]] = a
+                heapq.heappush(heap, (total + cited[after[a]], a, after[a]))
+            if before[a] >= 0:
+                heapq.heappush(heap, (cited[before[a]] + total, before[a], a))
+        made = [(k, " & ".join(titles[k : after[k]]), cited[k]) for k in range(n) if alive[k]]
+        return pd.DataFrame([(plan["conv_id"].iloc[0], i, t, c) for i, (_, t, c) in enumerate(made)], columns=["conv_id", "section", "title", "cited"])
+
+    plans = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("S"), F.col("turn").cast("string")).alias("title"), (F.length("text") % 9).cast("long").alias("cited"))
     return plans.groupBy("conv_id").applyInPandas(merge, "conv_id long, section long, title string, cited long")
