@@ -10,6 +10,10 @@ The prefix sum is two-level: documents fall into key ranges, range totals are
 summed, and only the range in which the budget ends is ordered document by
 document.  A source with a third of all rows is therefore never gathered.
 
+A document's quality weight is a column of the table, if one is named; where it is null,
+or none is named, the closeness of its mean word length to six stands in for it.  A weight
+of zero or less comes last.
+
 Defined results: a null text has size 0 and takes 0; a null source is a source
 of its own, ordered last; documents of size 0 take 0; repeated rows count as
 separate documents; an empty table gives no rows; a run repeated on the same rows
@@ -34,13 +38,19 @@ def quality(size: Column, chars: Column) -> Column:
     return F.when(size > 0, 1 / (1 + F.abs(F.ln(chars / size / 6)))).otherwise(F.lit(1.0))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the sampling key of every document."""
+def row_key() -> Column:
+    """With doc_id it tells a document's rows apart."""
+    return F.xxhash64("source", "text")
+
+
+def sized(docs: DataFrame, weight: str | None = None) -> DataFrame:
+    """doc_id, row_key, source, size and the sampling key of every document; ``weight`` names its quality column."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.length(text).alias("chars"))
+    rows = docs.select("doc_id", "source", row_key().alias("row_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.length(text).alias("chars"), F.col(weight).cast("double").alias("weight") if weight else F.lit(None).alias("weight"))
     digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, _HEX)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**_HEX))
-    return rows.select("doc_id", "source", "size", (-F.ln(u) / quality(F.col("size"), F.col("chars"))).alias("key"))
+    given = F.when(F.col("weight") > 0, F.col("weight")).when(F.col("weight").isNotNull(), F.lit(1e-9)) if weight else F.lit(None)
+    return rows.select("doc_id", "row_key", "source", "size", (-F.ln(u) / F.coalesce(given, quality(F.col("size"), F.col("chars")))).alias("key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -63,9 +73,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.withColumn("common", common).select("source", "source_size", F.round(F.least("cap", F.coalesce(F.col("common") * F.col("weight"), F.col("cap"))), 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (with its source)."""
-    rows = cut(sized(docs).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES)), "sized")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, weight: str | None = None) -> DataFrame:
+    """doc_id, row_key, source, size, source_size, target, taken for every row of ``docs``; ``weight``: see :func:`sized`."""
+    rows = cut(sized(docs, weight).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES)), "sized")
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     plan = targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -83,4 +93,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     edge = edge.withColumn("start", F.col("passed") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("extra", F.col("start") + F.col("size") / 2.0 <= F.col("rest")).drop("start")
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("extra"), 1).otherwise(0))
-    return whole.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return whole.unionByName(edge).select("doc_id", "row_key", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

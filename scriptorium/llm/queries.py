@@ -63,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "row_key")
 
 
 ORACLES["op8_source_mixing"] = r"""
@@ -105,8 +105,7 @@ FROM e
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.kneser_ney import classify
 
-    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.selectExpr("doc_id", "lang", "_perplexity AS perplexity", "_threshold AS threshold", "_kept AS kept")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
 @query

@@ -322,19 +322,19 @@ BROADCAST_IDS = 2_000_000
 
 
 def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text for every row; with ``keep_columns`` the input's columns too.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text for every row; with ``keep_columns`` ``row``, the input's columns, in the place of doc_id.
 
     kept_text is what remains, decoded (bytes of a character cut in two are dropped).
     """
     spans, judged = repeated_spans(docs)
-    cuts = cut(spans, "repeat_spans").groupBy("doc").agg(F.collect_list(F.struct(F.col("start"), F.col("stop"))).alias("_cuts"))
-    text = F.coalesce("text", F.lit(""))
-    base = docs if keep_columns else docs.select("doc_id", "text")
+    cuts = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     if judged is not None:
-        cuts = cuts.join(judged.select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("_of")), "doc", "left")
-    joined = base.join(cuts, F.col("doc_id").cast("long") == F.col("doc"), "left").drop("doc")
+        cuts = cuts.join(judged.select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("of")), "doc", "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_columns else F.struct("doc_id")
+    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = base.join(cuts, F.col("id") == F.col("doc"), "left")
     if judged is not None:
-        joined = joined.withColumn("_cuts", F.when(F.col("_of").isNull() | (F.col("_of") == F.sha2("text", 256)), F.col("_cuts"))).drop("_of")
+        joined = joined.withColumn("cuts", F.when(F.col("of").isNull() | (F.col("of") == F.sha2("text", 256)), F.col("cuts")))
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept_text string")
     def cut_out(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
@@ -351,6 +351,5 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
             out.append((int((stop - start).sum()), len(start), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    made = joined.withColumn("_r", cut_out(text, F.col("_cuts"))).drop("_cuts")
-    extra = [F.octet_length(text).cast("long").alias("n_bytes"), "_r.n_removed", "_r.n_spans", "_r.kept_sha256", "_r.kept_text"]
-    return made.select(*[F.col(f"`{c}`") for c in (docs.columns if keep_columns else ["doc_id"])], *extra)
+    made = joined.select("row", F.octet_length("text").cast("long").alias("n_bytes"), cut_out("text", "cuts").alias("r"))
+    return made.select("row" if keep_columns else "row.doc_id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", "r.kept_text")

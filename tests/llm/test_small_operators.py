@@ -1,9 +1,8 @@
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, kneser_ney, mixing, queries, sharding, token_counts, tokens
+from scriptorium.llm import chat, mixing, queries, sharding, token_counts, tokens
 
 
 def test_token_counts(docs, no_docs):
@@ -46,6 +45,13 @@ def test_mix(docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mix_by_a_quality_column(spark):
+    rows = [(i, "a", "w " * 10, float(i < 50) if i % 10 else None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, good double")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs, share=0.4, weight="good").collect()}
+    assert sum(taken.values()) == 400 and all(not taken[i] for i in range(50, 100) if i % 10)
+
+
 def test_targets_reshare(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 1000), (None, 100), ("c", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(rows).collect()}
@@ -69,33 +75,6 @@ def test_shards(spark, docs, tmp_path):
     assert store.compact() == after  # nothing is due
 
 
-def test_quality_classifier_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    p = kneser_ney.classify(docs, labels.filter("doc_id % 2 = 0")).toPandas().merge(labels.filter("doc_id % 2 = 1").toPandas(), on="doc_id")
-    good, bad = p[(p.quality == 1) & (p.toxic == 0)], p[p.quality == 0]
-    assert good._kept.mean() > 0.9 and bad._kept.mean() < 0.3, (good._kept.mean(), bad._kept.mean())
-
-
-def test_scores_both_ways_and_probabilities(spark, docs, no_docs):
-    model = kneser_ney.fit(kneser_ney.count_grams(docs.withColumn("fold", F.lit(0))).selectExpr("gram", "n0 + n1 AS n"))
-    a = {r.text: r._perplexity for r in kneser_ney._scored_by_lookup(docs, model).collect()}
-    b = {r.text: r._perplexity for r in kneser_ney._scored_by_joins(docs, model).collect()}
-    assert a.keys() == b.keys()
-    for t in a:
-        assert (a[t] is None) == (b[t] is None) == (not t)
-        if t:
-            assert a[t] == pytest.approx(b[t], rel=1e-5)
-    # the probabilities of all bytes behind a context sum to one
-    m = model.toArrow()
-    scorer = kneser_ney.Scorer(*(m.column(c).to_numpy() for c in ("kind", "gram", "value")))
-    context = int.from_bytes(b"bab ", "big") << 8
-    assert 2.0 ** scorer.log2p(np.arange(256, dtype=np.int64) + context) @ np.ones(256) == pytest.approx(1, abs=1e-4)
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert kneser_ney.classify(no_docs, none).count() == 0
-    assert {r.doc_id for r in kneser_ney.classify(docs, none).filter("not _kept").collect()} == {5, 6}
-
-
 @pytest.mark.parametrize("name", ["op2_chat_formatting", "op3_sharding", "op5_embedding_dedup", "op8_source_mixing"])
 def test_oracles(spark, sf, name):
     if name == "op3_sharding":
