@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from scriptorium.session import cut
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next page behind a key: a filter that reaches the scan, then a top-n."""
     return df.filter(F.col(key) > after).orderBy(key).limit(size)
@@ -49,7 +57,7 @@ def one_row_each(df: DataFrame, key: str, order: str, bound: int) -> tuple[DataF
     again = F.broadcast(again) if n <= bound else again
     rest = [c for c in df.columns if c not in (key, order)]
     chosen = df.join(again, key, "left_semi").groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_row"))
-    chosen = cut(chosen.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns]), "repeated_rows")
+    chosen = cut(chosen.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns]), "repeated_rows")
     return df.join(again, key, "left_anti").select(df.columns).unionByName(chosen), chosen
 
 

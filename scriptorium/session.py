@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,8 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED).rstrip("/")
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; only a local master does without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or FALLBACK_SHARED).rstrip("/")
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
