@@ -11,12 +11,14 @@ whose whole strings agree are copies: their windows repeat, and one of them stan
 for the others in what follows (a task does this before it writes anything, a bucket
 for what tasks have left).  Where strings of one key differ, at the ends of a
 repeat, the strings are fetched and a suffix array of them finds the windows that
-repeat.  A key with more than ``GROUP_STRINGS`` strings is not gathered: its strings are
+repeat; the core that they share is one symbol in it.  A key with more than ``GROUP_STRINGS`` strings is not gathered: its strings are
 cut into blocks of ``FINE`` windows, whose cores are longer, and settled alike; what
 then still shares a key so often is grouped by the bytes of its windows, by Spark.
 
 Matches never cross documents; all judgements are on the input texts.  Strings are
-compared by 64-bit hashes in the first two steps, by their bytes in the others.
+compared by their bytes, but for whole blocks that agree: those are taken for copies when
+the hashes of string and core, 96 bits at least, the anchor's place and the number of
+windows agree (of n blocks, a wrong pair has a chance of n * n / 2**97).
 
 Defined results: a null text is empty; rows of one doc_id are one document, whose text
 is the greatest of theirs, and come back once each, those with another text as they
@@ -212,22 +214,29 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     copy[:-1] |= same
     stop = e["start"].astype(np.int64) + e["count"] + WIDTH - 1
     cover = _rows(0, *_merged(e["doc"][copy].astype(np.int64), e["start"][copy].astype(np.int64), stop[copy]))
-    # one string of each kind goes on, if its key has several kinds; kinds that are not covered yet can be
+    # one string of each kind goes on, if its key has several kinds, and one of them isn't covered yet
     head = np.concatenate(([True], ~same)) if len(e) else np.zeros(0, bool)
-    kinds = np.bincount(run[head], minlength=int(run.max()) + 1 if len(run) else 0)
-    go = head & (kinds[run] > 1) if len(e) else head
+    runs = int(run.max()) + 1 if len(run) else 0
+    kinds, single = np.bincount(run[head], minlength=runs), np.bincount(run[~copy & (e["many"] == 0)], minlength=runs)
+    go = head & (kinds[run] > 1) & (single[run] > 0) if len(e) else head
     key = (e["key"].astype(np.int64) << 24) + (int(rows["bucket"].iloc[0]) & 0xFFFFFF)
     ask = _rows(1, e["doc"][go].astype(np.int64), e["start"][go].astype(np.int64), stop[go], key[go], e["back"][go].astype(np.int32))
     return pd.concat([cover, ask])[["what", "doc", "start", "stop", "key", "back"]]
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
-    """Suffix arrays of the strings of a few keys."""
+    """Suffix arrays of the strings of a few keys; the core that a key's strings share is one symbol."""
     out = []
-    for _, own in group.groupby("key"):
-        for (doc, start), hits in zip(own[["doc", "start"]].itertuples(index=False), repeated_starts(own["string"].tolist(), WIDTH), strict=True):
-            at = np.asarray(hits, dtype=np.int64) + start
-            out.append((np.full(len(at), doc, np.int64), at, at + WIDTH))
+    for _, own in group.groupby(["key", "size"]):
+        size, by_core = int(own["size"].iloc[0]), {}
+        for doc, start, string, at in own[["doc", "start", "string", "core"]].itertuples(index=False, name=None):
+            by_core.setdefault(string[at : at + size], []).append((doc, start, string, at))  # keys are hashes
+        for rows in by_core.values():
+            if len(rows) > 1:
+                _, _, strings, cores = zip(*rows, strict=True)
+                for (doc, start, _, _), hits in zip(rows, repeated_starts(list(strings), WIDTH, list(cores), size), strict=True):
+                    at = np.asarray(hits, dtype=np.int64) + start
+                    out.append((np.full(len(at), doc, np.int64), at, at + WIDTH))
     doc, start, stop = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
     return pd.DataFrame(dict(zip(("doc", "start", "stop"), _merged(doc, start, stop), strict=True)))
 
@@ -239,8 +248,10 @@ def _by_size(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _by_suffix_arrays(strings: DataFrame) -> DataFrame:
-    tasks = max(64, strings.count() // TASK_STRINGS)
-    return strings.select("doc", "start", "key", "string").groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("group")).applyInPandas(_compare, "doc long, start long, stop long")
+    groups = max(64, strings.count() // TASK_STRINGS)
+    dealt = strings.select("doc", "start", "key", "core", "size", "string", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"))
+    # few bytes, much work: so many partitions, whatever their size
+    return dealt.repartition(min(groups, 2000), "group").groupBy("group").applyInPandas(_compare, "doc long, start long, stop long")
 
 
 def _finer(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,10 +265,10 @@ def _finer(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = F.substring("string", F.col("back") - far + 1, far - near + WIDTH)
     core = F.substring("string", F.col("back") - F.col("block") * FINE + 1, F.lit(WIDTH - FINE + 1))
     parts = strings.select("doc", "start", "back", "key", "string", block)
-    parts = cut(parts.select("doc", (F.col("start") + F.col("back") - far).alias("start"), F.xxhash64("key", "block", core).alias("key"), part.alias("string")), "repeat_parts")
-    kinds = parts.groupBy("key", "string").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("one"))
+    parts = cut(parts.select("doc", (F.col("start") + F.col("back") - far).alias("start"), F.xxhash64("key", "block", core).alias("key"), (far - F.col("block") * FINE).cast("int").alias("core"), part.alias("string")), "repeat_parts")
+    kinds = parts.groupBy("key", "string").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start", "core")).alias("one"))
     copies = parts.join(kinds.filter("n > 1").select("key", "string"), ["key", "string"], "left_semi").select("doc", "start", (F.col("start") + F.length("string")).alias("stop"))
-    return copies, kinds.select("one.doc", "one.start", F.lit(0).alias("back"), "key", "string")
+    return copies, kinds.select("one.doc", "one.start", "one.core", F.lit(WIDTH - FINE + 1).alias("size"), "key", "string")
 
 
 def _by_windows(strings: DataFrame) -> DataFrame:
@@ -306,14 +317,21 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     ids = cut(asked.select(F.col("doc").alias("doc_id")).distinct(), "repeat_ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
     sources = texts.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
-    piece = F.substring(F.col("text").cast("binary"), F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
     by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "key", "back")).alias("asks"))
-    strings = sources.join(by_doc, "doc").select("doc", "text", F.explode("asks").alias("a")).select("doc", "text", "a.*")
-    strings = cut(strings.select("doc", "start", "back", "key", piece.alias("string")), "repeat_strings")
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, text, asks in zip(batch["doc"], batch["text"], batch["asks"], strict=True):
+                raw = text.encode()
+                made = [(doc, a["start"], a["back"], a["key"], raw[a["start"] : a["stop"]]) for a in asks]
+                yield pd.DataFrame(made, columns=["doc", "start", "back", "key", "string"])
+
+    strings = sources.join(by_doc, "doc").select("doc", "text", "asks").mapInPandas(pieces, "doc long, start long, back int, key long, string binary")
+    strings = cut(strings.withColumns({"core": F.col("back") % BLOCK, "size": F.lit(WIDTH - BLOCK + 1)}), "repeat_strings")
     few, large = _by_size(strings)
     copies, kinds = _finer(large)
     few_finer, still_large = _by_size(kinds)
-    direct = _by_suffix_arrays(few.unionByName(few_finer)).unionByName(copies).unionByName(_by_windows(still_large))
+    direct = _by_suffix_arrays(few.drop("back").unionByName(few_finer)).unionByName(copies).unionByName(_by_windows(still_large))
     return covered.unionByName(direct), judged
 
 

@@ -81,24 +81,33 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated_starts(segments: list[bytes], width: int) -> list[list[int]]:
-    """For each segment, the starts of its ``width``-byte strings that start at another place too."""
+def repeated_starts(segments: list[bytes], width: int, cores: list[int] | None = None, core: int = 1) -> list[list[int]]:
+    """For each segment, the starts of its ``width``-byte strings that start at another place too.
+
+    With ``cores`` all segments hold the same ``core`` bytes, at these places, and so do all of their strings of that
+    width; the core is then one symbol of the text, which makes it shorter.
+    """
     text: list[int] = []
     owner, offset = [], []
-    for k, s in enumerate(segments):
-        text += [c + 2 for c in s]
+    if cores is None:
+        own = [[c + 2 for c in s] for s in segments]
+    else:
+        own = [[*(c + 2 for c in s[:at]), 258, *(c + 2 for c in s[at + core :])] for s, at in zip(segments, cores, strict=True)]
+        width -= core - 1
+    for k, s in enumerate(own):
+        text += s
         text.append(1)
         owner += [k] * (len(s) + 1)
         offset += range(len(s) + 1)
     text.append(0)
     out: list[list[int]] = [[] for _ in segments]
     before, marked = None, False
-    room = [len(s) - width for s in segments]
+    room = [len(s) - width for s in own]
     for i in suffix_array(text)[1:]:
         k, at = owner[i], offset[i]
         if at > room[k]:
             continue
-        window = segments[k][at : at + width]
+        window = own[k][at : at + width]
         if before is not None and window == before[2]:
             if not marked:
                 out[before[0]].append(before[1])
