@@ -3,12 +3,13 @@
 A conversation's turns are collected as structs, sorted, merged where adjacent
 turns have the same role, and joined to one string:
 
-    <|role|>\\ntext<|next|>text<|end|>\\n<|role|>\\ntext<|end|>\\n
+    <|role:user|>\\ntext<|next|>\\ntext<|end|>\\n<|role:assistant|>\\ntext<|end|>\\n
 
 ``<|next|>`` keeps apart the texts of a merged block, so reading back gives the
 rows that went in.  Texts cannot form a marker: the escape sign is written as
 sign + e, then ``<|`` and ``|>`` get the sign in their middle; a bar in a role is
-written as sign + p.  ``mask`` lists the runs of characters of the string in order,
+written as sign + p.  Every marker ends in one line break, so a text may begin with others,
+and a role cannot be taken for another marker.  ``mask`` lists the runs of characters of the string in order,
 each with whether the loss counts them: the assistants' texts, nothing else.
 
 A conversation is one row of the result, so its turns meet in one task, as any
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGN = "␛"
-NEXT, END = "<|next|>", "<|end|>\n"
+ROLE, OPEN, NEXT, END = "<|role:", "|>\n", "<|next|>\n", "<|end|>\n"
 LOSS_ROLE = "assistant"
 
 
@@ -48,24 +49,33 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(role, F.lit(SIGN + "p"), F.lit("|")), F.lit(SIGN + "e"), F.lit(SIGN))
 
 
-def _blocks(turns: Column) -> Column:
-    """Adjacent turns of one role as array<struct<role, texts>>."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(turns)), lambda i: (i == 1) | (F.element_at(turns, i)["role"] != F.element_at(turns, F.greatest(i - 1, F.lit(1)))["role"]))
+def _blocks(turns: str, starts: str) -> Column:
+    """Adjacent turns of one role as array<struct<role, texts>>; ``starts``: places of their first turns.
+
+    Both are columns, so that the places are found once and not again for each block.
+    """
 
     def block(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.try_element_at(starts, k + 2), F.size(turns) + 1)
+        end = F.coalesce(F.try_element_at(F.col(starts), k + 2), F.size(turns) + 1)
         run = F.slice(turns, start, end - start)
-        return F.struct(F.element_at(turns, start)["role"].alias("role"), F.transform(run, lambda t: t["text"]).alias("texts"))
+        return F.struct(F.element_at(F.col(turns), start)["role"].alias("role"), F.transform(run, lambda t: t["text"]).alias("texts"))
 
     return F.transform(starts, block)
 
 
+def _starts(turns: str) -> Column:
+    """The places, from 1, of turns whose role isn't the one before."""
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(turns, lambda t: t["role"]))
+    fresh = F.zip_with(F.transform(turns, lambda t, i: F.struct((i + 1).alias("at"), t["role"].alias("role"))), F.slice(before, 1, F.size(turns)), lambda t, b: F.struct(t["at"].alias("at"), (~t["role"].eqNullSafe(b)).alias("new")))
+    return F.transform(F.filter(fresh, lambda x: x["new"]), lambda x: x["at"])
+
+
 def _runs(block: Column) -> Column:
     """The mask of one block: marker, text, separator, text, ..., marker."""
     loss = block["role"] == LOSS_ROLE
     run = lambda n, on: F.struct(n.cast("long").alias("chars"), on.alias("loss"))
     no = F.lit(False)
-    head = F.array(run(F.length(escape_role(block["role"])) + 5, no))  # <| |> and a line end
+    head = F.array(run(F.length(escape_role(block["role"])) + len(ROLE + OPEN), no))
     texts = F.flatten(F.transform(block["texts"], lambda t, k: F.array(run(F.when(k == 0, 0).otherwise(len(NEXT)), no), run(F.length(escape(t)), loss))))
     return F.filter(F.concat(head, texts, F.array(run(F.lit(len(END)), no))), lambda r: r["chars"] > 0)
 
@@ -74,30 +84,31 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, mask from rows (conv_id, turn, role, text)."""
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
     turns = conversations.select("conv_id", F.struct("turn", role, text).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    blocks = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _blocks(F.col("turns")).alias("blocks"))
-    write = lambda b: F.concat(F.lit("<|"), escape_role(b["role"]), F.lit("|>\n"), F.array_join(F.transform(b["texts"], escape), NEXT), F.lit(END))
+    placed = turns.select("conv_id", "turns", _starts("turns").alias("starts"))
+    blocks = placed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _blocks("turns", "starts").alias("blocks"))
+    write = lambda b: F.concat(F.lit(ROLE), escape_role(b["role"]), F.lit(OPEN), F.array_join(F.transform(b["texts"], escape), NEXT), F.lit(END))
     return blocks.select("conv_id", "n_turns", F.array_join(F.transform("blocks", write), "").alias("formatted"), F.flatten(F.transform("blocks", _runs)).alias("mask"))
 
 
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, text>> from a formatted string."""
-    blocks = F.slice(F.split(formatted, r"<\|end\|>\n"), 1, F.size(F.split(formatted, r"<\|end\|>\n")) - 1)
+    ends = F.split(formatted, r"<\|end\|>\n", -1)
 
     def of(block: Column) -> Column:
-        stop = F.locate("|>", block, 3)
-        role = unescape_role(F.substring(block, F.lit(3), stop - 3))
-        texts = F.split(F.substring(block, stop + 3, F.length(block)), r"<\|next\|>")
+        stop = F.locate(OPEN, block, len(ROLE) + 1)
+        role = unescape_role(F.substring(block, F.lit(len(ROLE) + 1), stop - len(ROLE) - 1))
+        texts = F.split(F.substring(block, stop + len(OPEN), F.length(block)), r"<\|next\|>\n", -1)
         return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    return F.flatten(F.transform(blocks, of))
+    return F.flatten(F.transform(F.filter(ends, lambda b: b != ""), of))
 
 
 def masked_texts(formatted: Column, mask: Column) -> Column:
     """The pieces of the string under the mask, still escaped, as an array.
 
-    The string falls into markers and texts; the mask has a run for each.
+    The string falls into markers, each with its line break, and texts; the mask has a run for each.
     """
-    pieces = F.filter(F.split(formatted, r"(?<=\|>\n)|(?<=\|next\|>)|(?=<\|)"), lambda p: p != "")
+    pieces = F.filter(F.split(formatted, r"(?<=\|>\n)|(?=<\|)"), lambda p: p != "")
     under = F.filter(F.zip_with(pieces, mask, lambda p, r: F.struct(p.alias("p"), r.alias("r"))), lambda x: x["r"]["loss"])
     return F.transform(under, lambda x: F.when(F.length(x["p"]) == x["r"]["chars"], x["p"]).otherwise(F.raise_error(F.lit("mask and string differ"))))
 

@@ -12,9 +12,11 @@ from below; only pairs it cannot rule out get an exact cosine in double precisio
 Lists meet their probes by (label, list), dealt into blocks of bounded size.  A
 block returns counts and a spanning forest of its links, never its pairs.
 
-Defined results: a vector that is null, empty, zero, of another length than the
-sample's or with null or non-finite components, and a vector with a null label,
-link with nothing; a repeated vec_id with the same vector is counted as a copy
+Vectors of each length that occurs have an index of their own.
+
+Defined results: a vector that is null, empty, zero or with null or non-finite
+components, and a vector with a null label, link with nothing, nor do vectors of
+different lengths; a repeated vec_id with the same vector is counted as a copy
 once; rows come back once each, repeated ones too; an empty table gives no rows.
 """
 
@@ -22,13 +24,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.vectors import SAMPLE_ROWS, cosines, sample, stack, unit, usable
+from scriptorium.llm.vectors import SAMPLE_ROWS, cosines, lengths, sample, stack, unit, usable
 from scriptorium.operators.components import components
 from scriptorium.session import cut
 
@@ -128,16 +131,28 @@ def _forest(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
-    spark, radius = rows.sparkSession, float(np.sqrt(2 - 2 * threshold))
     rows = rows.select("vec_id", "embedding", "label")
     good = rows.filter(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    points = sample(good, "vec_id", "embedding", sample_rows)
-    good = good.filter(F.size("embedding") == points.shape[1])
     equal = ["label", "embedding"]
     reps = cut(good.dropDuplicates(["vec_id", *equal]).groupBy(*equal).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vector_reps")
+    parts = [_links(reps.filter(F.size("embedding") == n), threshold, sample_rows) for n in lengths(reps, "embedding") or [0]]
+    met = reduce(DataFrame.unionByName, parts)
+    counts = met.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    classes = components(met.filter("n = 0")).withColumnRenamed("node", "rep")
+    found = reps.select(*equal, "rep", "weight").join(counts, "rep", "left").join(classes, "rep", "left")
+    found = found.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.join(found, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _links(reps: DataFrame, threshold: float, sample_rows: int) -> DataFrame:
+    """a, b, n from distinct vectors (label, embedding, rep, weight) of one length: n > 0: a has n links; 0: a links with b."""
+    spark, radius = reps.sparkSession, float(np.sqrt(2 - 2 * threshold))
+    points = sample(reps, "rep", "embedding", sample_rows)
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
     index = spark.sparkContext.broadcast(Index.fit(points, largest, radius) if len(points) else None)
-    kind, vector, label = (rows.schema[c].dataType.simpleString() for c in ("vec_id", "embedding", "label"))
+    kind, vector, label = (reps.schema[c].dataType.simpleString() for c in ("rep", "embedding", "label"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,11 +190,4 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, sample_rows:
 
     keys = ["label", "list", "block", "part"]
     asks = asks.toDF(*[f"{c}_" for c in asks.columns]).toDF(*asks.columns)
-    met = cut(asks.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInPandas(meet, f"a {kind}, b {kind}, n long"), "vector_links")
-    counts = met.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    classes = components(met.filter("n = 0")).withColumnRenamed("node", "rep")
-    found = reps.select(*equal, "rep", "weight").join(counts, "rep", "left").join(classes, "rep", "left")
-    found = found.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(found, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return cut(asks.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInPandas(meet, f"a {kind}, b {kind}, n long"), "vector_links")

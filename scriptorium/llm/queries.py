@@ -47,7 +47,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(etext) + CASE WHEN previous IS NULL OR previous <> role THEN length(erole) + 13 ELSE 8 END) AS BIGINT) AS formatted_chars
+  CAST(sum(length(etext) + CASE WHEN previous IS NULL OR previous <> role THEN length(erole) + 18 ELSE 9 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
 
@@ -122,7 +122,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for folder in store.write_arrivals(table(spark, sf_dir, "documents"), 4):
         store.append(folder)
     version = store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds=0)  # the store has no other writer
     text = F.coalesce("text", F.lit(""))
     return store.read(version).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), F.lit(version).cast("long").alias("version"))
 

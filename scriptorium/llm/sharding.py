@@ -7,27 +7,36 @@ shards of every tier that holds ``fanout`` shards or more into files near the
 target size: Spark's scan packs small files into read partitions of the target
 size and each partition is written as one file, so nothing is shuffled.
 
-A version is a Parquet table of its live shards.  It becomes current when its
-marker file is renamed into ``versions``; the rename fails if the version exists,
-so of two writers one wins and the other must try again on the new version.
-Readers see only shards of a committed version; files of an attempt that was lost
-are never listed, and ``vacuum`` removes them.
+A version is a Parquet table of its live shards, named with the rows' schema by a
+version file.  That file is created only if it is absent, complete at its close: of two
+writers one gets the version, the other must try again on the new one.  A version file
+without content is no version yet.  Readers see only shards of a committed version;
+files of an attempt that was lost are never listed, and ``vacuum`` removes them once they
+are older than a grace time, in which a writer must have committed.
 
 Defined results: rows are kept as they are (nulls, repeated rows, any columns); an
-empty arrival commits a version with the same shards; a store without versions
-reads as version 0, without rows.
+empty arrival, and a table without rows, commit a version with the same shards, which
+reads with its columns; a store without versions cannot be read.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from scriptorium.operators.tables import fresh
 
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 64 << 10
 FANOUT = 4
+GRACE_SECONDS = 24 * 3600.0
 _SHARD = "path string, bytes long, n_rows long, tier int"
 
 
@@ -39,6 +48,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, fanout: int = FANOUT):
         self.spark, self.root = spark, root.rstrip("/")
         self.target, self.small, self.fanout = target_bytes, small_bytes, fanout
+        self._written: dict[str, StructType] = {}  # schemas of the folders written here
 
     # -- the shared file system -------------------------------------------------
     def _path(self, name: str):
@@ -53,29 +63,39 @@ class ShardStore:
         fs, folder = self._fs(), self._path("versions")
         if not fs.exists(folder):
             return 0
-        names = (f.getPath().getName() for f in fs.listStatus(folder))
+        names = (f.getPath().getName() for f in fs.listStatus(folder) if f.getLen())
         return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
 
+    def _version_file(self, version: int) -> dict:
+        source = self._fs().open(self._path(f"versions/v{version:012d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, bytes, n_rows, tier of the live shards of a version."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], _SHARD)
-        source = self._fs().open(self._path(f"versions/v{version:012d}"))
-        name = source.readUTF()
-        source.close()
-        return self.spark.read.schema(_SHARD).parquet(f"{self.root}/manifests/{name}")
+        return self.spark.read.schema(_SHARD).parquet(f"{self.root}/manifests/{self._version_file(version)['manifest']}")
 
-    def _commit(self, base: int, shards: DataFrame) -> int:
+    def schema(self, version: int) -> StructType:
+        return StructType.fromJson(self._version_file(version)["schema"])
+
+    def _commit(self, base: int, shards: DataFrame, schema: StructType) -> int:
         name = f"m-{uuid.uuid4().hex}"
         shards.select("path", "bytes", "n_rows", "tier").write.parquet(f"{self.root}/manifests/{name}")
-        fs, marker, final = self._fs(), self._path(f"attempts/{name}"), self._path(f"versions/v{base + 1:012d}")
-        fs.mkdirs(self._path("versions"))
-        out = fs.create(marker, False)
-        out.writeUTF(name)
-        out.close()
-        if fs.exists(final) or not fs.rename(marker, final):
-            raise VersionConflict(f"version {base + 1} exists")
+        try:
+            out = self._fs().create(self._path(f"versions/v{base + 1:012d}"), False)
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getName() or "exists" in str(e.java_exception.getMessage()):
+                raise VersionConflict(f"version {base + 1} exists") from e
+            raise
+        try:
+            self.spark._jvm.org.apache.commons.io.IOUtils.write(json.dumps({"manifest": name, "schema": schema.jsonValue()}), out, "UTF-8")
+        finally:
+            out.close()
         return base + 1
 
     def _described(self, folder: str) -> DataFrame:
@@ -90,55 +110,63 @@ class ShardStore:
 
     # -- writers ----------------------------------------------------------------
     def write_arrivals(self, df: DataFrame, arrivals: int) -> list[str]:
-        """Write ``df`` as ``arrivals`` folders of small shards, in one pass over it; returns the folders."""
-        name = f"data/in-{uuid.uuid4().hex}"
-        key = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns if c != "text"]), F.lit(arrivals))
-        df.withColumn("_arrival", key).write.partitionBy("_arrival").parquet(f"{self.root}/{name}")
+        """Write ``df`` as ``arrivals`` folders of small shards, in one pass over it; returns the folders, one at least."""
+        name, column = f"data/in-{uuid.uuid4().hex}", fresh(df, "_arrival")
+        key = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(arrivals))
+        df.withColumn(column, key).write.partitionBy(column).parquet(f"{self.root}/{name}")
+        self._written[name] = df.schema
         listed = self._fs().listStatus(self._path(name))
-        return [f"{name}/{n}" for n in sorted(f.getPath().getName() for f in listed) if n.startswith("_arrival=")]
+        return [f"{name}/{n}" for n in sorted(f.getPath().getName() for f in listed) if n.startswith(f"{column}=")] or [name]
 
     def append(self, folder: str) -> int:
         """Commit the shards of a written folder as a new version."""
         base = self.version()
-        return self._commit(base, self.manifest(base).unionByName(self._described(folder)))
+        schema = next((s for name, s in self._written.items() if folder.startswith(name)), None)
+        if schema is None:
+            schema = self.spark.read.parquet(f"{self.root}/{folder}").schema
+        return self._commit(base, self.manifest(base).unionByName(self._described(folder)), schema)
 
     def compact(self) -> int:
-        """Merge the tiers that are due; returns the current version."""
+        """Merge the shards of each tier that is due; returns the current version."""
         base = self.version()
         live = self.manifest(base)
-        due = live.filter(F.col("bytes") < self.target // 2).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.max("bytes")).filter(F.col("n") >= self.fanout)
+        small = live.filter(F.col("bytes") < self.target // 2)
+        due = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.fanout)
         tiers = sorted(r["tier"] for r in due.collect())  # one row a tier: a logarithm of the sizes
         if not tiers:
             return base
-        name = f"data/merged-{uuid.uuid4().hex}"
-        merged = live.filter(F.col("tier").isin(tiers) & (F.col("bytes") < self.target // 2))
+        schema, folders = self.schema(base), []
         keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
         before = {k: self.spark.conf.get(k, None) for k in keys}
         try:
             for k, v in zip(keys, (self.target, 0, 1), strict=True):
                 self.spark.conf.set(k, str(v))
-            paths = [r["path"] for r in merged.select("path").toLocalIterator()]
-            self.spark.read.parquet(*paths).write.parquet(f"{self.root}/{name}")
+            for tier in tiers:  # shards of a similar size go together
+                folders.append(f"data/merged-{uuid.uuid4().hex}")
+                paths = [r["path"] for r in small.filter(F.col("tier") == tier).select("path").toLocalIterator()]
+                self.spark.read.schema(schema).parquet(*paths).write.parquet(f"{self.root}/{folders[-1]}")
         finally:
             for k, v in before.items():
                 self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
-        kept = live.join(merged.select("path"), "path", "left_anti")
-        return self._commit(base, kept.unionByName(self._described(name)))
+        kept = live.join(small.filter(F.col("tier").isin(tiers)).select("path"), "path", "left_anti")
+        return self._commit(base, reduce(DataFrame.unionByName, map(self._described, folders), kept), schema)
 
-    def vacuum(self) -> int:
-        """Delete data files that the current version doesn't list; returns how many."""
-        fs, gone = self._fs(), 0
+    def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> int:
+        """Delete data files older than the grace time that the current version doesn't list; returns how many."""
+        fs, gone, limit = self._fs(), 0, (time.time() - grace_seconds) * 1000
         live = {r["path"].rpartition("/")[2] for r in self.manifest().select("path").toLocalIterator()}
         files = fs.listFiles(self._path("data"), True)
         while files.hasNext():
-            path = files.next().getPath()
-            if path.getName().endswith(".parquet") and path.getName() not in live:
+            status = files.next()
+            path = status.getPath()
+            if path.getName().endswith(".parquet") and path.getName() not in live and status.getModificationTime() <= limit:
                 gone += bool(fs.delete(path, False))
         return gone
 
     # -- readers ----------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
-        paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
-        if not paths:
-            raise ValueError("the store has no shards")
-        return self.spark.read.parquet(*paths)
+        version = self.version() if version is None else version
+        if not version:
+            raise ValueError("the store has no version")
+        schema, paths = self.schema(version), [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,13 +18,15 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def lengths(rows: DataFrame, vector: str) -> list[int]:
+    """The lengths that occur: vectors are compared with those of their own length."""
+    return sorted(r[0] for r in rows.select(F.size(vector)).distinct().collect())
+
+
 def sample(rows: DataFrame, key: str, vector: str, n: int = SAMPLE_ROWS) -> np.ndarray:
-    """At most ``n`` unit vectors, chosen by a hash of the key; of lengths, the most frequent one."""
+    """At most ``n`` unit vectors, chosen by a hash of the key, of rows whose vectors have one length."""
     got = rows.select(key, vector).orderBy(F.xxhash64(F.col(key)), key).limit(n).select(vector).toArrow().column(0).to_pylist()
-    if not got:
-        return np.zeros((0, 1))
-    (length, _), *_ = Counter(map(len, got)).most_common(1)
-    return unit(np.asarray([v for v in got if len(v) == length], dtype=np.float64))
+    return unit(np.asarray(got, dtype=np.float64)) if got else np.zeros((0, 1))
 
 
 def stack(column: pd.Series) -> np.ndarray:
@@ -39,6 +39,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that their squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; the same for a pair wherever it is computed."""
+    x, y = _scaled(x), _scaled(y)
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))

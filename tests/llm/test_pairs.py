@@ -174,6 +174,15 @@ def test_nearest(vectors):
     assert rp_forest.search(vectors.filter("vec_id in (0, 3)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_vectors_of_rare_lengths_and_large_components(spark, vectors):
+    odd = [(3000, [1e200, 2e200], 1), (3001, [2e200, 4e200], 1), (3002, [1e200, -2e200], 1), (3050, [3e-200, 6e-200], 1), (3003, [1.0], 1)]
+    rows = vectors.select("vec_id", "embedding", "label").union(spark.createDataFrame(odd, "vec_id long, embedding array<double>, label int"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.near_duplicates(rows).collect() if r.vec_id >= 3000}
+    assert got == {3000: (2, 3000), 3001: (2, 3000), 3050: (2, 3000), 3002: (0, 3002), 3003: (1, 2007)}
+    near = [(r.rank, r.vec_id, round(r.score, 9)) for r in rp_forest.search(rows, F.col("vec_id") == 3050).orderBy("rank").collect()]
+    assert near == [(1, 3000, 1.0), (2, 3001, 1.0), (3, 3002, -0.6)]
+
+
 def test_embedding_dedup(vectors):
     rows = {r.vec_id: (np.array(r.embedding, dtype=float), r.label) for r in vectors.collect() if usable(r.embedding) and r.label is not None}
     ids = sorted(rows)

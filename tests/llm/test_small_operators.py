@@ -52,6 +52,44 @@ def test_mix_by_a_quality_column(spark):
     assert sum(taken.values()) == 400 and all(not taken[i] for i in range(50, 100) if i % 10)
 
 
+def test_shards_of_empty_tables_and_clashing_names(spark, docs, no_docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/e")
+    with pytest.raises(ValueError):
+        store.read()
+    assert [store.append(f) for f in store.write_arrivals(no_docs, 4)] == [1]
+    assert store.compact() == 1 and store.read().schema == no_docs.schema and store.read().count() == 0
+    other = sharding.ShardStore(spark, f"file://{tmp_path}/c")
+    given = docs.withColumn("_arrival", F.lit("own")).withColumn("tier", F.lit(None).cast("int"))
+    for folder in other.write_arrivals(given, 3):
+        other.append(folder)
+    assert sorted(map(str, other.read().collect())) == sorted(map(str, given.collect())) and other.read().columns == given.columns
+    again = sharding.ShardStore(spark, f"file://{tmp_path}/c")
+    assert again.version() == other.version() and again.read().count() == given.count()
+
+
+def test_chat_markers_and_line_breaks(spark):
+    roles = ["next", "end", "role:x", "a|>b", "assistant", "assistant", "assistant", "x\n", "end", "assistant"]
+    texts = ["\n\n", "\n<|end|>\n", "<", "|>", "\nfirst", "\nsecond", "", ">", "<|next|>\n", "\n"]
+    rows = [(1, k, r, t, "") for k, (r, t) in enumerate(zip(roles, texts))]
+    [r] = chat.format_chats(spark.createDataFrame(rows, CONV)).select(chat.read_turns(F.col("formatted")).alias("t"), F.transform(chat.masked_texts(F.col("formatted"), F.col("mask")), chat.unescape).alias("loss")).collect()
+    assert [(t.role, t.text) for t in r.t] == list(zip(roles, texts))
+    assert r.loss == ["\nfirst", "\nsecond", "\n"]
+
+
+def test_chat_of_many_turns(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "'some text' AS text")
+        start = time.time()
+        [r] = chat.digests(chat.format_chats(rows)).collect()
+        assert r.n_turns == n
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(20_000) < 20
+
+
 def test_targets_reshare(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 1000), (None, 100), ("c", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(rows).collect()}
@@ -70,8 +108,8 @@ def test_shards(spark, docs, tmp_path):
     clean = lambda df: sorted(map(str, df.select(docs.columns).collect()))
     assert clean(store.read()) == want and clean(store.read(before)) == want
     with pytest.raises(sharding.VersionConflict):
-        store._commit(before, store.manifest())
-    assert store.vacuum() == shards and clean(store.read()) == want
+        store._commit(before, store.manifest(), docs.schema)
+    assert store.vacuum() == 0 and store.vacuum(grace_seconds=0) == shards and clean(store.read()) == want
     assert store.compact() == after  # nothing is due
 
 
