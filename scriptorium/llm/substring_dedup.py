@@ -321,12 +321,16 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text, asks in zip(batch["doc"], batch["text"], batch["asks"], strict=True):
-                raw = text.encode()
-                made = [(doc, a["start"], a["back"], a["key"], raw[a["start"] : a["stop"]]) for a in asks]
-                yield pd.DataFrame(made, columns=["doc", "start", "back", "key", "string"])
-
-    strings = sources.join(by_doc, "doc").select("doc", "text", "asks").mapInPandas(pieces, "doc long, start long, back int, key long, string binary")
+            if len(batch):
+                asks = {c: np.concatenate(batch[c].to_list()) for c in ("start", "stop", "key", "back")}
+                cut_from = np.repeat(np.arange(len(batch)), batch["start"].map(len))
+                raw = [t.encode() for t in batch["text"]]
+                strings = [raw[k][a:b] for k, a, b in zip(cut_from.tolist(), asks["start"].tolist(), asks["stop"].tolist(), strict=True)]
+                doc = batch["doc"].to_numpy()[cut_from]
+                yield pd.DataFrame({"doc": doc, "start": asks["start"], "back": asks["back"], "key": asks["key"], "string": strings})
+
+    asks = [F.col(f"asks.{c}").alias(c) for c in ("start", "stop", "key", "back")]
+    strings = sources.join(by_doc, "doc").select("doc", "text", *asks).mapInPandas(pieces, "doc long, start long, back int, key long, string binary")
     strings = cut(strings.withColumns({"core": F.col("back") % BLOCK, "size": F.lit(WIDTH - BLOCK + 1)}), "repeat_strings")
     few, large = _by_size(strings)
     copies, kinds = _finer(large)
