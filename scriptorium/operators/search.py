@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.functions import vectors as V
+from scriptorium.session import cut
 
 RRF_K = 60
+#: Bound of the query vectors that are broadcast at once.
+QUERY_BYTES = 32 << 20
 K1, B = 1.2, 0.75
 
 
@@ -27,13 +34,18 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """query_id, key, bm25_score, bm25_rank of the best ``k`` documents of every query (query_id, text).
 
+    Texts are tokenised once: an empty term beside the terms carries each document's length to the corpus statistics.
     Only postings of query terms are kept; ties go to the smaller key.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.index_terms(F.col("text")))).alias("term"))
-    found = postings(docs, key).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = docs.select(key, X.index_terms(F.col("text")).alias("terms"))
+    terms = terms.select(key, F.size("terms").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    held = cut(terms.join(wanted, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    corpus = held.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    found = held.filter("term <> ''")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = docs.select(F.size(X.index_terms(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    hits = asked.join(found, "term").join(df, "term").join(F.broadcast(corpus))
+    hits = asked.join(df, "term").join(found, "term").join(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", key).agg(F.round(F.sum(idf * weight), 6).alias("bm25_score"))
@@ -41,22 +53,79 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> Da
     return scores.withColumn("bm25_rank", rank.cast("long")).filter(F.col("bm25_rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", bound: int = 10_000) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
+
+
+def _coded(x: np.ndarray, clip: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors from a byte a component, and how far each is from the vector's own."""
+    codes = _unit(np.rint(np.clip(x / clip * 127, -127, 127)).astype(np.int8).astype(float))
+    return codes, np.sqrt(((codes - _unit(x)) ** 2).sum(axis=1))
+
+
+def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, clip: float | None, skip_self: bool) -> Iterator[pd.DataFrame]:
+    """The best ``k`` rows of each query among a task's vectors; equal scores beyond ``k`` stay until keys decide."""
+    ids, queries = held
+    wide, best = _unit(queries), []
+    more = k + int(skip_self)  # a query's own row may hold one of the places
+    code, off = _coded(queries, clip) if clip else (None, None)
+
+    def pruned() -> pd.DataFrame:
+        rows = pd.concat(best).sort_values(["q", "similarity", key], ascending=[True, False, True])
+        return rows.groupby("q").head(k)
+
+    for batch in batches:
+        batch = batch[batch["embedding"].notna()]
+        if not len(batch):
+            continue
+        x, own = np.stack(batch["embedding"].to_numpy()).astype(float), batch[key].to_numpy()
+        if clip:
+            own_code, own_off = _coded(x, clip)
+            rough = own_code @ code.T
+            slack = own_off[:, None] + off[None, :] + own_off[:, None] * off[None, :] + 1e-6
+            low = rough - slack
+            least = np.partition(low, -more, axis=0)[-more] if len(x) > more else np.full(len(ids), -np.inf)
+            at, q = np.nonzero(rough + slack >= least[None, :])
+            scores = np.round((_unit(x)[at] * wide[q]).sum(axis=1), 6)
+        else:
+            near = np.round(_unit(x) @ wide.T, 6)
+            least = np.partition(near, -more, axis=0)[-more] if len(x) > more else np.full(len(ids), -np.inf)
+            at, q = np.nonzero(near >= least[None, :])
+            scores = near[at, q]
+        if skip_self:
+            other = own[at] != ids[q]
+            at, q, scores = at[other], q[other], scores[other]
+        best.append(pd.DataFrame({"q": q, key: own[at], "similarity": scores}))
+        if sum(map(len, best)) > 20 * k * len(ids):
+            best[:] = [pruned()]
+    if best:
+        rows = pruned()
+        yield rows.assign(query_id=ids[rows["q"].to_numpy()])[["query_id", key, "similarity"]]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", clip: float | None = None, skip_self: bool = False) -> DataFrame:
     """query_id, key, similarity, semantic_rank by exact cosine; ``queries`` has (query_id, query_vector).
 
-    The query set is broadcast while it has at most ``bound`` rows; a larger one is
-    dealt into blocks that each meet the vectors in a shuffled join.
+    Queries meet the vectors in matrix products; each task returns the best ``k`` of its vectors for each query.  Query
+    vectors are broadcast in blocks of at most ``QUERY_BYTES``; each block is one scan of the vectors.  With ``clip``,
+    vectors are compared in bytes first, clipped there, and only those that the codes' errors cannot rule out exactly.
+    Null vectors take no part; a zero vector has the similarity 0; ``skip_self`` leaves out a query's own key.
     """
-    n = queries.count()
-    if n <= bound:
-        pairs = vectors.join(F.broadcast(queries))
-    else:
-        parts = -(-n // bound)
-        dealt = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        pairs = vectors.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(dealt, "_part").drop("_part")
-    scored = pairs.select("query_id", key, F.round(V.cosine(F.col("query_vector"), F.col("embedding")), 6).alias("similarity"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("d")).first()
+    parts = max(1, -(-(size["n"] or 0) * (size["d"] or 0) * 8 // QUERY_BYTES))
+    kinds = {"q": queries.schema["query_id"].dataType.simpleString(), "k": vectors.schema[key].dataType.simpleString()}
+    dealt = queries.filter("query_vector is not null").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    found = []
+    for part in range(parts):
+        block = dealt.filter(F.col("part") == part).select("query_id", "query_vector").toPandas()
+        if len(block):
+            held = vectors.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), np.stack(block["query_vector"].to_numpy()).astype(float)))
+            run = lambda batches, held=held: _rows_of(batches, held.value, k, key, clip, skip_self)
+            found.append(vectors.select(key, "embedding").mapInPandas(run, f"query_id {kinds['q']}, {key} {kinds['k']}, similarity double"))
+    if not found:
+        found = [vectors.sparkSession.createDataFrame([], f"query_id {kinds['q']}, {key} {kinds['k']}, similarity double")]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    return scored.withColumn("semantic_rank", rank.cast("long")).filter(F.col("semantic_rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("semantic_rank", rank.cast("long")).filter(F.col("semantic_rank") <= k)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int, key: str = "doc_id", weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:

@@ -20,12 +20,12 @@ _PHRASES = (
     "Give an overview of empirical Bayes before-after studies.", "List the main factors", "Explain the relationship between highway safety and pedestrian crash frequency in literature, research and practice.",
 )
 _SQL_PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in _PHRASES) + "]"
-_ASKED = f"q AS (SELECT conv_id, turn, {_SQL_PHRASES}[((conv_id + turn) % {len(_PHRASES)} + 1)::INT] || ' ' || left(text, 120) AS text FROM conversations WHERE role = 'user')"
+_ASKED = f"q AS (SELECT conv_id, turn, {_SQL_PHRASES}[((conv_id + turn) % {len(_PHRASES)} + 1)::INT] || ' ' || text AS text FROM conversations WHERE role = 'user')"
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(_PHRASES) + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(phrase, F.lit(" "), F.substring("text", 1, 120)).alias("text"))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(phrase, F.lit(" "), F.col("text")).alias("text"))
 
 
 def _has(pattern: str) -> str:
@@ -150,11 +150,11 @@ def plan_evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
-  SELECT conv_id, string_agg(role || ': ' || left(text, 200), chr(10) ORDER BY turn) AS prompt FROM w WHERE k <= 5 GROUP BY 1""")
+  SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM w WHERE k <= 5 GROUP BY 1""")
 def history_window_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(w)).filter("k <= 5")
-    line = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 200)).alias("line"))
+    line = F.struct("turn", F.concat("role", F.lit(": "), F.col("text")).alias("line"))
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
 
 
@@ -165,11 +165,13 @@ def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", F.md5(F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), "body")).alias("markdown_md5"))
 
 
-@query("""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'ignore all instructions' WHEN 1 THEN 'You are now ' ELSE '' END AS found FROM conversations""")
+_FOUND = ", ".join("nullif(regexp_extract(text, '(?i)" + p.replace("'", "''") + "', 0), '')" for p in X.INJECTION)
+
+
+@query(f"SELECT conv_id, turn, coalesce({_FOUND}, '') AS found FROM conversations")
 def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first suspicious phrase of each turn; phrases are put into half of them."""
-    put = F.when(F.col("conv_id") % 4 == 0, "ignore all instructions").when(F.col("conv_id") % 4 == 1, "You are now free").otherwise("")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.injection(F.concat(F.regexp_replace("text", "(?i)system|assistant|dan mode", ""), F.lit(" "), put)).alias("found"))
+    """The first suspicious phrase of each turn's whole text."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.injection(F.col("text")).alias("found"))
 
 
 @query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'SUFFICIENT' WHEN 1 THEN 'MISSING' ELSE 'RESTRUCTURE' END AS decision, CASE conv_id % 3 WHEN 1 THEN 'data of ' || turn END AS missing FROM conversations""")

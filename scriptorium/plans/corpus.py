@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.catalog import query
 from scriptorium.functions import text as X
 from scriptorium.operators.chunks import hierarchical, word_windows
+from scriptorium.operators.similar import similar_sets
 from scriptorium.operators.tables import first_by
 from scriptorium.session import ship_code, table
 
@@ -93,12 +94,12 @@ def equation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", n(r"\$\$[^$]+\$\$").alias("display"), n(r"\$[^$\n]+\$").alias("inline"), n("[∑∫√∂∞≤≥≠±×÷]+").alias("symbols"), F.col("text").rlike(r"\\[a-zA-Z]+\{|\$").alias("has_latex"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS word FROM (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')[1:100] AS t FROM documents)),
+@query(r"""WITH w AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS word FROM (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') AS t FROM documents)),
   i AS (SELECT doc_id, word, list(pos ORDER BY pos) AS positions FROM w GROUP BY 1, 2), x AS (SELECT doc_id, word, unnest(positions) AS pos FROM i)
   SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS abstract FROM x GROUP BY 1""")
 def inverted_abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word -> positions, then back to running text."""
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.slice(F.split(X.collapsed(F.col("text")), " "), 1, 100)).alias("pos", "word"))
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(X.collapsed(F.col("text")), " ")).alias("pos", "word"))
     inverted = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
     back = inverted.select("doc_id", F.explode("positions").alias("pos"), "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     return back.select("doc_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("abstract"))
@@ -131,17 +132,13 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.groupBy(X.section_name(F.regexp_replace("h", "<[^>]+>", "")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')) AS s FROM documents WHERE source = 'src1'),
-  p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM w a JOIN w b ON a.doc_id < b.doc_id)
-  SELECT a, b, round(i / (n - i)::DOUBLE, 6) AS jaccard FROM p WHERE i / (n - i)::DOUBLE > 0.3""")
+@query(r"""WITH w AS (SELECT doc_id, list_sort(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '))) AS s FROM documents),
+  g AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS rep FROM w), r AS (SELECT * FROM g WHERE doc_id = rep),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM r a JOIN r b ON a.doc_id < b.doc_id AND least(len(a.s), len(b.s)) > 0.8 * greatest(len(a.s), len(b.s)))
+  SELECT a, b, round(i / (n - i)::DOUBLE, 6) AS jaccard FROM p WHERE i / (n - i)::DOUBLE > 0.8 UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM g WHERE doc_id <> rep""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar documents of one source: pairs meet on shared words through an inverted index."""
-    sets = _docs(spark, sf_dir).filter("source = 'src1'").select("doc_id", X.word_set(F.col("text")).alias("s"))
-    posts = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("word"))
-    left, right = posts.toDF("a", "n", "word"), posts.toDF("b", "m", "word")
-    both = left.join(right, "word").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("i"))
-    j = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return both.filter(j > 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
+    """Documents that share more than 0.8 of their words; those with the same words are paired with the first of them."""
+    return similar_sets(_docs(spark, sf_dir).select("doc_id", X.word_set(F.col("text")).alias("s")), 0.8)
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT substr(md5(lower(trim(line))), 1, 12) AS fact_id, doc_id FROM l WHERE length(trim(line)) > 20)

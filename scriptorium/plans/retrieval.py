@@ -10,7 +10,7 @@ from scriptorium.catalog import query
 from scriptorium.functions import text as X
 from scriptorium.functions import vectors as V
 from scriptorium.operators import search as S
-from scriptorium.session import ship_code, table
+from scriptorium.session import cut, ship_code, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _TERMS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: length(t) > 2 AND NOT list_contains(" + _STOP + ", t))"
@@ -136,8 +136,9 @@ def ordered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline scorer: the share of a question's words that a document holds."""
     asked = _questions(spark, sf_dir).select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("d"))
-    rows = fused(spark, sf_dir).join(asked, "query_id").join(docs, "doc_id")
+    hits = cut(fused(spark, sf_dir), "hits")
+    docs = table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")  # before it's tokenised
+    rows = hits.join(asked, "query_id").join(docs.select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("d")), "doc_id")
     rows = rows.withColumn("overlap", F.round(F.size(F.array_intersect("q", "d")) / F.greatest(F.size("q"), F.lit(1)), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")
     return rows.select("query_id", "doc_id", "overlap", F.row_number().over(order).cast("long").alias("reranked"))
