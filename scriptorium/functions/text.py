@@ -139,3 +139,34 @@ INJECTION = (
 def injection(text: Column) -> Column:
     """The first suspicious phrase, by pattern; empty if there is none."""
     return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in INJECTION], F.lit(""))
+
+
+# Signs that text extraction leaves, and what they stand for.
+ARTIFACTS = {
+    "¼": "1/4", "½": "1/2", "¾": "3/4", "⅓": "1/3", "⅔": "2/3",
+    "×": " × ", "÷": " / ", "±": " ± ", "≤": " ≤ ", "≥": " ≥ ", "≠": " ≠ ", "≈": " ≈ ", "∞": "infinity",
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "σ": "sigma", "μ": "mu",
+    "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl",
+    "“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "→": "->", "←": "<-", "↔": "<->",
+}
+#: Those that stay where formulas are to be kept.
+FORMULA_SIGNS = ("×", "÷", "±", "≤", "≥")
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def clean_artifacts(text: Column, formulas: bool = False) -> Column:
+    """Text without what extraction left in it: stray signs, doubled bars, split words, page numbers, runs of white space."""
+    out = F.coalesce(text, F.lit(""))
+    for sign, meant in ARTIFACTS.items():
+        if not (formulas and sign in FORMULA_SIGNS):
+            out = F.replace(out, F.lit(sign), F.lit(meant))
+    out = F.regexp_replace(out, "jj([A-Za-z]+)jj", "|$1|")
+    out = F.regexp_replace(out, r"\s{2,}", " ")
+    out = F.regexp_replace(out, rf"({_WORD})-\n({_WORD})", "$1$2")
+    out = F.regexp_replace(out, r"\n[0-9]+\n", "\n")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def for_display(text: Column) -> Column:
+    """Cleaned text with subscripts marked up."""
+    return F.regexp_replace(clean_artifacts(text, formulas=True), rf"\b({_WORD}+)_({_WORD}+)\b", "$1<sub>$2</sub>")

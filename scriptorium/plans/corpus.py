@@ -112,6 +112,18 @@ def word_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_windows(_docs(spark, sf_dir), 200, 50).select("doc_id", "chunk", "start", "n_words", F.md5("text").alias("chunk_md5"))
 
 
+_SIGNS = "coalesce(text, '')"
+for _sign, _meant in X.ARTIFACTS.items():
+    _SIGNS = f"replace({_SIGNS}, '{_sign.replace(chr(39), chr(39) * 2)}', '{_meant.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace({_SIGNS}, 'jj([A-Za-z]+)jj', '|\1|', 'g') AS t FROM documents),
+  b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t\n\x0B\f\r]{{2,}}', ' ', 'g'), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS t FROM a)
+  SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '\n[0-9]+\n', chr(10), 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS cleaned_md5 FROM b""")
+def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.clean_artifacts(F.col("text"))).alias("cleaned_md5"))
+
+
 @query(None)
 def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchical(_docs(spark, sf_dir))

@@ -174,3 +174,17 @@ def discovery_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, o_orderkey AS first_order, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1""")
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_custkey", F.col("o_orderkey").alias("first_order"), "o_totalprice")
+
+
+@query("""WITH r AS (SELECT doc_id, source, '10.1000/' || doc_id AS doi, split_part(text, ' ', 1) AS surname, 1990 + doc_id % 30 AS year FROM documents), c AS (SELECT DISTINCT '10.1000/' || conv_id AS doi FROM conversations)
+  SELECT doc_id, c.doi IS NOT NULL AS cited, CASE WHEN c.doi IS NOT NULL THEN row_number() OVER (PARTITION BY source, c.doi IS NOT NULL ORDER BY lower(surname), year, doc_id) END AS number FROM r LEFT JOIN c USING (doi)""")
+def references_by_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References whose DOI is cited, numbered within their list by surname and year, and the others; DOIs are compared without prefix and case."""
+    docs = table(spark, sf_dir, "documents")
+    refs = docs.select("doc_id", "source", F.concat(F.lit("https://doi.org/10.1000/"), F.col("doc_id").cast("string")).alias("doi"), F.split("text", " ")[0].alias("surname"), (F.lit(1990) + F.col("doc_id") % 30).alias("year"))
+    cited = table(spark, sf_dir, "conversations").select(F.concat(F.lit("doi:10.1000/"), F.col("conv_id").cast("string")).alias("c")).distinct()
+    bare = lambda c: F.regexp_replace(F.lower(F.trim(F.col(c))), r"^(https?://(dx\.)?doi\.org/|doi:)", "")
+    known = refs.withColumn("doi", bare("doi")).join(cited.select(bare("c").alias("doi"), F.lit(True).alias("cited")).distinct(), "doi", "left")
+    yes = known.filter("cited")
+    order = F.row_number().over(Window.partitionBy("source").orderBy(F.lower("surname"), "year", "doc_id")).cast("long")
+    return yes.select("doc_id", "cited", order.alias("number")).unionByName(known.filter("cited is null").select("doc_id", F.lit(False).alias("cited"), F.lit(None).cast("long").alias("number")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.catalog import query
 from scriptorium.operators import search as S
+from scriptorium.operators.tables import all_of
 from scriptorium.session import ship_code, table
 
 # Fixed values of the models below.
@@ -79,12 +80,26 @@ def actionable_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'INFO' WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN event_id % 5 = 0 THEN '' ELSE upper(event_type) END AS stage FROM events""")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """time - level - [STAGE] message; other lines are messages of level INFO."""
+    return _logged(spark, sf_dir).select("event_id", "level", "stage")
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     line = F.when(F.col("event_id") % 5 == 0, "a line without structure").otherwise(F.concat_ws(" - ", F.col("ts").cast("string"), level, F.concat(F.lit("["), F.upper("event_type"), F.lit("] user - "), F.col("user_id").cast("string"))))
-    parts = F.split(line, " - ", 3)
-    whole = F.size(parts) == 3
-    message = F.when(whole, F.get(parts, F.lit(2))).otherwise(line)
-    return table(spark, sf_dir, "events").select("event_id", F.when(whole, F.trim(F.get(parts, F.lit(1)))).otherwise("INFO").alias("level"), F.regexp_extract(message, r"^\[([^\]]*)\]", 1).alias("stage"))
+    lines = table(spark, sf_dir, "events").select("event_id", line.alias("line")).withColumn("parts", F.split("line", " - ", 3))
+    whole = F.size("parts") == 3
+    message = F.when(whole, F.get("parts", F.lit(2))).otherwise(F.col("line"))
+    return lines.select("event_id", "line", F.when(whole, F.trim(F.get("parts", F.lit(1)))).otherwise("INFO").alias("level"), F.regexp_extract(message, r"^\[([^\]]*)\]", 1).alias("stage"))
+
+
+@query("""SELECT event_id FROM events WHERE event_id % 5 <> 0 AND upper(event_type) IN ('ERROR', 'CLICK') AND contains('[' || upper(event_type) || '] user - ' || user_id, 'user - 1')""")
+def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of some levels and some stages that hold a phrase; a condition without values lets all pass."""
+    return matching_lines(_logged(spark, sf_dir), ["ERROR", "INFO"], ["ERROR", "CLICK"], "user - 1").select("event_id")
+
+
+def matching_lines(lines: DataFrame, levels: list[str], stages: list[str], phrase: str) -> DataFrame:
+    return lines.filter(all_of(F.col("level").isin(levels) if levels else None, F.col("stage").isin(stages) if stages else None, F.lower("line").contains(phrase.lower()) if phrase else None))
 
 
 @query("""SELECT page_id, regexp_matches(html, '(?i)<h[1-6][^>]*>[^<]*(conclusion|summary|recommendation|synthesis|implication|takeaway)') AS has_final FROM pages""")

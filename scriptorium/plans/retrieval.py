@@ -98,6 +98,24 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).select("query_id", "doc_id", "score", "rank", "semantic_rank", "bm25_rank")
 
 
+@query(f"WITH {_FUSED} SELECT query_id, min(score) AS lowest, max(score) AS highest, count(*) AS n FROM fused GROUP BY 1")
+def score_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).groupBy("query_id").agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_BM25}, {_VEC}, first_list AS (SELECT query_id, source, min(semantic_rank) AS r FROM sem JOIN documents USING (doc_id) GROUP BY ALL), later AS (SELECT query_id, source, min(bm25_rank) AS r FROM kw JOIN documents USING (doc_id) GROUP BY ALL),
+  listed AS (SELECT query_id, source, 0 AS list, r FROM first_list UNION ALL SELECT query_id, source, 1, r FROM later), placed AS (SELECT query_id, source, min(list * 1000000 + r) AS place FROM listed GROUP BY ALL)
+  SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY place) AS number FROM placed""")
+def number_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources keep the numbers of the first list; those that only a later list has get the numbers behind."""
+    vectors, asked = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    lists = (S.nearest(vectors, asked, 20, "doc_id").withColumnRenamed("semantic_rank", "r"), S.bm25(docs.select("doc_id", "text"), _questions(spark, sf_dir), 20).withColumnRenamed("bm25_rank", "r"))
+    places = [x.join(docs.drop("text"), "doc_id").groupBy("query_id", "source").agg(F.min("r").alias("r")).withColumn("list", F.lit(i)) for i, x in enumerate(lists)]
+    first = places[0].unionByName(places[1]).groupBy("query_id", "source").agg(F.min(F.struct("list", "r")).alias("place"))
+    return first.select("query_id", "source", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("long").alias("number"))
+
+
 _WITH_DOCS = f"{_FUSED}, d AS (SELECT f.*, source, n_chars FROM fused f JOIN documents USING (doc_id))"
 
 
