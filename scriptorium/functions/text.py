@@ -170,3 +170,125 @@ def clean_artifacts(text: Column, formulas: bool = False) -> Column:
 def for_display(text: Column) -> Column:
     """Cleaned text with subscripts marked up."""
     return F.regexp_replace(clean_artifacts(text, formulas=True), rf"\b({_WORD}+)_({_WORD}+)\b", "$1<sub>$2</sub>")
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^[ \t\n\f\r]+|[ \t\n\f\r]+$", "")
+
+
+def markdown_sections(text: Column) -> Column:
+    """Array of (section, content) under headings with ``#``, in order; headings of no known section are left out."""
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n#+[ \t\n\f\r]*(?=[^ \t\n\f\r])")
+    cut = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("head"), p.alias("part")))
+    named = F.transform(cut, lambda c: F.struct(section_name(c["head"]).alias("section"), stripped(F.substr(c["part"], F.length(c["head"]) + 1)).alias("content")))
+    return F.filter(named, lambda s: s["section"].isNotNull())
+
+
+def second_level_parts(text: Column) -> Column:
+    """The text cut before each ``## `` heading; blank parts are left out."""
+    return F.filter(F.transform(F.split(F.concat(F.lit("\n"), text), r"\n(?=## .)"), stripped), lambda p: p != "")
+
+
+#: Sections of plain text: where one begins, and what ends it (fixed values).
+PLAIN_SECTIONS = {
+    "abstract": (r"abstract[:\s]*(.+?)", "introduction|background|$"),
+    "introduction": (r"introduction[:\s]*(.+?)", "methods|methodology|materials|background|$"),
+    "methods": (r"(?:methods|methodology|materials and methods)[:\s]*(.+?)", "results|findings|$"),
+    "results": (r"results[:\s]*(.+?)", "discussion|conclusion|$"),
+    "discussion": (r"discussion[:\s]*(.+?)", "conclusion|references|$"),
+    "conclusion": (r"conclusions?[:\s]*(.+?)", "references|acknowledgment|$"),
+}
+
+
+def plain_sections(text: Column, most: int = 5000) -> dict[str, Column]:
+    """The six sections of a text without headings' marks; null where there is none."""
+    found = {}
+    for name, (start, stop) in PLAIN_SECTIONS.items():
+        pattern = f"(?is){start}(?={stop})"
+        found[name] = F.when(text.rlike(pattern), F.substring(stripped(F.regexp_extract(text, pattern, 1)), 1, most))
+    return found
+
+
+#: Citations in running text (fixed values): in parentheses, narrative, by number.
+CITED = (
+    r"\([A-Z][a-zA-Z\-']+(?:\s*(?:et\s+al\.?|,?\s*&?\s*[A-Z][a-zA-Z\-]+)+)?,?\s*\d{4}\)",
+    r"[A-Z][a-zA-Z\-']+(?:\s+(?:and|&)\s+[A-Z][a-zA-Z\-']+)?(?:\s+et\s+al\.?)?\s*\(\d{4}\)",
+    r"\[\d+\]",
+)
+
+
+def citations(text: Column) -> Column:
+    """The different citations of a text, sorted."""
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in CITED])))
+
+
+def key_points(text: Column, most: int = 5) -> Column:
+    """The first sentences that cite somebody, cut at 100 characters."""
+    said = F.filter(F.split(text, r"(?<=[.!?])[ \t\n\f\r]+"), lambda s: s.rlike(r"\([A-Z][a-z]+.*?\d{4}\)"))
+    return F.transform(F.slice(said, 1, most), lambda s: F.when(F.length(s) > 100, F.concat(F.substring(s, 1, 100), F.lit("..."))).otherwise(s))
+
+
+def without_title(text: Column, title: Column) -> Column:
+    """A section's text without its own title in front, as heading, plain or bold."""
+    name = F.concat(F.lit(r"\Q"), F.replace(title, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    out = stripped(text)
+    for before, after in ((r"(?i)^##?\s*", r"\s*\n+"), (r"(?i)^", r"\s*\n+"), (r"(?i)^\*\*", r"\*\*\s*\n+")):
+        out = F.regexp_replace(out, F.concat(F.lit(before), name, F.lit(after)), F.lit(""))
+    return stripped(out)
+
+
+def for_prompt(text: Column) -> Column:
+    """Nothing that could pass for a delimiter of the prompt."""
+    return F.replace(F.replace(text, F.lit("```"), F.lit("'''")), F.lit("---"), F.lit("___"))
+
+
+def feedback(text: Column, most: int = 1000) -> Column:
+    """A user's remark: the length is bounded, control characters go."""
+    return stripped(F.regexp_replace(F.substring(text, 1, most), r"[\x00-\x08\x0B-\x1F\x7F-\x{9F}]", ""))
+
+
+#: Words that say nothing of a review's subject (fixed values).
+REVIEW_STOP_WORDS = (
+    "the and for with that this these those such from based including among between within using used use have has "
+    "were been also however although where when which while both each other their its"
+).split()
+
+
+def review_keywords(text: Column) -> Column:
+    """The different words of five plain letters or more, sorted."""
+    stop = F.array(*map(F.lit, REVIEW_STOP_WORDS))
+    return F.array_sort(F.array_distinct(F.filter(tokens(text), lambda w: w.rlike("^[a-z]{5,}$") & ~F.array_contains(stop, w))))
+
+
+def first_page_title(text: Column) -> Column:
+    """Of the first 15 lines, the first that can be a title."""
+    lines = F.transform(F.slice(F.split(stripped(text), "\n"), 1, 15), stripped)
+    other = r"^(abstract|introduction|doi|volume|page|copyright|journal|received|accepted|published|e-?mail|corresponding|\d+$|[a-z]{1,3}\d+)"
+    fit = F.filter(lines, lambda s: F.length(s).between(20, 300) & ~F.lower(s).rlike(other))
+    return F.regexp_replace(F.get(fit, F.lit(0)), r"^#+\s*", "")
+
+
+def first_page_year(text: Column, latest: int) -> Column:
+    """A year in one of the usual places, the first place that holds one from 1950 to ``latest``."""
+    found = [F.try_to_number(F.nullif(F.regexp_extract(text, "(?is)" + p, 1), F.lit("")), F.lit("9999")).cast("int") for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"copyright\s+(\d{4})", r"published[:\s]+(\d{4})", r"received[:\s]+[^\n]*?(\d{4})")]
+    return F.coalesce(*[F.when(y.between(1950, latest), y) for y in found])
+
+
+def first_page_abstract(text: Column) -> Column:
+    found = F.regexp_extract(text, r"(?is)abstract[:\s]*(.{50,2000}?)(?=introduction|keywords|background|1\.|1\s|$)", 1)
+    return F.nullif(F.substring(F.regexp_replace(stripped(found), r"[ \t\n\f\r]+", " "), 1, 1500), F.lit(""))
+
+
+def first_page_authors(text: Column, most: int = 10) -> Column:
+    """Names of two to four capitalised words, from those of the first 20 lines that begin like a name."""
+    lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 20), stripped), lambda s: s.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+"))
+    names = F.flatten(F.transform(lines, lambda s: F.transform(F.split(s, r"[,;]|\s+and\s+"), stripped)))
+    return F.slice(F.filter(names, lambda n: n.rlike(r"^\p{Lu}\S*(\s+\p{Lu}\S*){1,3}$")), 1, most)
+
+
+def title_of_file(name: Column) -> Column:
+    """A file's name as title; one that holds a DOI says so."""
+    plain = stripped(F.regexp_replace(F.regexp_replace(name, "[_-]+", " "), r"\s+", " "))
+    doi = F.concat(F.lit("[DOI: "), F.regexp_replace(name, "^([^_]*)_", "$1/"), F.lit("]"))
+    return F.when(name.startswith("10.") & name.contains("_"), doi).when(plain == "", "Untitled Document").otherwise(plain)

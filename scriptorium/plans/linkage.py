@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.catalog import query
 from scriptorium.functions import biblio
 from scriptorium.operators import intervals
+from scriptorium.operators.series import placed
 from scriptorium.operators.tables import first_by
 from scriptorium.session import table
 
@@ -167,8 +168,9 @@ def short_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS first_seen FROM documents""")
 def discovery_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming discovery's rule in batch form: the first record of a key wins."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", (F.row_number().over(w) == 1).alias("first_seen"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first_seen"))
+    return docs.join(first, "doc_id", "left").select("doc_id", "source", F.coalesce("first_seen", F.lit(False)).alias("first_seen"))
 
 
 @query("""SELECT o_custkey, o_orderkey AS first_order, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1""")
@@ -185,6 +187,6 @@ def references_by_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = table(spark, sf_dir, "conversations").select(F.concat(F.lit("doi:10.1000/"), F.col("conv_id").cast("string")).alias("c")).distinct()
     bare = lambda c: F.regexp_replace(F.lower(F.trim(F.col(c))), r"^(https?://(dx\.)?doi\.org/|doi:)", "")
     known = refs.withColumn("doi", bare("doi")).join(cited.select(bare("c").alias("doi"), F.lit(True).alias("cited")).distinct(), "doi", "left")
-    yes = known.filter("cited")
-    order = F.row_number().over(Window.partitionBy("source").orderBy(F.lower("surname"), "year", "doc_id")).cast("long")
-    return yes.select("doc_id", "cited", order.alias("number")).unionByName(known.filter("cited is null").select("doc_id", F.lit(False).alias("cited"), F.lit(None).cast("long").alias("number")))
+    yes = known.filter("cited").withColumn("surname", F.lower("surname"))
+    yes = placed(yes, ["source"], F.substring("surname", 1, 3), ["surname", "year", "doc_id"])
+    return yes.select("doc_id", "cited", (F.col("place") + 1).alias("number")).unionByName(known.filter("cited is null").select("doc_id", F.lit(False).alias("cited"), F.lit(None).cast("long").alias("number")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import query
+from scriptorium.operators.series import at_shares, placed, with_previous
 from scriptorium.operators.tables import count_if
 from scriptorium.session import table
 
@@ -19,8 +20,8 @@ _RATES = """r AS (SELECT event_type, event_id, value, ts, epoch(ts) - epoch(lag(
 
 @query(f"WITH {_RATES} SELECT event_id, event_type, round(CASE WHEN dt > 0 THEN dv / dt * 3600 END, 6) AS per_hour FROM r WHERE dt IS NOT NULL")
 def throughput_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("dt", _seconds() - F.lag(_seconds()).over(w)).withColumn("dv", F.col("value") - F.lag("value").over(w))
+    rows = with_previous(table(spark, sf_dir, "events"), ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"], ["ts", "value"])
+    rows = rows.withColumn("dt", _seconds() - _seconds("previous.ts")).withColumn("dv", F.col("value") - F.col("previous.value"))
     return rows.filter("dt IS NOT NULL").select("event_id", "event_type", F.round(F.when(F.col("dt") > 0, F.col("dv") / F.col("dt") * 3600), 6).alias("per_hour"))
 
 
@@ -40,20 +41,18 @@ def projection_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT event_type, bucket, round(avg(value), 6) AS gauge, arg_max(event_id, i) AS counter, max(ts) AS ts FROM b GROUP BY 1, 2""")
 def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About 50 points a series: the mean of gauges, the last of counters."""
-    w = Window.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").withColumn("i", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long")).withColumn("c", F.count(F.lit(1)).over(w))
-    size = F.greatest(F.floor(F.col("c") / 50), F.lit(1))
-    return rows.withColumn("bucket", F.floor(F.col("i") / size)).groupBy("event_type", "bucket").agg(F.round(F.avg("value"), 6).alias("gauge"), F.max_by("event_id", "i").alias("counter"), F.max("ts").alias("ts"))
+    rows = placed(table(spark, sf_dir, "events"), ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    size = F.greatest(F.floor(F.col("group_rows") / 50), F.lit(1))
+    return rows.withColumn("bucket", F.floor(F.col("place") / size)).groupBy("event_type", "bucket").agg(F.round(F.avg("value"), 6).alias("gauge"), F.max_by("event_id", "place").alias("counter"), F.max("ts").alias("ts"))
 
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1)
   SELECT event_type, v[CAST(floor(len(v) * 0.5) AS INT) + 1] AS p50, v[least(CAST(floor(len(v) * 0.95) AS INT), len(v) - 1) + 1] AS p95, v[least(CAST(floor(len(v) * 0.99) AS INT), len(v) - 1) + 1] AS p99, round(list_avg(v), 6) AS mean FROM s""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles by index into the sorted values, ranked by Spark rather than gathered."""
-    w = Window.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("value")))
-    return rows.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
+    """Percentiles by index into the sorted values: counts of blocks say which block holds one."""
+    events = table(spark, sf_dir, "events")
+    at = at_shares(events, "event_type", "value", [0.5, 0.95, 0.99], 1.0).select("event_type", *[F.get("values", F.lit(i)).alias(p) for i, p in enumerate(("p50", "p95", "p99"))])
+    return at.join(events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), "event_type")
 
 
 @query("""WITH s AS (SELECT user_id, event_type, sum(value) AS d FROM events GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d DESC, event_type) AS k, sum(d) OVER (PARTITION BY user_id) AS total FROM s)
@@ -67,9 +66,9 @@ def bottleneck_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT event_type, event_id, ts, value > 90 AS firing, lag(value > 90) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events)
   SELECT event_type, event_id, CASE WHEN firing THEN 'fire' ELSE 'resolve' END AS edge FROM f WHERE firing IS DISTINCT FROM coalesce(before, false)""")
 def alert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     flags = table(spark, sf_dir, "events").withColumn("firing", F.col("value") > 90)
-    flags = flags.withColumn("before", F.coalesce(F.lag("firing").over(w), F.lit(False)))
+    flags = with_previous(flags, ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"], ["firing"])
+    flags = flags.withColumn("before", F.coalesce("previous.firing", F.lit(False)))
     return flags.filter("firing <> before").select("event_type", "event_id", F.when(F.col("firing"), "fire").otherwise("resolve").alias("edge"))
 
 
@@ -111,9 +110,9 @@ def lru_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // least(10, greatest(3, count(*) OVER (PARTITION BY source) // 6)) AS batch FROM documents""")
 def interval_batching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source")
-    size = F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.count(F.lit(1)).over(w) / 6)))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / size).alias("batch"))
+    rows = placed(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"])
+    size = F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.col("group_rows") / 6)))
+    return rows.select("source", "doc_id", F.floor(F.col("place") / size).alias("batch"))
 
 
 @query("""WITH s AS (SELECT user_id, arg_min(value, (ts, event_id)) AS a, arg_max(value, (ts, event_id)) AS b, epoch(max(ts)) - epoch(min(ts)) AS dt FROM events GROUP BY 1)
