@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import query
 from scriptorium.functions import text as X
 from scriptorium.functions import vectors as V
+from scriptorium.operators import context as C
 from scriptorium.operators import search as S
-from scriptorium.session import cut, ship_code, table
+from scriptorium.session import cut, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _TERMS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: length(t) > 2 AND NOT list_contains(" + _STOP + ", t))"
@@ -208,21 +208,20 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question's hits in rank order; one that shares over 0.8 of its words with a kept one goes.
-
-    A group is one question's ten hits, so the greedy pass stays small.
-    """
-    ship_code(spark)
+    """Each question's hits in rank order; one that shares over 0.8 of its words with a kept one goes."""
     words = table(spark, sf_dir, "documents").select("doc_id", X.word_set(F.col("text")).alias("words"))
+    return C.distinct_hits(_hits_with(spark, sf_dir, words), "words").select("query_id", "doc_id", "rank")
+
+
+@query(None)
+def assembled_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, two hits a source, no near copies, numbered sources, 6000 characters: a question's context and references."""
+    reference = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", X.word_set(F.col("text")).alias("words"), reference.alias("reference"))
+    return C.assemble(_hits_with(spark, sf_dir, docs), "source", "words", "text", "reference", budget=6000)
+
 
-    def greedy(hits: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        out = []
-        for row in hits.sort_values("rank").itertuples():
-            own = set(row.words)
-            if all(len(own & other) <= 0.8 * len(own | other) for other in kept):
-                kept.append(own)
-                out.append((row.query_id, row.doc_id, row.rank))
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "rank"])
-
-    return fused(spark, sf_dir).join(words, "doc_id").select("query_id", "doc_id", "rank", "words").groupBy("query_id").applyInPandas(greedy, "query_id long, doc_id long, rank long")
+def _hits_with(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The fused hits with columns of their documents."""
+    hits = cut(fused(spark, sf_dir).select("query_id", "doc_id", "rank"), "hits")
+    return hits.join(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")

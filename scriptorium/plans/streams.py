@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.catalog import query
 from scriptorium.session import ship_code, table
+from scriptorium.streaming import breaker
 from scriptorium.streaming.windows import drain, event_stream, local_time
 
 
@@ -68,6 +69,13 @@ def stream_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("errors").alias("errors"), F.max("open").alias("open"))
 
 
+@query(None)
+def stream_breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed, open or half open after each event of a user: two errors open, half a day later a trial, quiet for six hours closes."""
+    stream = event_stream(spark, sf_dir)
+    return drain(breaker.states(stream, "user_id", "event_id", "ts", F.col("event_type") == "error", threshold=2, reset=43_200.0, stable=21_600.0))
+
+
 @query("""SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 60 DAY""")
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams joined by key within an event-time interval."""
