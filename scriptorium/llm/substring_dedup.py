@@ -49,7 +49,7 @@ FINE = 8
 GROUP_STRINGS = 400
 TASK_STRINGS = 500  # strings of several keys that share a task
 BUCKET_BYTES = 2 << 20
-_CHUNK = 4 << 20  # bytes scanned at once
+_CHUNK = 1 << 20  # bytes scanned at once; a scan holds about 150 bytes for each
 _FLUSH = 1_500_000  # blocks a task holds before it writes them out
 _U = np.uint64
 _RNG = np.random.default_rng(987)
