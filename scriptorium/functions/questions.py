@@ -143,3 +143,32 @@ def audit_decision(text: Column) -> tuple[Column, Column]:
     up = F.upper(F.coalesce(text, F.lit("")))
     missing = F.trim(F.regexp_extract(text, r"(?i)MISSING:\s*([^\n]+)", 1))
     return F.when(up.contains("SUFFICIENT"), "SUFFICIENT").when(up.contains("MISSING:"), "MISSING").otherwise("RESTRUCTURE"), F.nullif(missing, F.lit(""))
+
+
+def refined(text: Column, timeframe: Column, context: Column, include: Column, exclude: Column | None = None) -> Column:
+    """A question with the answers to clarifying questions in brackets; null and empty answers add nothing."""
+    given = {"published between {}": timeframe, "in {} contexts": context, "including {}": include, "excluding {}": exclude}
+    added = []
+    for form, answer in given.items():
+        if answer is not None:
+            before, after = form.split("{}")
+            added.append(F.when(F.length(answer) > 0, F.concat(F.lit(before), answer, F.lit(after))))
+    all_ = F.concat_ws(", ", *added)
+    return F.when(all_ == "", text).otherwise(F.concat(text, F.lit(" ("), all_, F.lit(")")))
+
+
+def targeted(text: Column, found: dict[str, Column], suggested: Column | None = None, most: int = 3) -> Column:
+    """Follow-up questions: two of the suggested ones first, then those for outcomes and methods not found yet."""
+    asks = lambda *words: F.lower(text).rlike("|".join(words))
+    lacks = lambda kind, word: ~F.exists(found[kind], lambda x: F.contains(x, F.lit(word)))
+    # Cues, what must be missing, and the question for it.
+    made = F.array(
+        F.when(asks("camera", "enforcement") & lacks("outcomes", "rear-end crash"), "red-light camera rear-end crash effects spillover"),
+        F.when(asks("camera", "enforcement") & lacks("outcomes", "speed compliance"), "speed camera compliance rate effectiveness"),
+        F.when(asks("effective") & lacks("methodologies", "empirical bayes"), "crash modification factor empirical bayes methodology"),
+    )
+    if suggested is not None:
+        made = F.concat(F.slice(F.filter(suggested, lambda s: F.length(s) > 0), 1, 2), made)
+    kept = F.filter(made, lambda q: q.isNotNull())
+    new = F.filter(kept, lambda q, i: ~F.array_contains(F.transform(F.slice(kept, F.lit(1), i), lambda x: F.lower(x)), F.lower(q)))
+    return F.slice(new, 1, most)

@@ -52,6 +52,79 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+CROSSREF = (
+    "DOI string, title array<string>, author array<struct<given: string, family: string>>, created struct<`date-parts`: array<array<int>>>, "
+    "`container-title` array<string>, `is-referenced-by-count` long, abstract string"
+)
+SCHOLAR = (
+    "paperId string, externalIds struct<DOI: string>, title string, authors array<struct<name: string>>, year int, venue string, abstract string, "
+    "openAccessPdf struct<url: string>, isOpenAccess boolean, citationCount long"
+)
+
+
+def crossref_papers(raw: DataFrame) -> DataFrame:
+    """Papers of records of schema ``CROSSREF``; those without a DOI go, a missing title is "Unknown Title"."""
+    named = F.filter(F.transform("author", lambda a: F.struct(F.coalesce(a["given"], F.lit("")).alias("given"), a["family"].alias("family"))), lambda a: F.coalesce(F.length(a["family"]), F.lit(0)) > 0)
+    return _paper(
+        raw.filter("length(DOI) > 0"), source=F.lit("crossref"), doi=F.lower("DOI"), title=F.coalesce(F.get("title", F.lit(0)), F.lit("Unknown Title")),
+        authors=F.transform(F.coalesce(named, F.array()), lambda a: F.trim(F.concat(a["given"], F.lit(" "), a["family"]))), year=F.get(F.get("created.date-parts", F.lit(0)), F.lit(0)),
+        abstract=F.col("abstract"), venue=F.get("container-title", F.lit(0)), citation_count=F.coalesce("is-referenced-by-count", F.lit(0)),
+    )
+
+
+def scholar_papers(raw: DataFrame, years: tuple[int, int] | None = None, open_only: bool = False) -> DataFrame:
+    """Papers of records of schema ``SCHOLAR`` in a range of years; ten authors at most; those without an id go."""
+    kept = raw.filter("length(paperId) > 0")
+    kept = kept.filter(F.col("year").between(*years)) if years else kept
+    kept = kept.filter("isOpenAccess") if open_only else kept
+    names = F.filter(F.transform(F.slice("authors", 1, 10), lambda a: a["name"]), lambda n: F.coalesce(F.length(n), F.lit(0)) > 0)
+    return _paper(
+        kept, source=F.lit("semantic_scholar"), doi=F.col("externalIds.DOI"), title=F.col("title"), authors=F.coalesce(names, F.array()), year=F.col("year"), abstract=F.col("abstract"),
+        venue=F.col("venue"), citation_count=F.coalesce("citationCount", F.lit(0)), pdf_url=F.col("openAccessPdf.url"),
+    )
+
+
+def read_crossref(spark: SparkSession, path: str) -> DataFrame:
+    return crossref_papers(spark.read.schema(CROSSREF).json(path))
+
+
+def read_scholar(spark: SparkSession, path: str, years: tuple[int, int] | None = None, open_only: bool = False) -> DataFrame:
+    return scholar_papers(spark.read.schema(SCHOLAR).json(path), years, open_only)
+
+
+def by_dois(papers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The papers whose DOI is in ``wanted`` (doi), in whatever form either is written."""
+    keys = wanted.select(biblio.normal_doi(F.col("doi")).alias("wanted_doi")).distinct()
+    return papers.join(keys, biblio.normal_doi(papers["doi"]) == F.col("wanted_doi"), "left_semi")
+
+
+# Publication type, its terms in the works API, Crossref and Semantic Scholar.
+PUBLICATION_TYPES = (
+    ("journal_article", "type:article,primary_location.source.type:journal", "journal-article", "JournalArticle"),
+    ("conference_paper", "type:conference-proceedings", "proceedings-article", "Conference"),
+    ("preprint", "type:preprint", "posted-content", "Preprint"),
+    ("book", "type:book", "book", "Book"),
+    ("book_chapter", "type:book-chapter", "book-chapter", "BookChapter"),
+    ("review", "type:review", "journal-article", "Review"),
+    ("report", "type:report", "report", None),
+    ("dataset", "type:dataset", "dataset", None),
+    ("editorial", "type:editorial", "journal-article", "Editorial"),
+    ("thesis", "dissertation|thesis", "dissertation", None),
+    ("clinical_trial", None, None, "ClinicalTrial"),
+    ("letter", "type:letter", "journal-article", "LettersAndComments"),
+    ("standard", "type:standard", "standard", None),
+)
+APIS = ("works", "crossref", "semantic_scholar")
+
+
+def source_term(kind: Column, api: Column) -> Column:
+    """The term of a publication type at an API, null where it has none; an unknown type or API is an error."""
+    terms = {f"{row[0]}@{a}": t for row in PUBLICATION_TYPES for a, t in zip(APIS, row[1:], strict=True)}
+    table = F.create_map(*[F.lit(x) for item in terms.items() for x in item])
+    key = F.concat(kind, F.lit("@"), api)
+    return F.when(F.coalesce(F.map_contains_key(table, key), F.lit(False)), F.try_element_at(table, key)).otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(key, F.lit("null")))))
+
+
 def read_csv_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and quoted line breaks; the column ``doi`` in normal form."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"').withColumn("doi", biblio.normal_doi(F.col("doi")))
