@@ -172,3 +172,18 @@ def targeted(text: Column, found: dict[str, Column], suggested: Column | None =
     kept = F.filter(made, lambda q: q.isNotNull())
     new = F.filter(kept, lambda q, i: ~F.array_contains(F.transform(F.slice(kept, F.lit(1), i), lambda x: F.lower(x)), F.lower(q)))
     return F.slice(new, 1, most)
+
+
+# Papers to look for by depth.
+DEPTHS = {"Low": 10, "Medium": 25, "High": 50}
+
+
+def paper_target(depth: Column, low: Column, high: Column) -> dict[str, Column]:
+    """target, least, most, warning; a null range means the depth decides, an unknown depth is Medium."""
+    usual = F.lit(DEPTHS["Medium"])
+    for name, n in DEPTHS.items():
+        usual = F.when(depth == name, n).otherwise(usual)
+    middle, preset = F.floor((low + high) / 2), low.isNull() | high.isNull()
+    warning = F.when(preset, None).when(middle < usual * 0.7, "narrow").when(middle > usual * 1.5, "wide")
+    either = lambda a, b: F.when(preset, a.cast("long")).otherwise(b.cast("long"))
+    return {"target": either(usual, middle), "least": either(F.floor(usual * 0.6), low), "most": either(F.floor(usual * 1.4), high), "warning": warning}

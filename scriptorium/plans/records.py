@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.catalog import query
+from scriptorium.catalog import ORACLES, query
 from scriptorium.functions import questions as Q
+from scriptorium.functions import validation as V
+from scriptorium.operators import models as M
+from scriptorium.operators import search
 from scriptorium.operators.tables import count_if
-from scriptorium.plans.answers import _ASKED, _asked
-from scriptorium.session import table
+from scriptorium.plans import retrieval
+from scriptorium.plans.answers import _ANSWERED, _ASKED, _answered, _asked
+from scriptorium.session import cut, table
 from scriptorium.sources import readers
 
 
@@ -108,3 +112,62 @@ def targeted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Follow-up questions for what a question asks and its text doesn't cover."""
     made = _asked(spark, sf_dir).select("conv_id", "turn", Q.targeted(F.col("text"), Q.entities(F.col("text"))).alias("queries"))
     return made.filter(F.size("queries") > 0).select("conv_id", "turn", F.array_join("queries", "; ").alias("queries"))
+
+
+_quoted = lambda p: "'" + p.replace("'", "''") + "'"
+_START = " OR ".join(f"starts_with(lower(p), '{x}')" for x in V.INTRODUCTIONS)
+
+
+@query(rf"""WITH {_ANSWERED}, t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM a GROUP BY 1),
+  s AS (SELECT conv_id, unnest(regexp_split_to_array(regexp_replace(text, '\n(#+\s)', chr(10) || chr(10) || '\1', 'g'), '\n\n+')) AS p FROM t), ps AS (SELECT conv_id, row_number() OVER () AS i, p FROM (SELECT conv_id, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM s) WHERE length(p) > 20),
+  f AS (SELECT conv_id, i, regexp_extract_all(p, {_quoted(V.NUMBERED)}, 1) AS marks, len(regexp_extract_all(p, {_quoted(V.PARENTHETICAL)})) + len(regexp_extract_all(p, {_quoted(V.NARRATIVE)})) AS authors,
+   NOT (starts_with(p, '#') OR starts_with(p, '**') OR suffix(p, '?') OR contains(p, 'References') OR contains(lower(p), 'limitations') OR length(p) < 100 OR {_START}) AND (regexp_matches(p, {_quoted(V.CLAIM)}) OR (regexp_matches(lower(p), {_quoted(V.VERB)}) AND len(regexp_extract_all(p, '\S+')) > 10)) AS claim FROM ps),
+  m AS (SELECT conv_id, i, unnest(marks) AS mark FROM f), c AS (SELECT conv_id, i, unnest(CASE WHEN contains(mark, '-') THEN range(CAST(split_part(mark, '-', 1) AS BIGINT), CAST(split_part(mark, '-', 2) AS BIGINT) + 1) ELSE list_transform(regexp_extract_all(mark, '\d+'), lambda x: CAST(x AS BIGINT)) END) AS n FROM m),
+  k AS (SELECT conv_id, count(*) AS numbers, count(*) FILTER (n BETWEEN 1 AND 4) AS valid, coalesce(list(DISTINCT n ORDER BY n) FILTER (n BETWEEN 1 AND 4), []) AS cited FROM c GROUP BY 1), x AS (SELECT DISTINCT conv_id, i FROM c),
+  g AS (SELECT f.conv_id, count(*) AS paragraphs, sum(authors) AS authors, count(*) FILTER (claim) AS claims, count(*) FILTER (claim AND authors = 0 AND x.i IS NULL) AS uncited FROM f LEFT JOIN x ON x.conv_id = f.conv_id AND x.i = f.i GROUP BY 1),
+  b AS (SELECT t.conv_id, coalesce(paragraphs, 0) AS paragraphs, coalesce(authors, 0) AS authors, coalesce(claims, 0) AS claims, coalesce(uncited, 0) AS uncited, coalesce(numbers, 0) AS numbers, coalesce(valid, 0) AS valid, coalesce(cited, []) AS cited FROM t LEFT JOIN g USING (conv_id) LEFT JOIN k USING (conv_id)),
+  s1 AS (SELECT *, CASE WHEN claims = 0 THEN 1.0::DOUBLE ELSE (claims - uncited) / claims::DOUBLE END AS v FROM b), s2 AS (SELECT *, CASE WHEN numbers + authors >= 15 THEN least(1.0, v + 0.1) ELSE v END AS w FROM s1), s3 AS (SELECT *, CASE WHEN numbers + authors >= 25 THEN least(1.0, w + 0.1) ELSE w END AS z FROM s2)
+  SELECT conv_id, paragraphs, CAST(numbers + authors AS BIGINT) AS citations, numbers - valid AS invalid, uncited, cited AS cited_sources, round(CASE WHEN numbers > valid THEN z * 0.8 ELSE z END, 6) AS compliance, round((len(cited) + least(authors, 4 - len(cited))) / 4.0, 6) AS coverage FROM s3""")
+def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of a conversation as one text, against four sources."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")
+    rows = _answered(spark, sf_dir).groupBy("conv_id").agg(whole.alias("text")).select("conv_id", V.judged(F.col("text")).alias("judged"))
+    made = V.compliance(F.col("judged"), 4)
+    return rows.select("conv_id", *[(F.round(c, 6) if n in ("compliance", "coverage") else c).alias(n) for n, c in made.items()])
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS low, count(*) * (1 + o_custkey % 6) AS high, ['Low', 'Medium', 'High'][(o_custkey % 3 + 1)::INT] AS depth, o_custkey % 4 = 0 AS preset FROM orders GROUP BY 1),
+  t AS (SELECT *, CASE depth WHEN 'Low' THEN 10 WHEN 'Medium' THEN 25 ELSE 50 END AS usual, (low + high) // 2 AS middle FROM o)
+  SELECT o_custkey, depth, CAST(CASE WHEN preset THEN usual ELSE middle END AS BIGINT) AS target, CAST(CASE WHEN preset THEN floor(usual * 0.6) ELSE low END AS BIGINT) AS least, CAST(CASE WHEN preset THEN floor(usual * 1.4) ELSE high END AS BIGINT) AS most,
+   CASE WHEN preset THEN NULL WHEN middle < usual * 0.7 THEN 'narrow' WHEN middle > usual * 1.5 THEN 'wide' END AS warning FROM t""")
+def paper_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many papers to look for: the depth's number, or the middle of a range that was asked for, with a warning where they differ much."""
+    key = F.col("o_custkey")
+    asked = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("low")).withColumn("high", F.col("low") * (1 + key % 6))
+    depth = F.element_at(F.array(*map(F.lit, ("Low", "Medium", "High"))), (key % 3 + 1).cast("int"))
+    made = Q.paper_target(depth, F.when(key % 4 != 0, F.col("low")), F.when(key % 4 != 0, F.col("high")))
+    return asked.select("o_custkey", depth.alias("depth"), *[c.alias(n) for n, c in made.items()])
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = cut(retrieval.fused(spark, sf_dir), "hits")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return hits.select("query_id", "doc_id", "rank").join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
+@query(ORACLES["rerank_lexical"])
+def rerank_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by a scorer that any model can replace."""
+    return M.reranked(_hits(spark, sf_dir), M.word_share).select("query_id", "doc_id", F.col("score").alias("overlap"), "reranked")
+
+
+@query(None)
+def hypothetical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by a written answer: here the question with the beginning of its best keyword hit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    best = cut(search.bm25(docs, asked, 1), "best_hits").select("query_id", "doc_id").join(docs.withColumnRenamed("text", "found"), "doc_id")
+    written = asked.join(best, "query_id", "left")
+    vectors = cut(M.embedded(docs, M.hashed_words).select("doc_id", "embedding"), "text_vectors")
+    answers = M.hypothetical(written, F.concat_ws(" ", "text", F.element_at(F.split("found", r"\n"), 1)), M.hashed_words)
+    return search.nearest(vectors, cut(answers, "answer_vectors"), 5, "doc_id").select("query_id", "doc_id", "similarity", "semantic_rank")
