@@ -36,7 +36,7 @@ def index_terms(text: Column) -> Column:
 
 def key_terms(text: Column) -> Column:
     stop = F.array(*map(F.lit, QUERY_STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z]{3,}\b"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens(text), lambda t: t.rlike("^[a-z]{3,}$") & ~F.array_contains(stop, t))
 
 
 def collapsed(text: Column) -> Column:

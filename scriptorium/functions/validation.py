@@ -79,3 +79,7 @@ def compliance(judged: Column, sources: int) -> dict[str, Column]:
         "paragraphs": F.size(judged).cast("long"), "citations": numbers + authors, "invalid": invalid, "uncited": uncited.cast("long"), "cited_sources": F.array_sort(F.array_distinct(valid)),
         "compliance": F.when(invalid > 0, score * 0.8).otherwise(score), "coverage": (cited + F.least(authors, sources - cited)) / float(sources),
     }
+
+
+def badge(score: Column) -> Column:
+    return F.when(score >= 0.9, "🟢 Excellent").when(score >= 0.7, "🟡 Good").when(score >= 0.5, "🟠 Fair").otherwise("🔴 Poor")

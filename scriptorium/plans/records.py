@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.catalog import ORACLES, query
 from scriptorium.functions import questions as Q
+from scriptorium.functions import text as X
 from scriptorium.functions import validation as V
 from scriptorium.operators import models as M
 from scriptorium.operators import search
@@ -127,13 +128,13 @@ _START = " OR ".join(f"starts_with(lower(p), '{x}')" for x in V.INTRODUCTIONS)
   g AS (SELECT f.conv_id, count(*) AS paragraphs, sum(authors) AS authors, count(*) FILTER (claim) AS claims, count(*) FILTER (claim AND authors = 0 AND x.i IS NULL) AS uncited FROM f LEFT JOIN x ON x.conv_id = f.conv_id AND x.i = f.i GROUP BY 1),
   b AS (SELECT t.conv_id, coalesce(paragraphs, 0) AS paragraphs, coalesce(authors, 0) AS authors, coalesce(claims, 0) AS claims, coalesce(uncited, 0) AS uncited, coalesce(numbers, 0) AS numbers, coalesce(valid, 0) AS valid, coalesce(cited, []) AS cited FROM t LEFT JOIN g USING (conv_id) LEFT JOIN k USING (conv_id)),
   s1 AS (SELECT *, CASE WHEN claims = 0 THEN 1.0::DOUBLE ELSE (claims - uncited) / claims::DOUBLE END AS v FROM b), s2 AS (SELECT *, CASE WHEN numbers + authors >= 15 THEN least(1.0, v + 0.1) ELSE v END AS w FROM s1), s3 AS (SELECT *, CASE WHEN numbers + authors >= 25 THEN least(1.0, w + 0.1) ELSE w END AS z FROM s2)
-  SELECT conv_id, paragraphs, CAST(numbers + authors AS BIGINT) AS citations, numbers - valid AS invalid, uncited, cited AS cited_sources, round(CASE WHEN numbers > valid THEN z * 0.8 ELSE z END, 6) AS compliance, round((len(cited) + least(authors, 4 - len(cited))) / 4.0, 6) AS coverage FROM s3""")
+  SELECT conv_id, paragraphs, CAST(numbers + authors AS BIGINT) AS citations, numbers - valid AS invalid, uncited, cited AS cited_sources, round(CASE WHEN numbers > valid THEN z * 0.8 ELSE z END, 6) AS compliance, round((len(cited) + least(authors, 4 - len(cited))) / 4.0, 6) AS coverage, CASE WHEN y >= 0.9 THEN '🟢 Excellent' WHEN y >= 0.7 THEN '🟡 Good' WHEN y >= 0.5 THEN '🟠 Fair' ELSE '🔴 Poor' END AS badge FROM (SELECT *, CASE WHEN numbers > valid THEN z * 0.8 ELSE z END AS y FROM s3)""")
 def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers of a conversation as one text, against four sources."""
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")
     rows = _answered(spark, sf_dir).groupBy("conv_id").agg(whole.alias("text")).select("conv_id", V.judged(F.col("text")).alias("judged"))
     made = V.compliance(F.col("judged"), 4)
-    return rows.select("conv_id", *[(F.round(c, 6) if n in ("compliance", "coverage") else c).alias(n) for n, c in made.items()])
+    return rows.select("conv_id", *[(F.round(c, 6) if n in ("compliance", "coverage") else c).alias(n) for n, c in made.items()], V.badge(made["compliance"]).alias("badge"))
 
 
 @query("""WITH o AS (SELECT o_custkey, count(*) AS low, count(*) * (1 + o_custkey % 6) AS high, ['Low', 'Medium', 'High'][(o_custkey % 3 + 1)::INT] AS depth, o_custkey % 4 = 0 AS preset FROM orders GROUP BY 1),
@@ -171,3 +172,28 @@ def hypothetical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cut(M.embedded(docs, M.hashed_words).select("doc_id", "embedding"), "text_vectors")
     answers = M.hypothetical(written, F.concat_ws(" ", "text", F.element_at(F.split("found", r"\n"), 1)), M.hashed_words)
     return search.nearest(vectors, cut(answers, "answer_vectors"), 5, "doc_id").select("query_id", "doc_id", "similarity", "semantic_rank")
+
+
+_TERMS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: regexp_full_match(t, '[a-z]{3,}') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.QUERY_STOP_WORDS) + "], t))"
+
+
+@query(f"""WITH r AS ({ORACLES["rerank_lexical"]}), h AS (SELECT r.query_id, doc_id, overlap, reranked, lower(d.text) AS t, lang FROM r JOIN documents d USING (doc_id)),
+  k AS (SELECT item_id AS query_id, {_TERMS} AS ks FROM benchmark), u AS (SELECT query_id, generate_subscripts(ks, 1) AS pos, unnest(ks) AS term FROM k),
+  f AS (SELECT query_id, pos, max(CASE WHEN contains(t, term) THEN 1 ELSE 0 END) AS hit FROM u JOIN h USING (query_id) WHERE reranked <= 20 GROUP BY 1, 2), c AS (SELECT query_id, avg(hit) AS terms FROM f GROUP BY 1),
+  g AS (SELECT query_id, avg(CASE WHEN overlap > 0.75 THEN 1.0::DOUBLE ELSE 0 END) AS relevance, least(1.0, count(DISTINCT doc_id) / 10.0::DOUBLE) AS diversity, least(1.0, count(DISTINCT CASE WHEN reranked <= 20 THEN lang END) / 4.0::DOUBLE) AS sections FROM h GROUP BY 1),
+  v AS (SELECT query_id, relevance, diversity, coalesce(terms, 0.5) AS terms, sections, round(0.35 * relevance + 0.30 * diversity + 0.25 * coalesce(terms, 0.5) + 0.10 * sections, 6) AS confidence FROM g LEFT JOIN c USING (query_id))
+  SELECT query_id, round(relevance, 6) AS relevance, round(diversity, 6) AS diversity, round(terms, 6) AS terms, round(sections, 6) AS sections, confidence, CASE WHEN confidence >= 0.85 THEN 'generate' WHEN confidence >= 0.65 THEN 'expand' ELSE 'full_sequential' END AS recommendation FROM v""")
+def confidence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four signals of each question's hits: relevant ones, documents against ten, its terms in the first 20, sections (here languages) against four."""
+    ranked = cut(retrieval.rerank_lexical(spark, sf_dir), "ranked_hits")
+    hits = ranked.join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"), "lang"), "doc_id")
+    first = F.col("reranked") <= 20
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(X.key_terms(F.col("text"))).alias("pos", "term"))
+    found = terms.join(hits.filter(first), "query_id").groupBy("query_id", "pos").agg(F.max(F.contains("t", "term").cast("int")).alias("hit")).groupBy("query_id").agg(F.avg("hit").alias("terms"))
+    share = lambda c, most: F.least(F.lit(1.0), c / float(most))
+    signals = hits.groupBy("query_id").agg(
+        F.avg((F.col("overlap") > 0.75).cast("double")).alias("relevance"), share(F.countDistinct("doc_id"), 10).alias("diversity"), share(F.countDistinct(F.when(first, F.col("lang"))), 4).alias("sections"),
+    ).join(found, "query_id", "left").withColumn("terms", F.coalesce("terms", F.lit(0.5)))
+    made = signals.withColumn("confidence", F.round(0.35 * F.col("relevance") + 0.30 * F.col("diversity") + 0.25 * F.col("terms") + 0.10 * F.col("sections"), 6))
+    advice = F.when(F.col("confidence") >= 0.85, "generate").when(F.col("confidence") >= 0.65, "expand").otherwise("full_sequential")
+    return made.select("query_id", *[F.round(c, 6).alias(c) for c in ("relevance", "diversity", "terms", "sections")], "confidence", advice.alias("recommendation"))
