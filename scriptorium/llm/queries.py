@@ -211,3 +211,44 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.prefix_trie import forked, prefix_trie, turn_sequences
+    from scriptorium.session import cut
+
+    own = cut(turn_sequences(table(spark, sf_dir, "conversations")), "turn_sequences")
+    return prefix_trie(forked(own))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, md5(length(role) || ':' || role || text) AS id,
+         CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, pos, id, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, id, words FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(id, '') OVER w AS key, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), q AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS over FROM p
+), n AS (
+  SELECT key, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS least, count(*) AS n, (count(*) - 1) * any_value(words) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends
+  FROM q GROUP BY key
+), k AS (
+  SELECT parent AS key, count(*) AS children FROM n WHERE parent IS NOT NULL GROUP BY parent
+), s AS (
+  SELECT up.key, count(*) FILTER (k.children IS NULL) AS leaves, CAST(sum(n.saved) AS BIGINT) AS saved
+  FROM n LEFT JOIN k ON k.key = n.key JOIN p up ON up.conv_id = n.least AND up.depth <= n.depth GROUP BY up.key
+)
+SELECT n.least AS conv_id, n.depth, u.least AS parent_conv_id, n.n AS n_convs, coalesce(k.children, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.key = n.key LEFT JOIN k ON k.key = n.key LEFT JOIN n u ON u.key = n.parent
+"""
