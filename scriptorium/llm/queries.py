@@ -194,6 +194,13 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_i
 """
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.token_alignment import align_corpus
+
+    return align_corpus(table(spark, sf_dir, "documents"))[0]
+
+
 @query
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
