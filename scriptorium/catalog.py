@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return wrap
 
 
-from scriptorium.plans import answers, corpus, facts, linkage, operations, planning, records, relational, retrieval, sections, streams  # noqa: E402, F401
+from scriptorium.plans import answers, corpus, facts, ingestion, linkage, operations, planning, records, relational, retrieval, sections, streams  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.catalog import query
 from scriptorium.session import ship_code, table
-from scriptorium.streaming import breaker
+from scriptorium.streaming import breaker, timers
 from scriptorium.streaming.windows import drain, event_stream, local_time
 
 
@@ -83,3 +83,46 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = event_stream(spark, sf_dir, "lineitem").withColumn("l_ts", F.col("l_shipdate").cast("timestamp")).withWatermark("l_ts", "1 day").select("l_orderkey", "l_linenumber", "l_quantity", "l_ts")
     hit = (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_ts") >= F.col("o_ts")) & (F.col("l_ts") <= F.expr("o_ts + INTERVAL 60 DAYS"))
     return drain(orders.join(lines, hit).select("o_orderkey", "l_linenumber", "l_quantity"))
+
+
+_PASSED = """p AS (SELECT max(epoch_us(ts) // 1000) - 86400000 AS w FROM events), """
+
+
+@query(f"""WITH RECURSIVE {_PASSED} e AS (
+    SELECT user_id, epoch_us(ts) // 1000 AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events, p WHERE epoch_us(ts) // 1000 <= w
+  ), r AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS t, 'CLOSED' AS ripe, 'CLOSED' AS state, 'CLOSED' AS was, 0 AS failures, -(1::BIGINT << 60) AS opened, -(1::BIGINT << 60) AS was_opened, -(1::BIGINT << 60) AS last FROM e
+    UNION ALL
+    SELECT user_id, rn, t, ripe, state, was, CASE WHEN ripe = 'OPEN' THEN failures WHEN failed THEN failures + 1 WHEN t - last >= 21600000 THEN 0 ELSE failures END,
+      CASE WHEN ripe <> 'OPEN' AND state = 'OPEN' THEN t ELSE opened END, opened, CASE WHEN ripe <> 'OPEN' AND failed THEN t ELSE last END
+    FROM (SELECT *, CASE WHEN ripe = 'OPEN' THEN 'OPEN' WHEN failed AND failures + 1 >= 2 THEN 'OPEN' WHEN NOT failed AND t - last >= 21600000 THEN 'CLOSED' ELSE ripe END AS state
+      FROM (SELECT e.user_id, e.rn, e.t, e.failed, CASE WHEN r.state = 'OPEN' AND e.t > r.opened + 43200000 THEN 'HALF_OPEN' ELSE r.state END AS ripe, r.state AS was, r.failures, r.opened, r.last FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+  )
+  SELECT user_id, t AS at_ms, state FROM r WHERE state <> ripe UNION ALL SELECT user_id, was_opened + 43200001, 'HALF_OPEN' FROM r WHERE ripe <> was
+  UNION ALL SELECT user_id, opened + 43200001, 'HALF_OPEN' FROM (SELECT *, max(rn) OVER (PARTITION BY user_id) AS last_rn FROM r), p WHERE rn = last_rn AND state = 'OPEN' AND w > opened + 43200000""")
+def breaker_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of each user's breaker, by timers: half open half a day after it opened even if nothing comes."""
+    stream = event_stream(spark, sf_dir)
+    made = timers.breaker_changes(stream, "user_id", "event_id", "ts", F.col("event_type") == "error", threshold=2, reset=43_200_000, stable=21_600_000, delay="1 day")
+    return drain(made.withColumnsRenamed({"key": "user_id", "at": "at_ms"}))
+
+
+@query(f"""WITH RECURSIVE {_PASSED} e AS (
+    SELECT user_id % 8 AS lane, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events, p WHERE epoch_us(ts) // 1000 <= w
+  ), r AS (
+    SELECT DISTINCT lane, 0::BIGINT AS rn, 0::BIGINT AS number, 0::BIGINT AS n, 0::BIGINT AS first, 0::BIGINT AS low, 0::BIGINT AS high, [NULL::STRUCT(number BIGINT, n BIGINT, first BIGINT, t BIGINT, cause VARCHAR, low BIGINT, high BIGINT)] AS out FROM e
+    UNION ALL
+    SELECT lane, rn, number + (n = 32)::BIGINT, CASE WHEN n = 32 THEN 0 ELSE n END, first, low, high, [late, CASE WHEN n = 32 THEN struct_pack(number := number, n := n, first := first, t := t, cause := 'size', low := low, high := high) END]
+    FROM (SELECT e.lane, e.rn, e.t, r.number + late::BIGINT AS number, CASE WHEN r.n = 0 OR late THEN 1 ELSE r.n + 1 END AS n, CASE WHEN r.n = 0 OR late THEN e.t ELSE r.first END AS first,
+        CASE WHEN r.n = 0 OR late THEN e.event_id ELSE least(r.low, e.event_id) END AS low, CASE WHEN r.n = 0 OR late THEN e.event_id ELSE greatest(r.high, e.event_id) END AS high,
+        CASE WHEN late THEN struct_pack(number := r.number, n := r.n, first := r.first, t := r.first + 21600000, cause := 'wait', low := r.low, high := r.high) END AS late
+      FROM (SELECT r.*, e AS e, r.n > 0 AND e.t > r.first + 21600000 AS late FROM r JOIN e ON e.lane = r.lane AND e.rn = r.rn + 1) r)
+  ), o AS (
+    SELECT lane, unnest(out) AS o FROM r
+    UNION ALL SELECT lane, struct_pack(number := number, n := n, first := first, t := first + 21600000, cause := 'wait', low := low, high := high) FROM (SELECT *, max(rn) OVER (PARTITION BY lane) AS last_rn FROM r), p WHERE rn = last_rn AND n > 0 AND w > first + 21600000
+  )
+  SELECT lane, o.number, o.n, o.first AS first_at, o.t AS left_at, o.cause, o.low, o.high FROM o WHERE o IS NOT NULL""")
+def timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of eight lanes in batches that leave with their 32nd item or six hours after their first."""
+    stream = event_stream(spark, sf_dir).withColumn("lane", F.col("user_id") % 8)
+    return drain(timers.timed_batches(stream, "lane", "event_id", "ts", size=32, wait=21_600_000, delay="1 day").withColumnRenamed("key", "lane"))
