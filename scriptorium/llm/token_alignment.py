@@ -45,7 +45,9 @@ SHARD_PAIRS = 500_000
 #: Links a task counts before it writes them out.
 COUNTED = 3_000_000
 #: Chunks, and bytes of them, that a worker keeps aligned.
-CHUNKS, CHUNK_BYTES = 600_000, 64 << 20
+CHUNKS, CHUNK_BYTES = 250_000, 24 << 20
+#: Characters of texts that are aligned at once (one text at least).
+AT_ONCE = 1 << 20
 #: A group of more links is taken by distinct ids.
 LARGE_GROUP = 1024
 
@@ -230,9 +232,14 @@ def align_texts(docs: DataFrame, paths: tuple[str | None, str | None]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = tokens.shared(Aligner, paths)
         for batch in batches:
-            sums, groups, pairs, times = aligner.align(batch.column("text").to_pylist())
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            yield _batch(_ALIGNED, [batch.column("key"), batch.column("n"), *sums.T, digests, list(map(_pack, pairs)), list(map(_pack, times))])
+            texts = batch.column("text").to_pylist()
+            part = np.cumsum(list(map(len, texts))) // AT_ONCE
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)], strict=True):
+                sums, groups, pairs, times = aligner.align(texts[start:stop])
+                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                some = batch.slice(start, stop - start)
+                yield _batch(_ALIGNED, [some.column("key"), some.column("n"), *sums.T, digests, list(map(_pack, pairs)), list(map(_pack, times))])
 
     return texts.mapInArrow(run, _ddl(_ALIGNED))
 
