@@ -7,8 +7,8 @@ turns have the same role, and joined to one string:
 
 ``<|next|>`` keeps apart the texts of a merged block, so reading back gives the
 rows that went in.  Texts cannot form a marker: the escape sign is written as
-sign + e, then ``<|`` and ``|>`` get the sign in their middle; a bar in a role is
-written as sign + p.  Every marker ends in one line break, so a text may begin with others,
+sign + e, then ``<|`` and ``|>`` get the sign in their middle; ``|``, ``<`` and ``>`` in a role
+are written as sign + p, l and g.  Every marker ends in one line break, so a text may begin with others,
 and a role cannot be taken for another marker.  ``mask`` lists the runs of characters of the string in order,
 each with whether the loss counts them: the assistants' texts, nothing else.
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 SIGN = "␛"
 ROLE, OPEN, NEXT, END = "<|role:", "|>\n", "<|next|>\n", "<|end|>\n"
 LOSS_ROLE = "assistant"
+#: What a role may not hold as it is, and the letter behind the escape sign that stands for it.
+ROLE_SIGNS = (("|", "p"), ("<", "l"), (">", "g"))
 
 
 def escape(text: Column) -> Column:
@@ -42,11 +44,17 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit(SIGN), F.lit(SIGN + "e")), F.lit("|"), F.lit(SIGN + "p"))
+    out = F.replace(role, F.lit(SIGN), F.lit(SIGN + "e"))
+    for sign, letter in ROLE_SIGNS:
+        out = F.replace(out, F.lit(sign), F.lit(SIGN + letter))
+    return out
 
 
 def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit(SIGN + "p"), F.lit("|")), F.lit(SIGN + "e"), F.lit(SIGN))
+    out = role
+    for sign, letter in ROLE_SIGNS:
+        out = F.replace(out, F.lit(SIGN + letter), F.lit(sign))
+    return F.replace(out, F.lit(SIGN + "e"), F.lit(SIGN))
 
 
 def _blocks(turns: str, starts: str) -> Column:

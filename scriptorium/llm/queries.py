@@ -39,7 +39,7 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
   SELECT *, replace(replace(replace(text, chr(9243), chr(9243) || 'e'), '<|', '<' || chr(9243) || '|'), '|>', '|' || chr(9243) || '>') AS etext,
-         replace(replace(role, chr(9243), chr(9243) || 'e'), '|', chr(9243) || 'p') AS erole,
+         replace(replace(replace(replace(role, chr(9243), chr(9243) || 'e'), '|', chr(9243) || 'p'), '<', chr(9243) || 'l'), '>', chr(9243) || 'g') AS erole,
          lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS previous
   FROM t
 )

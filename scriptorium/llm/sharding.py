@@ -10,7 +10,9 @@ size and each partition is written as one file, so nothing is shuffled.
 A version is a Parquet table of its live shards, named with the rows' schema by a
 version file.  That file is created only if it is absent, complete at its close: of two
 writers one gets the version, the other must try again on the new one.  A version file
-without content is no version yet.  Readers see only shards of a committed version;
+without content is no version yet; one that is older than ``COMMIT_SECONDS`` is of a writer
+that was lost, and the next commit takes the number behind it.  The schema is that of all arrivals, merged by
+name: rows written without a column read as null in it, and a column cannot change its type.  Readers see only shards of a committed version;
 files of an attempt that was lost are never listed, and ``vacuum`` removes them once they
 are older than a grace time, in which a writer must have committed.
 
@@ -29,7 +31,7 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from scriptorium.operators.tables import fresh
 
@@ -37,6 +39,8 @@ TARGET_BYTES = 128 << 20
 SMALL_BYTES = 64 << 10
 FANOUT = 4
 GRACE_SECONDS = 24 * 3600.0
+#: A writer that has created a version file closes it within this time, or is taken for lost.
+COMMIT_SECONDS = 600.0
 _SHARD = "path string, bytes long, n_rows long, tier int"
 
 
@@ -44,10 +48,25 @@ class VersionConflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+class SchemaConflict(ValueError):
+    """An arrival has a column of the store with another type."""
+
+
+def merged_schema(old: StructType, new: StructType) -> StructType:
+    """The columns of both by name, old ones first, all of them nullable."""
+    kinds = {f.name: f.dataType.simpleString() for f in old}
+    for f in new:
+        if kinds.setdefault(f.name, f.dataType.simpleString()) != f.dataType.simpleString():
+            raise SchemaConflict(f"column {f.name} is {kinds[f.name]}, not {f.dataType.simpleString()}")
+    names = set(old.names)
+    return StructType([StructField(f.name, f.dataType) for f in (*old, *(f for f in new if f.name not in names))])
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, fanout: int = FANOUT, commit_seconds: float = COMMIT_SECONDS):
         self.spark, self.root = spark, root.rstrip("/")
         self.target, self.small, self.fanout = target_bytes, small_bytes, fanout
+        self.commit_seconds = commit_seconds
         self._written: dict[str, StructType] = {}  # schemas of the folders written here
 
     # -- the shared file system -------------------------------------------------
@@ -86,6 +105,8 @@ class ShardStore:
     def _commit(self, base: int, shards: DataFrame, schema: StructType) -> int:
         name = f"m-{uuid.uuid4().hex}"
         shards.select("path", "bytes", "n_rows", "tier").write.parquet(f"{self.root}/manifests/{name}")
+        while self._lost(base + 1):
+            base += 1
         try:
             out = self._fs().create(self._path(f"versions/v{base + 1:012d}"), False)
         except Py4JJavaError as e:
@@ -98,6 +119,14 @@ class ShardStore:
             out.close()
         return base + 1
 
+    def _lost(self, version: int) -> bool:
+        """Whether the version's file is an empty one that its writer will not close any more."""
+        fs, path = self._fs(), self._path(f"versions/v{version:012d}")
+        if not fs.exists(path):
+            return False
+        status = fs.getFileStatus(path)
+        return not status.getLen() and status.getModificationTime() <= (time.time() - self.commit_seconds) * 1000
+
     def _described(self, folder: str) -> DataFrame:
         """The files of a folder just written, by their footers' row counts."""
         status = self._fs().listStatus(self._path(folder))
@@ -124,6 +153,7 @@ class ShardStore:
         schema = next((s for name, s in self._written.items() if folder.startswith(name)), None)
         if schema is None:
             schema = self.spark.read.parquet(f"{self.root}/{folder}").schema
+        schema = merged_schema(self.schema(base) if base else StructType(), schema)
         return self._commit(base, self.manifest(base).unionByName(self._described(folder)), schema)
 
     def compact(self) -> int:

@@ -21,7 +21,7 @@ CONV = "conv_id long, turn long, role string, text string, formatted string"
 
 def test_chat_round_trip(spark):
     odd = ["<|end|>\n", "<|user|>\nx", "a␛eb␛|>", "<<|", "|>", "", None, "␛", "<␛|", "|␛>", r"\### Assistant: </turn> ok"]
-    rows = [(1, k, "user" if k % 3 else "assistant", t, "clash") for k, t in enumerate(odd)] + [(2, 0, "sys|tem␛p", "x", ""), (2, 0, "assistant", "y", ""), (2, 0, "assistant", "y", ""), (None, 1, None, "z", "")]
+    rows = [(1, k, "user" if k % 3 else "assistant", t, "clash") for k, t in enumerate(odd)] + [(2, 0, "sys|tem␛p", "x", ""), (3, 0, "a<", "hi", ""), (3, 1, "assistant", "yo", ""), (4, 0, "<|end|>\n<", "<", ""), (4, 1, "␛l>", "", ""), (4, 2, "assistant", "\n<|", ""), (2, 0, "assistant", "y", ""), (2, 0, "assistant", "y", ""), (None, 1, None, "z", "")]
     made = chat.format_chats(spark.createDataFrame(rows, CONV))
     for r in made.select("conv_id", "n_turns", chat.read_turns(F.col("formatted")).alias("t"), F.transform(chat.masked_texts(F.col("formatted"), F.col("mask")), chat.unescape).alias("loss")).collect():
         own = sorted(((t, ro or "", x or "") for c, t, ro, x, _ in rows if c == r.conv_id))
@@ -124,3 +124,30 @@ def test_oracles(spark, sf, name):
     want = con.execute(queries.ORACLES[name]).df()[df.columns]
     key = lambda p: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in p.itertuples(index=False))
     assert key(df.toPandas()) == key(want)
+
+
+def test_shards_behind_a_lost_writer(spark, docs, tmp_path):
+    root = f"file://{tmp_path}/lost"
+    store = sharding.ShardStore(spark, root)
+    folders = store.write_arrivals(docs, 2)
+    assert store.append(folders[0]) == 1
+    store._fs().create(store._path("versions/v000000000002"), False).close()  # a writer died before it wrote
+    assert store.version() == 1
+    with pytest.raises(sharding.VersionConflict):
+        store.append(folders[1])  # it may still be at work
+    late = sharding.ShardStore(spark, root, commit_seconds=0)
+    assert late.append(folders[1]) == 3 and late.read().count() == docs.count()
+    assert late.append(late.write_arrivals(docs, 1)[0]) == 4
+
+
+def test_shards_of_changing_schemas(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/schemas", fanout=2)
+    made = lambda rows, schema: store.append(store.write_arrivals(spark.createDataFrame(rows, schema), 1)[0])
+    made([(1, "old")], "doc_id long, text string")
+    made([(2,)], "doc_id long")
+    made([("x", 3)], "extra string, doc_id long")
+    want = [(1, "old", None), (2, None, None), (3, None, "x")]
+    assert sorted(map(tuple, store.read().collect())) == want and store.read().columns == ["doc_id", "text", "extra"]
+    with pytest.raises(sharding.SchemaConflict):
+        made([("4",)], "doc_id string")
+    assert store.compact() == 4 and sorted(map(tuple, store.read().collect())) == want
