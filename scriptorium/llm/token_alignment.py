@@ -44,7 +44,7 @@ HOT_PAIRS = 500_000
 SHARD_PAIRS = 500_000
 #: Links a task counts before it writes them out.
 COUNTED = 3_000_000
-#: Chunks, and bytes of them, that a worker keeps aligned.
+#: Chunks, and bytes of them, that a worker keeps aligned; beyond that, those seen once are forgotten.
 CHUNKS, CHUNK_BYTES = 250_000, 24 << 20
 #: Characters of texts that are aligned at once (one text at least).
 AT_ONCE = 1 << 20
@@ -92,8 +92,28 @@ class Aligner:
         self._start = np.zeros(1025, dtype=np.int64)
         self._pairs = np.zeros(4096, dtype=np.int64)
         self._times = np.zeros(4096, dtype=np.int64)
+        self._used = np.zeros(1024, dtype=np.int64)
         self._bytes = 0
 
+    def _thin(self) -> None:
+        """Keep the chunks that were met again, if they are at most half of what may be kept."""
+        n = len(self._groups)
+        kept = np.flatnonzero(self._used[:n] > 1)
+        words = list(self._at)
+        words = [words[k] for k in kept.tolist()]
+        size = sum(map(len, words))
+        if len(kept) > CHUNKS // 2 or size > CHUNK_BYTES // 2:
+            self._forget()
+            return
+        groups, sums, start, pairs, times = self._groups, self._sums, self._start, self._pairs, self._times
+        self._forget()
+        long = start[kept + 1] - start[kept]
+        place = np.repeat(start[kept] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+        self._keep(sums[kept], np.r_[0, np.cumsum(long)], pairs[place], times[place])
+        self._groups = [groups[k] for k in kept.tolist()]
+        self._at = dict(zip(words, range(len(words)), strict=True))
+        self._bytes = size
+
     def _whole(self, ids: list[list[int]], table: list[bytes], sizes: np.ndarray, want: list[bytes]) -> np.ndarray:
         """Whether the tokens of each chunk are its bytes."""
         flat = list(chain.from_iterable(ids))
@@ -156,6 +176,8 @@ class Aligner:
         def room(of: np.ndarray, need: int) -> np.ndarray:
             return of if need <= len(of) else np.concatenate([of, np.zeros((max(need, 2 * len(of)) - len(of), *of.shape[1:]), dtype=of.dtype)])
 
+        self._used = room(self._used, n + len(sums))
+        self._used[n : n + len(sums)] = 0
         self._sums, self._start = room(self._sums, n + len(sums)), room(self._start, n + len(sums) + 1)
         self._pairs, self._times = room(self._pairs, held + len(pairs)), room(self._times, held + len(pairs))
         self._sums[n : n + len(sums)] = sums
@@ -165,13 +187,14 @@ class Aligner:
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
         """For each text: its measures, its groups as text, its distinct links in order, and how often each occurs."""
         if len(self._at) > CHUNKS or self._bytes > CHUNK_BYTES:
-            self._forget()
+            self._thin()
         chunks = [_CUT.split(t) if self._separable else [t] for t in texts]
         if new := list(set().union(*chunks).difference(self._at)):
             self._learn(new)
         counts = np.array([len(c) for c in chunks], dtype=np.int64)
         listed = list(map(self._at.__getitem__, chain.from_iterable(chunks)))
         at = np.array(listed, dtype=np.int64)
+        self._used[: len(self._groups)] += np.bincount(at, minlength=len(self._groups))
         edge = np.cumsum(counts) - counts
         sums = np.add.reduceat(self._sums[at], edge, axis=0) if len(texts) else np.zeros((0, 4), dtype=np.int64)
         groups = []

@@ -99,6 +99,20 @@ def test_large_groups_by_distinct_ids(libraries):
     assert all((x == y).all() for k in (2, 3) for x, y in zip((sums, groups, pairs, times)[k], again[k], strict=True))
 
 
+def test_forgetting_changes_nothing(docs):
+    texts = [r.text for r in docs.collect() if r.text] + [t for t in ODD if t] + [f"again {k % 7} and once {k}" for k in range(200)]
+    whole, small = token_alignment.Aligner(), token_alignment.Aligner()
+    limit, token_alignment.CHUNKS = token_alignment.CHUNKS, 60
+    try:
+        made = [small.align([t]) for t in texts]
+    finally:
+        token_alignment.CHUNKS = limit
+    assert len(small._at) < 2000
+    for t, got in zip(texts, made, strict=True):
+        want = whole.align([t])
+        assert (got[0] == want[0]).all() and got[1] == want[1] and (got[2][0] == want[2][0]).all() and (got[3][0] == want[3][0]).all()
+
+
 def test_query_and_empty_table(spark, sf, libraries, no_docs):
     texts = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
     made = queries.op11_token_alignment(spark, sf)
