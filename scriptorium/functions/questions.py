@@ -112,13 +112,17 @@ NUMBERED = r"\[(\d+(?:\s*[-,]\s*\d+)*)\]"
 
 
 def cited_numbers(text: Column) -> Column:
-    """Source numbers cited as [1], [2, 3] or [1-3], in order, distinct."""
+    """Source numbers cited as [1], [2, 3] or [1-3], in order, distinct.
+
+    A range of a thousand numbers or more is no list of sources: its two ends count.  Numbers too long for one are left out.
+    """
     lists = F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1))
     parts = F.flatten(F.transform(lists, lambda x: F.split(F.regexp_replace(x, " ", ""), ",")))
 
     def expand(p: Column) -> Column:
-        low, high = F.split_part(p, F.lit("-"), F.lit(1)).cast("int"), F.when(p.contains("-"), F.split_part(p, F.lit("-"), F.lit(2)).cast("int"))
-        return F.when(high.isNull(), F.array(low)).when((high >= low) & (high - low < 1000), F.sequence(low, F.greatest(low, high))).otherwise(F.array(low, high))
+        low, high = (F.split_part(p, F.lit("-"), F.lit(k)).try_cast("int") for k in (1, 2))
+        near = (high >= low) & (high.cast("long") - low < 1000)
+        return F.when(near, F.sequence(low, F.when(near, high).otherwise(low))).otherwise(F.filter(F.array(low, high), lambda n: n.isNotNull()))
 
     return F.array_distinct(F.flatten(F.transform(parts, expand)))
 

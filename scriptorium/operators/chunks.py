@@ -28,10 +28,14 @@ _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*")
 
 
 def split_units(paragraph: str, most: int) -> list[str]:
-    """A paragraph, or its sentences if it is long; formulas are never cut."""
+    """A paragraph, or its sentences if it is long, or runs of ``most`` words of a longer sentence; formulas are never cut."""
     if len(paragraph.split()) <= most or _MATH.search(paragraph):
         return [paragraph]
-    return [s.strip() for s in _SENTENCE.findall(paragraph) if s.strip()]
+    out = []
+    for sentence in _SENTENCE.findall(paragraph):
+        words = sentence.split()
+        out += [" ".join(words[k : k + most]) for k in range(0, len(words), most)]
+    return out
 
 
 def chunk_text(text: str, size: int = 800, overlap: int = 150, least: int = 100) -> list[str]:

@@ -75,7 +75,7 @@ def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, cli
         return rows.groupby("q").head(k)
 
     for batch in batches:
-        batch = batch[batch["embedding"].notna()]
+        batch = batch[batch["embedding"].map(lambda e: e is not None and len(e) == wide.shape[1])]
         if not len(batch):
             continue
         x, own = np.stack(batch["embedding"].to_numpy()).astype(float), batch[key].to_numpy()
@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     Queries meet the vectors in matrix products; each task returns the best ``k`` of its vectors for each query.  Query
     vectors are broadcast in blocks of at most ``QUERY_BYTES``; each block is one scan of the vectors.  With ``clip``,
     vectors are compared in bytes first, clipped there, and only those that the codes' errors cannot rule out exactly.
-    Null vectors take no part; a zero vector has the similarity 0; ``skip_self`` leaves out a query's own key.
+    Null vectors take no part, and vectors of another length than the query's (each length of queries is a scan); a zero vector has the similarity 0; ``skip_self`` leaves out a query's own key.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("d")).first()
     parts = max(1, -(-(size["n"] or 0) * (size["d"] or 0) * 8 // QUERY_BYTES))
@@ -118,8 +118,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     found = []
     for part in range(parts):
         block = dealt.filter(F.col("part") == part).select("query_id", "query_vector").toPandas()
-        if len(block):
-            held = vectors.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), np.stack(block["query_vector"].to_numpy()).astype(float)))
+        for _, some in block.groupby(block["query_vector"].map(len)):
+            held = vectors.sparkSession.sparkContext.broadcast((some["query_id"].to_numpy(), np.stack(some["query_vector"].to_numpy()).astype(float)))
             run = lambda batches, held=held: _rows_of(batches, held.value, k, key, clip, skip_self)
             found.append(vectors.select(key, "embedding").mapInPandas(run, f"query_id {kinds['q']}, {key} {kinds['k']}, similarity double"))
     if not found:

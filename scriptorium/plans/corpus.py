@@ -13,6 +13,7 @@ from scriptorium.functions import text as X
 from scriptorium.operators.chunks import hierarchical, word_windows
 from scriptorium.operators.similar import similar_sets
 from scriptorium.operators.tables import first_by
+from scriptorium.operators.token_chunks import token_chunks
 from scriptorium.session import ship_code, table
 
 
@@ -179,3 +180,32 @@ def offline_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)))
 
     return _docs(spark, sf_dir).select("doc_id", embed("text").alias("embedding"))
+
+
+def _paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a paper: a preface in no section, its text under a heading with a formula behind it, and references."""
+    body = F.replace("text", F.lit("#"), F.lit("_"))
+    made = F.concat(F.lit(PREFACE), F.lit("\n\n# Methods used\n\n"), body, F.lit("\n\n$$ a + b\n\n= c $$\n\n# References\n\n"), F.substring(body, 1, 500))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring(body, 1, 60).alias("title"), F.substring(body, 1, 400).alias("abstract"), made.alias("paper"))
+
+
+PREFACE = "A preface of more than fifty characters that stands in no section of the paper at all."
+_BARE = r"regexp_replace(%s, '[ \t\n\x0b\f\r]', '', 'g')"
+
+
+@query(f"""SELECT doc_id, lang, source, section, md5(own) AS own_md5, true AS fits FROM documents, LATERAL (VALUES ('methods', {_BARE % "replace(text, '#', '_')"} || '$$a+b=c$$'), ('uncategorized', {_BARE % f"'{PREFACE}'"})) t(section, own)""")
+def chunked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chunks of a section hold beyond their overlaps, and whether all are within 800 tokens; metadata ride along."""
+    chunks = token_chunks(_paper(spark, sf_dir).withColumn("t", F.col("paper")), text="t", least=0).filter("level = 'paragraph'")
+    own = F.regexp_replace(F.substring(F.col("paper"), F.col("fresh") + 1, F.col("stop") - F.col("fresh")), r"\s", "")
+    parts = chunks.select("doc_id", "lang", "source", "section", "chunk", own.alias("own"), "n_tokens")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "own"))), lambda x: x["own"]), "")
+    return parts.groupBy("doc_id", "lang", "source", "section").agg(F.md5(joined).alias("own_md5"), (F.max("n_tokens") <= 800).alias("fits"))
+
+
+@query(None)
+def paper_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of papers with a summary of title and abstract, and what is known of each paper."""
+    chunks = token_chunks(_paper(spark, sf_dir), text="paper", title="title", abstract="abstract")
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return chunks.join(known, "doc_id", "left").select("doc_id", "chunk_id", "level", "section", "chunk", "start", "stop", "n_tokens", "n_formulas", "lang", "source", "quality", F.md5("chunk_text").alias("chunk_md5"))

@@ -131,9 +131,10 @@ def read_csv_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the lines that don't parse."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
-    return raw.filter("_corrupt_record is null").drop("_corrupt_record"), raw.filter("_corrupt_record is not null").select("_corrupt_record")
+    """Good rows, and the lines that don't parse; each is a scan of its own."""
+    read = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = spark.read.text(path).filter(F.trim("value") != "").select(read.alias("r"), "value")
+    return raw.filter("r._corrupt_record is null").select("r.*").drop("_corrupt_record"), raw.filter("r._corrupt_record is not null").select(F.col("value").alias("_corrupt_record"))
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:

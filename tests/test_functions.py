@@ -55,8 +55,8 @@ def test_years_titles_ids(spark):
     assert one(spark, *[biblio.pdf_year(lit(x)) for x in ("D:20170203101112", "D:2008", "no date", "made 1998")]) == (2017, 2008, None, 1998)
     assert one(spark, *[biblio.generic_title(lit(x)) for x in ("untitled (2)", "Microsoft Word - chapter4.doc", "abc", "Rain and road noise")]) == (True, True, True, False)
     assert one(spark, biblio.doi_from_filename(lit("10.4321_some.thing.pdf")), biblio.doi_in_text(lit("see doi 10.1000/xyz.12. next")), biblio.arxiv_id(lit("arxiv_2101.00001v2.pdf"))) == ("10.4321/some.thing", "10.1000/xyz.12", "2101.00001")
-    ref = biblio.apa_reference(F.array(lit("Smith, J."), lit("Doe, A.")), lit(2023), lit("Test Paper Title"), lit("Journal"), lit(3), lit(None), lit("1-9"), lit("10.1/x"))
-    assert one(spark, ref, biblio.reference_surname(ref)) == ("Smith, J., & Doe, A. (2023). Test Paper Title. Journal, 3, 1-9. https://doi.org/10.1/x", "Smith")
+    ref = biblio.apa_reference(F.array(lit("Ortega, L."), lit("Winter, C.")), lit(2011), lit("Rain on quiet roads"), lit("Journal"), lit(3), lit(None), lit("1-9"), lit("10.1/x"))
+    assert one(spark, ref, biblio.reference_surname(ref)) == ("Ortega, L., & Winter, C. (2011). Rain on quiet roads. Journal, 3, 1-9. https://doi.org/10.1/x", "Ortega")
 
 
 def test_citations_and_questions(spark):
@@ -139,3 +139,7 @@ def test_sources(spark, tmp_path):
     assert set(files) == {"doi:10.5555/y", "file:10.1_x.pdf"} and len(files["doi:10.5555/y"].checksum) == 64
     (tmp_path / "d.csv").write_text('doi,title\nhttps://doi.org/10.1/Z,"two\nlines"\n')
     assert tuple(readers.read_csv_dump(spark, str(tmp_path / "d.csv"), "doi string, title string").first()) == ("10.1/z", "two\nlines")
+
+
+def test_numbers_that_are_too_long(spark):
+    assert one(spark, *[questions.cited_numbers(F.lit(x)) for x in ("[99999999999] [2]", "[5-99999999999]", "[3-2]", "[7-2000000000]")]) == ([2], [5], [3, 2], [7, 2000000000])

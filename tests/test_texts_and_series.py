@@ -144,3 +144,26 @@ def test_breaker(spark, sf):
         want[e["event_id"]] = by[e["user_id"]][0]
     assert {r["event_id"]: r["state"] for r in catalog.QUERIES["stream_breaker_states"](spark, sf).collect()} == want
     assert set(want.values()) >= {CLOSED, OPEN}
+
+
+def test_chunks_of_a_text_without_sentences():
+    from scriptorium.operators.chunks import chunk_text
+
+    made = chunk_text("word " * 5000, 800, 150, 100)
+    assert len(made) > 6 and max(len(c.split()) for c in made) <= 950
+
+
+def test_nearest_of_vectors_of_two_lengths(spark):
+    from scriptorium.operators.search import nearest
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0, 0.5]), (3, [1.0])], "query_id long, query_vector array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in nearest(vectors, queries, 5).collect()) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_json_lines_without_a_cache(spark, tmp_path):
+    from scriptorium.sources.readers import read_json_lines
+
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n{"a": \n\n{"a": 2}\nnot json\n')
+    good, bad = read_json_lines(spark, str(tmp_path), "a long")
+    assert sorted(r.a for r in good.collect()) == [1, 2] and sorted(r[0] for r in bad.collect()) == ["not json", '{"a": ']
