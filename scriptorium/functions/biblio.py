@@ -99,3 +99,24 @@ def pdf_year(value: Column) -> Column:
 def generic_title(title: Column) -> Column:
     """Titles that say nothing (fixed words)."""
     return F.coalesce(F.lower(title).rlike("untitled|microsoft word|document|powerpoint") | (F.length(F.trim(title)) < 5), F.lit(True))
+
+
+def record_id(user: Column, checksum: Column, by_hand: Column, doi: Column, arxiv: Column, title: Column) -> Column:
+    """The identifier of a record: a user's own document by checksum or title, one imported by hand by checksum, else by DOI, arXiv id or title."""
+    has = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
+    plain = F.concat(F.lit("title:"), F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " ")))
+    own = F.concat(F.lit("user:"), user, F.lit(":"), F.when(has(checksum), F.concat(F.lit("manual:"), checksum)).otherwise(plain))
+    return (
+        F.when(has(user), own)
+        .when(has(checksum) & F.coalesce(by_hand, F.lit(False)), F.concat(F.lit("manual:"), checksum))
+        .when(has(doi), F.concat(F.lit("doi:"), F.lower(doi)))
+        .when(has(arxiv), F.concat(F.lit("arxiv:"), F.lower(arxiv)))
+        .otherwise(plain)
+    )
+
+
+def extraction_confidence(sources: Column) -> Column:
+    """high from four sources with the file's own metadata among them, medium from two, else low."""
+    n = F.coalesce(F.size(sources), F.lit(0))
+    own = F.coalesce(F.exists(sources, lambda s: F.contains(s, F.lit("pdf_metadata"))), F.lit(False))
+    return F.when((n >= 4) & own, "high").when(n >= 2, "medium").otherwise("low")

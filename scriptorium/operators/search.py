@@ -57,18 +57,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
 
 
-def _coded(x: np.ndarray, clip: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors from a byte a component, and how far each is from the vector's own."""
-    codes = _unit(np.rint(np.clip(x / clip * 127, -127, 127)).astype(np.int8).astype(float))
+def _coded(x: np.ndarray, clip: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors from a byte a component, and how far each is from the vector's own; ``clip`` for all or each component."""
+    clip = np.maximum(clip, np.finfo(float).tiny)
+    codes = _unit(np.rint(np.clip(x / clip * 127, -127, 127)).astype(np.int8) * clip)
     return codes, np.sqrt(((codes - _unit(x)) ** 2).sum(axis=1))
 
 
-def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, clip: float | None, skip_self: bool) -> Iterator[pd.DataFrame]:
+def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, clip: float | np.ndarray | None, skip_self: bool) -> Iterator[pd.DataFrame]:
     """The best ``k`` rows of each query among a task's vectors; equal scores beyond ``k`` stay until keys decide."""
     ids, queries = held
     wide, best = _unit(queries), []
     more = k + int(skip_self)  # a query's own row may hold one of the places
-    code, off = _coded(queries, clip) if clip else (None, None)
+    code, off = _coded(queries, clip) if clip is not None else (None, None)
 
     def pruned() -> pd.DataFrame:
         rows = pd.concat(best).sort_values(["q", "similarity", key], ascending=[True, False, True])
@@ -79,7 +80,7 @@ def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, cli
         if not len(batch):
             continue
         x, own = np.stack(batch["embedding"].to_numpy()).astype(float), batch[key].to_numpy()
-        if clip:
+        if clip is not None:
             own_code, own_off = _coded(x, clip)
             rough = own_code @ code.T
             slack = own_off[:, None] + off[None, :] + own_off[:, None] * off[None, :] + 1e-6
@@ -103,7 +104,7 @@ def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, cli
         yield rows.assign(query_id=ids[rows["q"].to_numpy()])[["query_id", key, "similarity"]]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", clip: float | None = None, skip_self: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", clip: float | np.ndarray | None = None, skip_self: bool = False) -> DataFrame:
     """query_id, key, similarity, semantic_rank by exact cosine; ``queries`` has (query_id, query_vector).
 
     Queries meet the vectors in matrix products; each task returns the best ``k`` of its vectors for each query.  Query
