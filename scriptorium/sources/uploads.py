@@ -2,7 +2,7 @@
 
 Files come as (path, content), of a folder by the ``binaryFile`` source as a batch or a stream.  A document of zipped XML is
 parsed as it is unpacked, element by element, and never unpacks to more than ``UNPACKED`` bytes.  A file is one row; larger ones
-than ``LARGEST`` are not even opened.
+than ``LARGEST`` are not even opened, and files of no bytes are left out by the source itself.
 """
 
 from __future__ import annotations

@@ -58,7 +58,7 @@ def test_folder_as_batch_and_stream(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "a.txt").write_bytes("gründlich\n".encode())
     (folder / "b.docx").write_bytes(uploads.docx_bytes("one\n\ntwo"))
-    (folder / "c.docx").write_bytes(b"")
+    (folder / "c.docx").write_bytes(b"PK")
     (folder / "d.md").write_bytes(b"  ")
     want = {"a.txt": ("gründlich\n", None), "b.docx": ("one\n\ntwo", None), "c.docx": (None, "damaged: BadZipFile"), "d.md": (None, "empty")}
     named = lambda rows: {r.path.rpartition("/")[2]: (r.text, r.error) for r in rows}
