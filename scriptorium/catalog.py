@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return wrap
 
 
-from scriptorium.plans import answers, corpus, facts, imports, ingestion, linkage, operations, planning, records, relational, retrieval, rounds, sections, streams  # noqa: E402, F401
+from scriptorium.plans import answers, corpus, facts, identifiers, imports, ingestion, linkage, operations, planning, records, relational, retrieval, rounds, sections, streams  # noqa: E402, F401

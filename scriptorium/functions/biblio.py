@@ -120,3 +120,40 @@ def extraction_confidence(sources: Column) -> Column:
     n = F.coalesce(F.size(sources), F.lit(0))
     own = F.coalesce(F.exists(sources, lambda s: F.contains(s, F.lit("pdf_metadata"))), F.lit(False))
     return F.when((n >= 4) & own, "high").when(n >= 2, "medium").otherwise("low")
+
+
+def doi_of_dump(doi: Column) -> Column:
+    """A dump's DOI: small letters, without ``doi:`` and then without a link to doi.org; null is empty."""
+    low = F.lower(F.trim(F.coalesce(doi, F.lit(""))))
+    return F.regexp_replace(F.regexp_replace(low, "^doi:", ""), "^https?://doi[.]org/", "")
+
+
+def doi_of_link(doi: Column) -> Column:
+    """A DOI as it is written, without the one prefix it has, in whatever letters."""
+    return F.trim(F.regexp_replace(F.trim(doi), r"(?i)^(https?://(dx\.)?doi\.org/|doi:)", ""))
+
+
+def doi_of_any_file(name: Column) -> Column:
+    """10.x_suffix -> 10.x/suffix at the first underscore; any other name as it is, without ``.pdf``."""
+    stem = F.regexp_replace(name, r"\.pdf|\.PDF", "")
+    return F.when(stem.startswith("10.") & F.contains(stem, F.lit("_")), F.regexp_replace(stem, "^([^_]*)_", "$1/")).otherwise(stem)
+
+
+def arxiv_of_file(name: Column) -> Column:
+    """The arXiv id that is the whole name of a file, with ``arXiv-`` in front or not; else null."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"\.pdf|\.PDF", ""), "^(arXiv|arxiv)-", "")
+    return F.when(stem.rlike(r"^\d{4}\.\d{4,5}(v\d+)?$"), stem)
+
+
+def arxiv_of_link(text: Column) -> Column:
+    """An arXiv id from an id or a link to its page or file; old ids and versions stay."""
+    inner = F.regexp_extract(text, r"(?:abs|pdf)/(.+?)(?:\.pdf)?$", 1)
+    return F.regexp_replace(F.trim(F.when(F.contains(text, F.lit("arxiv.org")) & (inner != ""), inner).otherwise(text)), r"\.pdf$", "")
+
+
+def openalex_id(text: Column) -> Column:
+    """W and digits from a link, an id, or digits alone; null for anything else."""
+    bare = F.trim(text)
+    last = F.when(F.contains(bare, F.lit("openalex.org")), F.element_at(F.split(F.regexp_replace(bare, "/+$", ""), "/"), -1)).otherwise(bare)
+    made = F.when(last.rlike(r"^\d+$"), F.concat(F.lit("W"), last)).otherwise(last)
+    return F.when(made.rlike(r"^W\d+$"), made)

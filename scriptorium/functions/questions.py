@@ -84,6 +84,15 @@ def sub_questions(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.when(F.size(parts) > 1, long).otherwise(F.array().cast("array<string>"))))
 
 
+def compared_parts(text: Column) -> Column:
+    """The question, its parts around 'and' (over ten characters) and around 'versus' or 'vs' (over five), in order and distinct."""
+    parts = lambda pattern, least: F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p)), lambda p: F.length(p) > least)
+    none = F.array().cast("array<string>")
+    joined = F.when(F.contains(F.lower(text), F.lit(" and ")), parts(r"(?i)\s+and\s+", 10)).otherwise(none)
+    against = F.when(text.rlike(r"(?i)\b(versus|vs\.?)\b"), parts(r"(?i)\s+(?:versus|vs\.?)\s+", 5)).otherwise(none)
+    return F.array_distinct(F.concat(F.array(text), joined, against))
+
+
 def with_synonyms(text: Column, most: int = 3) -> Column:
     low = F.lower(text)
     made = [F.when(low.contains(term), F.regexp_replace(text, rf"(?i)\b{term}\b", s)) for term, found in SYNONYMS.items() for s in found]

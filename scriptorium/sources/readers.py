@@ -160,6 +160,11 @@ def usable_pdf(content: Column) -> Column:
     return F.coalesce((F.octet_length(content) >= 1000) & (F.hex(F.substring(content, 1, 5)) == "255044462D"), F.lit(False))
 
 
+def first_download(contents: dict[str, Column]) -> Column:
+    """The name of the first source whose file is usable, in the order given; null if none is."""
+    return F.coalesce(*[F.when(usable_pdf(c), name) for name, c in contents.items()])
+
+
 def filename_of(doi: Column, arxiv: Column, title: Column) -> Column:
     return F.concat(F.coalesce(F.translate(doi, "/:", "__"), F.concat(F.lit("arxiv_"), arxiv), F.substring(F.md5(title), 1, 12)), F.lit(".pdf"))
 
