@@ -8,10 +8,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-REVIEW = r"\b(systematic\s+review|meta[\-\s]?analysis|scoping\s+review|comprehensive\s+review|literature\s+review|narrative\s+review|quantitative\s+review|qualitative\s+review|mixed[\-\s]?methods?\s+review|state[\-\s]?of[\-\s]?the[\-\s]?art|overview\s+of|survey\s+of|all\s+(?:studies|research|papers|evidence)\s+on)\b"
-COMPARISON = r"\b(compare|comparison|versus|vs\.?|differ(?:ence)?s?\s+between|which\s+is\s+better|pros\s+and\s+cons|advantages?\s+and\s+disadvantages?|similarities?\s+and\s+differences?|relative\s+to)\b"
-MECHANISM = r"\b(how\s+does|mechanism|why\s+does|what\s+causes?|relationship\s+between|effect\s+of|impact\s+of|influence\s+of|factors?\s+(?:that\s+)?affect|determinants?\s+of)\b"
-DEFINITION = r"\b(what\s+is|define|definition\s+of|meaning\s+of|explain\s+(?:the\s+)?(?:term|concept|notion))\b|^\s*what\s+(?:is|are)\s+\w+\s*\??\s*$"
+# The phrases of each class of question.
+REVIEW_PHRASES = (
+    r"systematic\s+review", r"meta[\-\s]?analysis", r"scoping\s+review", r"comprehensive\s+review", r"literature\s+review", r"narrative\s+review",
+    r"quantitative\s+review", r"qualitative\s+review", r"mixed[\-\s]?methods?\s+review", r"state[\-\s]?of[\-\s]?the[\-\s]?art", r"overview\s+of", r"survey\s+of",
+    r"all\s+(?:studies|research|papers|evidence)\s+on",
+)
+COMPARISON_PHRASES = (
+    r"compare", r"comparison", r"versus", r"vs\.?", r"differ(?:ence)?s?\s+between", r"which\s+is\s+better", r"pros\s+and\s+cons", r"advantages?\s+and\s+disadvantages?",
+    r"similarities?\s+and\s+differences?", r"relative\s+to",
+)
+MECHANISM_PHRASES = (
+    r"how\s+does", r"mechanism", r"why\s+does", r"what\s+causes?", r"relationship\s+between", r"effect\s+of", r"impact\s+of", r"influence\s+of",
+    r"factors?\s+(?:that\s+)?affect", r"determinants?\s+of",
+)
+DEFINITION_PHRASES = (
+    r"what\s+is", r"define", r"definition\s+of", r"meaning\s+of", r"explain\s+(?:the\s+)?(?:term|concept|notion)",
+)
+
+
+def whole_words(phrases: tuple[str, ...]) -> str:
+    """A pattern of any of the phrases, as whole words."""
+    return r"\b(" + "|".join(phrases) + r")\b"
+
+
+REVIEW = whole_words(REVIEW_PHRASES)
+COMPARISON = whole_words(COMPARISON_PHRASES)
+MECHANISM = whole_words(MECHANISM_PHRASES)
+DEFINITION = whole_words(DEFINITION_PHRASES) + r"|^\s*what\s+(?:is|are)\s+\w+\s*\??\s*$"
 
 COMPLEX = (
     r"\b(comprehensive|systematic|integrated|meta-analysis|literature review)\b", r"\b(compare|comparison|contrast|synthesize|analyze|evaluate)\b",

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 #: Stop words of the keyword index (fixed values).
 STOP_WORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was were will with this but they "
-    "have had what when where who which why how"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was",
+    "were", "will", "with", "this", "but", "they", "have", "had", "what", "when", "where", "who", "which", "why", "how",
+)
 
 #: Stop words of key-term extraction (fixed values).
 QUERY_STOP_WORDS = (
-    "the a an is are was were be been what how why when where which who do does did can could would should "
-    "and or but in on at to for of with by from as about between"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "what", "how", "why", "when", "where", "which", "who", "do", "does", "did", "can",
+    "could", "would", "should", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "about", "between",
+)
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -250,9 +250,10 @@ def feedback(text: Column, most: int = 1000) -> Column:
 
 #: Words that say nothing of a review's subject (fixed values).
 REVIEW_STOP_WORDS = (
-    "the and for with that this these those such from based including among between within using used use have has "
-    "were been also however although where when which while both each other their its"
-).split()
+    "the", "and", "for", "with", "that", "this", "these", "those", "such", "from", "based", "including", "among", "between", "within", "using",
+    "used", "use", "have", "has", "were", "been", "also", "however", "although", "where", "when", "which", "while", "both", "each", "other", "their",
+    "its",
+)
 
 
 def review_keywords(text: Column) -> Column:
@@ -261,17 +262,22 @@ def review_keywords(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens(text), lambda w: w.rlike("^[a-z]{5,}$") & ~F.array_contains(stop, w))))
 
 
+# How lines of a first page begin that are no title, and where its year stands.
+NO_TITLE = ("abstract", "introduction", "doi", "volume", "page", "copyright", "journal", "received", "accepted", "published", "e-?mail", "corresponding", r"\d+$", r"[a-z]{1,3}\d+")
+YEAR_PLACES = (r"\((\d{4})\)", r"©\s*(\d{4})", r"copyright\s+(\d{4})", r"published[:\s]+(\d{4})", r"received[:\s]+[^\n]*?(\d{4})")
+
+
 def first_page_title(text: Column) -> Column:
     """Of the first 15 lines, the first that can be a title."""
     lines = F.transform(F.slice(F.split(stripped(text), "\n"), 1, 15), stripped)
-    other = r"^(abstract|introduction|doi|volume|page|copyright|journal|received|accepted|published|e-?mail|corresponding|\d+$|[a-z]{1,3}\d+)"
+    other = f"^({'|'.join(NO_TITLE)})"
     fit = F.filter(lines, lambda s: F.length(s).between(20, 300) & ~F.lower(s).rlike(other))
     return F.regexp_replace(F.get(fit, F.lit(0)), r"^#+\s*", "")
 
 
 def first_page_year(text: Column, latest: int) -> Column:
     """A year in one of the usual places, the first place that holds one from 1950 to ``latest``."""
-    found = [F.try_to_number(F.nullif(F.regexp_extract(text, "(?is)" + p, 1), F.lit("")), F.lit("9999")).cast("int") for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"copyright\s+(\d{4})", r"published[:\s]+(\d{4})", r"received[:\s]+[^\n]*?(\d{4})")]
+    found = [F.try_to_number(F.nullif(F.regexp_extract(text, "(?is)" + p, 1), F.lit("")), F.lit("9999")).cast("int") for p in YEAR_PLACES]
     return F.coalesce(*[F.when(y.between(1950, latest), y) for y in found])
 
 

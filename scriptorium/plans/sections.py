@@ -116,7 +116,7 @@ def prompt_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5(X.for_prompt(F.col("t"))).alias("prompt_md5"), F.md5(X.feedback(F.col("t"))).alias("feedback_md5"))
 
 
-@query(r"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{5,}') AND NOT list_contains(" + str(X.REVIEW_STOP_WORDS) + ", w)))) AS keywords FROM documents")
+@query(r"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{5,}') AND NOT list_contains(" + str(list(X.REVIEW_STOP_WORDS)) + ", w)))) AS keywords FROM documents")
 def review_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.review_keywords(F.col("text")).alias("keywords"))
 
