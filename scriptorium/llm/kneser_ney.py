@@ -1,14 +1,18 @@
 """Quality classifier: an interpolated modified Kneser-Ney model, scored by sharded count joins.
 
 Tokens are the words and signs of a text; digits count as 0, and a token that begins a
-sentence is one of its own.  The model interpolates
+sentence is one of its own; every text begins and ends with a mark of its own.  The model
+of trusted texts (labelled good and not toxic) interpolates word bigrams, words and spelling:
 
-    P(w) = max(n(w) - D(n(w)), 0) / N  +  B * S(w)
+    P(w | v) = max(n(v, w) - D(n(v, w)), 0) / t(v)  +  G(v) * P(w)
+    P(w)     = max(c(w) - D'(c(w)), 0) / C  +  B * S(w)
 
-n(w) being the number of trusted texts (labelled good and not toxic) that hold w, D the
-three modified discounts and B the mass they free.  S spells w by its bytes: a Kneser-Ney
-trigram model whose counts are continuation counts, one for each distinct word.
-Counts come from all trusted texts, whole, and grow with them.
+n(v, w) counts the bigram and t(v) the word, c(w) the distinct words before w and C all of
+these, D and D' are the three modified discounts of each order, and G(v) and B the mass that
+is left.  S spells w by its bytes: a Kneser-Ney trigram model whose counts are continuation
+counts, one for each distinct word.  Counts come from all trusted texts, whole, and grow with
+them.  Bigrams that occur once in all are left to the words below them (``LEAST_PAIR``, the usual
+cut-off of the highest order; their mass stays in G).
 
 A document has two scores.  Its perplexity is 2 to the mean bits a byte.  Its worst word
 is the largest G-statistic, in bits, of the words' counts in rejected (labelled, not
@@ -17,10 +21,13 @@ scaled down to the number of distinct words before it in rejected texts, the cou
 Kneser-Ney continuation rests on.  The mean does not see a few insults in ordinary prose;
 the worst word does.
 
-Scoring.  Counts are sharded by word.  A task scores the ``HOT`` most frequent words
-itself (a broadcast of bounded size) and packs its documents' other words by shard, a few
-bytes each; a shard joins them to its counts and returns what words that have counts
-change, packed by the task's documents.  No text is shuffled.
+Scoring.  The bits of a text are a sum over its words, as they follow (P) and as they lead (G),
+less what each bigram that has counts saves against that, so words and bigrams are looked up each
+by itself.  Counts are sharded by the hash of the word or bigram.  A task scores the ``HOT`` most
+frequent words and ``HOT_PAIRS`` bigrams itself (a broadcast of bounded size) and packs its
+documents' other words by shard, a few bytes each, and the bigrams that may have counts (a bit
+map of ``PAIR_BITS`` bits rules out the others); a shard joins them to its counts and returns what
+they change, packed by the task's documents.  No text is shuffled.
 
 A document is kept while both scores are at most their language's quantiles over trusted
 documents, each half of which is scored by the counts of the other half, as a text that a
@@ -57,11 +64,20 @@ FEW = 200  # trusted documents whose quantile isn't relied upon alone
 #: Words that tasks score themselves; none is longer than HOT_BYTES, which bounds the broadcast.
 HOT = 200_000
 HOT_BYTES = 64
+#: Bigrams that tasks score themselves, and the size of the bit map of those that have counts.
+HOT_PAIRS = 200_000
+PAIR_BITS = 26
+#: Occurrences of a bigram in all trusted texts, below which the words below it stand for it.
+LEAST_PAIR = 2
 #: Bound of the broadcast set of labelled ids.
 LABEL_ROWS = 5_000_000
 #: Input bytes (as stored) for each shard of words.
 SHARD_BYTES = 8 << 20
 CONTEXTS = 64  # hashed words before a word, kept as the bits of a number
+BEGIN, END = " (", " )"  # no token of a text has a space
+_TOKENS = 1_000_000  # tokens whose bigrams a counting task holds before it writes them out
+_LOW48 = (1 << 48) - 1  # bigrams name their words by so many bits
+_PAIR_BYTES = 14
 _WORDS = 300_000  # distinct words a counting task holds before it writes them out
 _ENTRIES = 600_000  # words a scoring task holds before it writes them out
 _DOCS = 30_000  # and documents; an entry numbers them in 15 bits
@@ -159,10 +175,11 @@ def evidence(rejected: np.ndarray, trusted: np.ndarray, contexts: np.ndarray, sh
 
 
 class Counts:
-    """Totals and discounts of the three sets of trusted counts: both halves, and all."""
+    """Totals and discounts of words in the three sets of trusted counts: both halves, and all; by distinct words before them."""
 
     def __init__(self, row):
         self.rejected = row["rejected"] or 0
+        self.trusted = [row[f"texts{k}"] or 0 for k in range(3)]
         self.total = [row[f"total{k}"] or 0 for k in range(3)]
         self.discount = [np.array((0.0, *discounts(*((row[f"of{k}_{n}"] or 0) for n in (1, 2, 3, 4))))) for k in range(3)]
         self.back = [sum(d * (row[f"has{k}_{n}"] or 0) for n, d in enumerate(self.discount[k][1:], 1)) / self.total[k] if self.total[k] else 1.0 for k in range(3)]
@@ -175,28 +192,34 @@ class Counts:
         return np.minimum(spelled, 900) - np.log2(self.back[k])
 
     def evidence(self, k: int, n: np.ndarray, rejected: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        return evidence(rejected, n, contexts, self.rejected / max(1, self.rejected + self.total[k]))
+        return evidence(rejected, n, contexts, self.rejected / max(1, self.rejected + self.trusted[k]))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """hash, word, n0, n1, rejected, contexts from rows (text, kind): texts of each kind (0, 1 trusted halves, 2 rejected)
-    that hold a word, and how many of ``CONTEXTS`` hashed words stand before it in rejected ones."""
+    """hash, word, n0, n1, rejected, t0, t1, contexts from rows (text, kind): texts of each kind (0, 1 trusted halves, 2 rejected)
+    that hold a word, its occurrences in the trusted ones, and how many of ``CONTEXTS`` hashed words stand before it in rejected ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens.release()
-        held, masks = [Counter(), Counter(), Counter()], {}
+        held, masks, times = [Counter(), Counter(), Counter()], {}, [Counter(), Counter()]
 
         def out() -> Iterator[pd.DataFrame]:
             for kind, own in enumerate(held):
                 mask = np.fromiter((masks.get(w, 0) for w in own), np.uint64, len(own)).astype(np.int64)
-                yield pd.DataFrame({"word": np.array([*own, None], dtype=object)[:-1], "kind": np.full(len(own), kind, np.int32), "n": np.fromiter(own.values(), np.int64, len(own)), "mask": mask})
+                t = np.fromiter((times[kind][w] for w in own), np.int64, len(own)) if kind < 2 else np.zeros(len(own), np.int64)
+                yield pd.DataFrame({"word": np.array([*own, None], dtype=object)[:-1], "kind": np.full(len(own), kind, np.int32), "n": np.fromiter(own.values(), np.int64, len(own)), "t": t, "mask": mask})
                 own.clear()
             masks.clear()
+            for own in times:
+                own.clear()
 
         places: dict[str, int] = {}
         for batch in batches:
             for text, kind in zip(batch["text"], batch["kind"], strict=True):
                 words = words_of(text)
+                if kind < 2 and words:
+                    words = [BEGIN, *words, END]
+                    times[kind].update(words)
                 held[kind].update(set(words))
                 if kind == 2:
                     for before, w in zip(words, words[1:]):
@@ -210,16 +233,165 @@ def count_words(texts: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    counted = texts.select("text", "kind").mapInPandas(run, "word string, kind int, n long, mask long")
-    of = lambda k, name: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name)
-    by = counted.groupBy(F.xxhash64("word").alias("hash")).agg(F.min("word").alias("word"), of(0, "n0"), of(1, "n1"), of(2, "rejected"), F.bit_or("mask").alias("mask"))
-    return by.select("hash", "word", "n0", "n1", "rejected", F.bit_count("mask").cast("int").alias("contexts"))
+    counted = texts.select("text", "kind").mapInPandas(run, "word string, kind int, n long, t long, mask long")
+    of = lambda k, name, c="n": F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0)).alias(name)
+    by = counted.groupBy(F.xxhash64("word").alias("hash")).agg(F.min("word").alias("word"), of(0, "n0"), of(1, "n1"), of(2, "rejected"), of(0, "t0", "t"), of(1, "t1", "t"), F.bit_or("mask").alias("mask"))
+    return by.select("hash", "word", "n0", "n1", "rejected", "t0", "t1", F.bit_count("mask").cast("int").alias("contexts"))
+
+
+def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A bigram's hash, 63 bits, from those of its words."""
+    x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (w.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
+def _six_bytes(x: np.ndarray) -> np.ndarray:
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _from_six(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), dtype=np.uint8)
+    out[:, :6] = x
+    return out.view("<i8").ravel()
+
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """Bigrams of the trusted halves, as rows of two kinds: kind 0 has p, v, w, n0, n1 of a bigram of at least ``LEAST_PAIR``
+    occurrences; kind 1 how many bigrams have n (1 to 4) occurrences in the halves and in all: n0, n1, n2."""
+    shards = int(np.clip(input_bytes(texts) // SHARD_BYTES, 16, 1 << 16))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes: dict[str, int] = {}
+        held, kinds, n_held = [], [], 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            all_, of = np.concatenate(held), np.concatenate(kinds)
+            own = of[1:] == of[:-1]  # not from one text to the next: a text's number tells them apart
+            v, w, half = all_[:-1][own], all_[1:][own], of[1:][own] & 1
+            p, first, at = np.unique(mixed(v, w), return_index=True, return_inverse=True)
+            n = [np.bincount(at[half == k], minlength=len(p)) for k in (0, 1)]
+            v, w, shard = _six_bytes(v[first]), _six_bytes(w[first]), p % shards
+            while len(p):
+                some = [np.minimum(x, 255) for x in n]
+                rows = np.concatenate([v, w, *[x.astype(np.uint8)[:, None] for x in some]], axis=1)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+                yield pd.DataFrame([(int(shard[order[a]]), rows[order[a:b]].tobytes()) for a, b in zip(cuts, cuts[1:])], columns=["shard", "entries"])
+                n = [x - y for x, y in zip(n, some, strict=True)]
+                left = (n[0] + n[1]) > 0
+                p, v, w, shard, n = p[left], v[left], w[left], shard[left], [x[left] for x in n]
+            held.clear()
+            kinds.clear()
+
+        number = 0
+        for batch in batches:
+            for text, kind in zip(batch["text"], batch["kind"], strict=True):
+                words = words_of(text) if kind < 2 else []
+                if not words:
+                    continue
+                number += 1
+                words = [BEGIN, *words, END]
+                for w in words:
+                    if w not in hashes:
+                        hashes[w] = word_hash(w.encode()) & _LOW48
+                held.append(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
+                kinds.append(np.full(len(words), 2 * number + kind))
+                n_held += len(words)
+                if n_held > _TOKENS:
+                    yield from out()
+                    n_held = 0
+                if len(hashes) > _WORDS:
+                    hashes.clear()
+        if held:
+            yield from out()
+
+    def merge(packed: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(packed["entries"]), dtype=np.uint8).reshape(-1, _PAIR_BYTES)
+        v, w = _from_six(rows[:, :6]), _from_six(rows[:, 6:12])
+        p, first, at = np.unique(mixed(v, w), return_index=True, return_inverse=True)
+        n0, n1 = (np.bincount(at, rows[:, 12 + k], len(p)).astype(np.int64) for k in (0, 1))
+        kept = n0 + n1 >= LEAST_PAIR
+        found = pd.DataFrame({"kind": 0, "p": p, "v": v[first], "w": w[first], "n0": n0, "n1": n1, "n2": n0 + n1})[kept]
+        sizes = pd.DataFrame([(1, j, 0, 0, *(int((n == j).sum()) for n in (n0, n1, n0 + n1))) for j in (1, 2, 3, 4)], columns=found.columns)
+        return pd.concat([found, sizes])
+
+    packed = texts.filter("kind < 2").select("text", "kind").mapInPandas(run, "shard long, entries binary")
+    return packed.groupBy("shard").applyInPandas(merge, "kind int, p long, v long, w long, n0 long, n1 long, n2 long")
+
+
+def with_continuations(counts: DataFrame, pairs: DataFrame, off: list) -> DataFrame:
+    """``counts`` with c0, c1, c2, how many distinct words stand before each, and g0, g1, g2, the bits that it costs to leave its bigrams.
+
+    A word's occurrences less the repeats of its bigrams are its distinct ones, and only bigrams that are kept have repeats."""
+    cost = [F.sum(F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") - _off(off[k], F.col(f"n{k}"))).otherwise(0.0)).alias(f"m{k}") for k in range(3)]
+    repeats = pairs.groupBy(F.col("w").alias("low")).agg(*[F.sum(F.greatest(F.col(f"n{k}") - 1, F.lit(0))).alias(f"r{k}") for k in range(3)])
+    mass = pairs.groupBy(F.col("v").alias("low")).agg(*cost)
+    rows = counts.withColumn("low", F.col("hash").bitwiseAND(F.lit(_LOW48))).withColumn("t2", F.col("t0") + F.col("t1"))
+    rows = rows.join(repeats, "low", "left").join(mass, "low", "left")
+    c = [F.when(F.col("word") == BEGIN, 0).otherwise(F.greatest(F.col(f"t{k}") - F.coalesce(f"r{k}", F.lit(0)), F.lit(0))).cast("long").alias(f"c{k}") for k in range(3)]
+    # words that share 48 bits of their hash share their bigrams; what is left of such a word is at least a millionth
+    g = [F.when(F.col(f"t{k}") > 0, -F.log2(F.greatest(1 - F.coalesce(f"m{k}", F.lit(0.0)) / F.col(f"t{k}"), F.lit(1e-6)))).otherwise(0.0).alias(f"g{k}") for k in range(3)]
+    return rows.select("hash", "low", "word", "n0", "n1", "rejected", "contexts", "t0", "t1", "t2", *c, *g)
+
+
+def _off(d: tuple, n):
+    return F.when(n == 1, float(d[0])).when(n == 2, float(d[1])).otherwise(float(d[2]))
+
+
+def pair_discounts(pairs: DataFrame) -> list[tuple[float, float, float]]:
+    rows = {r["p"]: r for r in pairs.filter("kind = 1").groupBy("p").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]).collect()}  # four rows
+    return [discounts(*((rows[j][f"n{k}"] if j in rows else 0) for j in (1, 2, 3, 4))) for k in range(3)]
+
+
+def saved_bits(pairs: DataFrame, words: DataFrame, of: Counts, off: list) -> DataFrame:
+    """p, n2, d0, d1, d2: the bits that a bigram saves against leaving its first word and following as a word; ``words`` has spelled."""
+    one = words.dropDuplicates(["low"])
+    lead = one.select(F.col("low").alias("v"), *[F.col(f"{c}{k}").alias(f"v_{c}{k}") for c in ("t", "g") for k in range(3)])
+    follow = one.select(F.col("low").alias("w"), "spelled", "c0", "c1", "c2")
+    joined = pairs.join(lead, "v").join(follow, "w")
+
+    def save(k: int):
+        n, c, d = F.col(f"n{k}"), F.col(f"c{k}"), of.discount[k]
+        p = (F.when(c > 0, c - F.when(c == 1, float(d[1])).when(c == 2, float(d[2])).otherwise(float(d[3]))).otherwise(0.0) / of.total[k] if of.total[k] else F.lit(0.0)) + of.back[k] * F.pow(F.lit(2.0), -F.least("spelled", F.lit(900.0)))
+        whole = (n - _off(off[k], n)) / F.col(f"v_t{k}") + F.pow(F.lit(2.0), -F.col(f"v_g{k}")) * p
+        return F.when((n > 0) & (F.col(f"v_t{k}") > 0), F.log2(whole) + F.col(f"v_g{k}") - F.log2(p)).otherwise(0.0).cast("float").alias(f"d{k}")
+
+    return joined.select("p", "n2", *[save(k) for k in range(3)])
+
+
+def pair_bitmap(pairs: DataFrame) -> np.ndarray:
+    """A bit for each slot that some bigram of the table falls into; ``PAIR_BITS`` bits, a row of it for each 15."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 15, dtype=np.uint8)
+        bits[own["slot"].to_numpy() & 0x7FFF] = 1
+        return pd.DataFrame({"part": [int(own["slot"].iloc[0]) >> 15], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slots = pairs.select(F.shiftright("p", 63 - PAIR_BITS).cast("int").alias("slot")).distinct()
+    found = slots.groupBy(F.shiftright("slot", 15)).applyInPandas(run, "part int, bits binary").toPandas()
+    out = np.zeros((1 << (PAIR_BITS - 15), 1 << 12), dtype=np.uint8)
+    for part, bits in zip(found["part"], found["bits"], strict=True):
+        out[part] = np.frombuffer(bits, dtype=np.uint8)
+    return out.ravel()
+
+
+def frequent_pairs(saved: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """At most ``HOT_PAIRS`` of the most frequent bigrams, sorted, with their bits."""
+    n = saved.count()
+    if n > HOT_PAIRS:
+        at = saved.agg(F.percentile_approx("n2", F.lit(1 - HOT_PAIRS / n), F.lit(100_000))).first()[0]
+        saved = saved.filter(F.col("n2") > at)
+    rows = saved.select("p", "d0", "d1", "d2").limit(HOT_PAIRS).toArrow()
+    order = np.argsort(rows.column("p").to_numpy())
+    return rows.column("p").to_numpy()[order], [rows.column(f"d{k}").to_numpy()[order].astype(np.float32) for k in range(3)]
 
 
 def totals(counts: DataFrame) -> Counts:
-    sets = [F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")]
-    aggs = [F.sum("rejected").alias("rejected")]
-    for k, n in enumerate(sets):
+    of_text = ~F.col("word").isin(BEGIN, END)
+    aggs = [F.sum("rejected").alias("rejected")] + [F.sum(F.when(of_text, n)).alias(f"texts{k}") for k, n in enumerate((F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")))]
+    for k in range(3):
+        n = F.col(f"c{k}")
         aggs.append(F.sum(n).alias(f"total{k}"))
         aggs += [F.sum((n == j).cast("long")).alias(f"of{k}_{j}") for j in (1, 2, 3, 4)]
         aggs += [F.sum((n == j).cast("long")).alias(f"has{k}_{j}") for j in (1, 2)] + [F.sum((n >= 3).cast("long")).alias(f"has{k}_3")]
@@ -238,7 +410,7 @@ def spelling_counts(counts: DataFrame) -> pd.DataFrame:
         grams = np.flatnonzero(held)
         yield pd.DataFrame({"gram": grams.astype(np.int32), "n": held[grams]})
 
-    found = counts.filter("n0 + n1 > 0").select("word").mapInPandas(run, "gram int, n long")
+    found = counts.filter((F.col("n0") + F.col("n1") > 0) & ~F.col("word").isin(BEGIN, END)).select("word").mapInPandas(run, "gram int, n long")
     return found.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
 
 
@@ -249,19 +421,28 @@ def frequent(counts: DataFrame) -> DataFrame:
     if n > HOT:
         at = short.agg(F.percentile_approx("total", F.lit(1 - HOT / n), F.lit(100_000))).first()[0]
         short = short.filter(F.col("total") > at)
-    return short.select("word", "n0", "n1", "rejected", "contexts").limit(HOT)
+    return short.select("word", "low", "n0", "n1", "rejected", "contexts", *_PARTS).limit(HOT)
+
+
+_PARTS = [f"{c}{k}" for c in "cg" for k in range(3)]
 
 
 class Hot:
-    """Scores of the most frequent words, by place in ``at``."""
+    """Scores of the most frequent words, by place in ``at``, and of bigrams, by place in ``pairs``."""
 
-    def __init__(self, words: list[str], columns: list[np.ndarray], counts: Counts, spelling: Spelling):
+    def __init__(self, words: list[str], columns: dict[str, np.ndarray], counts: Counts, spelling: Spelling, pairs: tuple, bitmap: np.ndarray, ends: list[float]):
         self.at = dict(zip(words, range(len(words))))
+        self.low = columns["low"].astype(np.int64)
         spelled = spelling.bits([w.encode() for w in words])
-        n0, n1, rejected, contexts = (c.astype(np.int64) for c in columns)
-        sets = (n0, n1, n0 + n1)
-        self.bits = [counts.bits(k, n, spelled) for k, n in enumerate(sets)]
-        self.worst = [counts.evidence(k, n, rejected, contexts) for k, n in enumerate(sets)]
+        n0, n1, rejected, contexts = (columns[c].astype(np.int64) for c in ("n0", "n1", "rejected", "contexts"))
+        self.bits = [counts.bits(k, columns[f"c{k}"].astype(np.int64), spelled) + columns[f"g{k}"] for k in range(3)]
+        self.worst = [counts.evidence(k, n, rejected, contexts) for k, n in enumerate((n0, n1, n0 + n1))]
+        self.pairs, self.saved = pairs
+        self.bitmap, self.ends = bitmap, ends  # ends: the bits of a text's begin and end, for each set
+
+    def may_count(self, p: np.ndarray) -> np.ndarray:
+        slot = p >> (64 - (8 * len(self.bitmap)).bit_length())
+        return (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
 _COLUMNS = ("shard", "batch", "entries", "doc", "doc_id", "lang", "key", "fold", "bytes", "bits", "held", "worst", "held_worst")
@@ -276,7 +457,7 @@ class _Scan:
 
     def add(self, batch: pd.DataFrame) -> None:
         known: dict[str, int] = {}
-        rest, place, times = [], [], []
+        rest, place, times, runs = [], [], [], []
         first = len(self.docs)
         for doc_id, lang, key, fold, text in batch[["doc_id", "lang", "key", "fold", "text"]].itertuples(index=False, name=None):
             words = words_of(text)
@@ -284,32 +465,67 @@ class _Scan:
             at = np.fromiter(map(self.hot.at.get, words, repeat(-1)), np.int64, len(words))
             found = at[at >= 0]
             other = 1 - fold  # a half is judged by the other one's counts
-            bits, held = float(self.hot.bits[2][found].sum()), float(self.hot.bits[other][found].sum())
+            bits, held = (float(self.hot.bits[k][found].sum()) + (self.hot.ends[k] if words else 0.0) for k in (2, other))
             worst, held_worst = (float(self.hot.worst[k][found].max(initial=0)) for k in (2, other))
             size = len(text.encode()) if words else 0
-            for w, c in Counter(words[i] for i in np.flatnonzero(at < 0)).items():
+            cold = np.flatnonzero(at < 0)
+            named = [known.setdefault(words[i], len(known)) for i in cold.tolist()]
+            at[cold] = -1 - np.array(named, dtype=np.int64)
+            runs.append(at)
+            for w, c in Counter(named).items():
                 while c > 0:
-                    rest.append(known.setdefault(w, len(known)))
+                    rest.append(w)
                     place.append(n | fold << 15)
                     times.append(min(c, 65535))
                     c -= 65535
             self.docs.append([n, doc_id, lang, key, fold, size, bits, held, worst, held_worst])
-        if not rest:
-            return
         coded = [w.encode() for w in known]
         spelled, hashes = self.spelling.bits(coded), np.fromiter(map(word_hash, coded), np.int64, len(coded))
-        own = np.zeros(len(rest), dtype=_ENTRY)
-        own["word"], own["spelled"], own["n"], own["doc"] = hashes[rest], spelled[rest], times, place
-        doc, fold = own["doc"] & 0x7FFF, own["doc"] >> 15
-        bits = np.bincount(doc, own["n"] * self.counts.unseen(2, own["spelled"]), len(self.docs))
-        # until the join finds counts of them, they are words that no one has seen
-        for k in (0, 1):
-            of = fold == 1 - k
-            held = np.bincount(doc[of], own["n"][of] * self.counts.unseen(k, own["spelled"][of]), len(self.docs))
-            for i in range(first, len(self.docs)):
-                self.docs[i][7] += held[i]
+        if rest:
+            own = np.zeros(len(rest), dtype=_ENTRY)
+            own["word"], own["spelled"], own["n"], own["doc"] = hashes[rest], spelled[rest], times, place
+            # until the join finds counts of them, they are words that no one has seen
+            unseen = [own["n"] * self.counts.unseen(k, own["spelled"]) for k in range(3)]
+            self._change(first, own["doc"], unseen)
+            self._keep(own)
+        self._pairs(first, runs, hashes & _LOW48)
+
+    def _change(self, first: int, place: np.ndarray, bits: list[np.ndarray]) -> None:
+        """Add bits by each of the three sets to documents, named with their fold."""
+        doc, fold = place & 0x7FFF, place >> 15
+        mine = np.bincount(doc, bits[2], len(self.docs))
+        held = np.bincount(doc, np.where(fold == 0, bits[1], bits[0]), len(self.docs))
         for i in range(first, len(self.docs)):
-            self.docs[i][6] += bits[i]
+            self.docs[i][6] += mine[i]
+            self.docs[i][7] += held[i]
+
+    def _pairs(self, first: int, runs: list[np.ndarray], cold: np.ndarray) -> None:
+        """What bigrams save: of hot ones now, of others that may have counts by the join."""
+        begin, end = (np.array([word_hash(m.encode()) & _LOW48]) for m in (BEGIN, END))
+        parts, place = [], []
+        for n, at in enumerate(runs, first):
+            if len(at):
+                low = np.where(at >= 0, self.hot.low[np.maximum(at, 0)] if len(self.hot.low) else 0, cold[np.maximum(-1 - at, 0)] if len(cold) else 0)
+                parts.append(np.concatenate([begin, low, end]))
+                place.append(np.full(len(at) + 2, n | self.docs[n][4] << 15))
+        if not parts:
+            return
+        low, place = np.concatenate(parts), np.concatenate(place)
+        p, place = mixed(low[:-1], low[1:])[place[1:] == place[:-1]], place[1:][place[1:] == place[:-1]]
+        may = self.hot.may_count(p)
+        p, place = p[may], place[may]
+        at = np.minimum(np.searchsorted(self.hot.pairs, p), max(len(self.hot.pairs) - 1, 0))
+        found = self.hot.pairs[at] == p if len(self.hot.pairs) else np.zeros(len(p), dtype=bool)
+        self._change(first, place[found], [-x[at[found]].astype(float) for x in self.hot.saved])
+        order = np.lexsort((p[~found], place[~found]))
+        p, place = p[~found][order], place[~found][order]
+        if len(p):
+            starts = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (place[1:] != place[:-1])])
+            own = np.zeros(len(starts), dtype=_ENTRY)
+            own["word"], own["doc"], own["spelled"], own["n"] = p[starts], place[starts], -1, np.minimum(np.diff(np.r_[starts, len(p)]), 65535)
+            self._keep(own)
+
+    def _keep(self, own: np.ndarray) -> None:
         self.entries.append(own)
         self.held += len(own)
 
@@ -328,24 +544,36 @@ class _Scan:
         self.docs, self.entries, self.held = [], [], 0
 
 
-def _changes(counts: Counts, packed: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """What the words of a shard that have counts change in the scores of documents: batch, changes."""
-    if not len(packed) or not len(words):
+def _changes(counts: Counts, packed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """What the words and bigrams of a shard that have counts change in the scores of documents: batch, changes."""
+    if not len(packed) or not len(known):
         return pd.DataFrame({"batch": [], "changes": []})
-    words = words.sort_values("hash")
-    own = np.frombuffer(b"".join(packed["entries"]), dtype=_ENTRY)
-    batch = np.repeat(packed["batch"].to_numpy(np.int64), [len(e) // _ENTRY.itemsize for e in packed["entries"]])
-    keys = words["hash"].to_numpy(np.int64)
-    at = np.minimum(np.searchsorted(keys, own["word"]), len(keys) - 1)
-    hit = keys[at] == own["word"]
-    own, batch, at = own[hit], batch[hit], at[hit]
-    n0, n1, rejected, contexts = (words[c].to_numpy(np.int64)[at] for c in ("n0", "n1", "rejected", "contexts"))
-    sets, spelled = (n0, n1, n0 + n1), own["spelled"].astype(float)
-    more = lambda k: own["n"] * (counts.bits(k, sets[k], spelled) - counts.unseen(k, spelled))
-    first_half = own["doc"] >> 15 == 0  # judged by n1
-    out = pd.DataFrame({"batch": batch, "doc": own["doc"] & 0x7FFF, "bits": more(2), "held": np.where(first_half, more(1), more(0)), "worst": counts.evidence(2, sets[2], rejected, contexts)})
-    out["held_worst"] = np.where(first_half, counts.evidence(1, n1, rejected, contexts), counts.evidence(0, n0, rejected, contexts))
-    out = out.groupby(["batch", "doc"], as_index=False).agg({"bits": "sum", "held": "sum", "worst": "max", "held_worst": "max"})
+    entries = np.frombuffer(b"".join(packed["entries"]), dtype=_ENTRY)
+    batches = np.repeat(packed["batch"].to_numpy(np.int64), [len(e) // _ENTRY.itemsize for e in packed["entries"]])
+    of_pair = known["pair"].to_numpy(bool)
+
+    def met(rows: pd.DataFrame, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+        """Entries, their batches and the counts of their words."""
+        rows = rows.sort_values("hash")
+        own, batch, keys = entries[mine], batches[mine], rows["hash"].to_numpy(np.int64)
+        if not len(keys) or not len(own):
+            return own[:0], batch[:0], rows.iloc[:0]
+        at = np.minimum(np.searchsorted(keys, own["word"]), len(keys) - 1)
+        hit = keys[at] == own["word"]
+        return own[hit], batch[hit], rows.iloc[at[hit]]
+
+    own, batch, words = met(known[~of_pair], entries["spelled"] >= 0)
+    n0, n1, rejected, contexts, *c = (words[x].to_numpy(np.int64) for x in ("n0", "n1", "rejected", "contexts", "c0", "c1", "c2"))
+    spelled = own["spelled"].astype(float)
+    more = [own["n"] * (counts.bits(k, c[k], spelled) - counts.unseen(k, spelled) + words[f"g{k}"].to_numpy(float)) for k in range(3)]
+    worst = [counts.evidence(k, n, rejected, contexts) for k, n in enumerate((n0, n1, n0 + n1))]
+    first_half = own["doc"] >> 15 == 0  # judged by the other half's counts
+    out = pd.DataFrame({"batch": batch, "doc": own["doc"] & 0x7FFF, "bits": more[2], "held": np.where(first_half, more[1], more[0]), "worst": worst[2], "held_worst": np.where(first_half, worst[1], worst[0])})
+    own, batch, pairs = met(known[of_pair], entries["spelled"] < 0)
+    saved = [-own["n"].astype(float) * pairs[f"g{k}"].to_numpy(float) for k in range(3)]
+    first_half = own["doc"] >> 15 == 0
+    less = pd.DataFrame({"batch": batch, "doc": own["doc"] & 0x7FFF, "bits": saved[2], "held": np.where(first_half, saved[1], saved[0]), "worst": 0.0, "held_worst": 0.0})
+    out = pd.concat([out, less]).groupby(["batch", "doc"], as_index=False).agg({"bits": "sum", "held": "sum", "worst": "max", "held_worst": "max"})
     made = []
     for batch, some in out.groupby("batch"):
         change = np.zeros(len(some), dtype=_CHANGE)
@@ -355,22 +583,54 @@ def _changes(counts: Counts, packed: pd.DataFrame, words: pd.DataFrame) -> pd.Da
     return pd.DataFrame(made, columns=["batch", "changes"])
 
 
-def scores(docs: DataFrame, counts: DataFrame, of: Counts) -> DataFrame:
+def spelled_words(words: DataFrame, spelling) -> DataFrame:
+    """``words`` with spelled, the bits of each; ``spelling`` is the broadcast trigram counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        speller = Spelling(*spelling.value)
+        for batch in batches:
+            yield batch.assign(spelled=speller.bits([w.encode() for w in batch["word"]]))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInPandas(run, f"{kinds}, spelled double")
+
+
+class Model:
+    """Everything that scoring needs: words and bigrams with counts, as tables, totals, and the spelling."""
+
+    def __init__(self, texts: DataFrame):
+        spark = texts.sparkSession
+        found = cut(count_pairs(texts), "kn_pairs")
+        off = pair_discounts(found)
+        pairs = found.filter("kind = 0").drop("kind")
+        self.words = cut(with_continuations(cut(count_words(texts), "kn_counts"), pairs, off), "kn_words")
+        self.of = totals(self.words)
+        grams = spelling_counts(self.words)
+        self.grams = (grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
+        shared = spark.sparkContext.broadcast(self.grams)
+        trusted = cut(spelled_words(self.words.filter("t2 > 0"), shared), "kn_spelled")
+        self.pairs = cut(saved_bits(pairs, trusted, self.of, off), "kn_saved")
+        marks = {r["word"]: r for r in trusted.filter(F.col("word").isin(BEGIN, END)).collect()}
+        begin, end = marks.get(BEGIN), marks.get(END)
+        self.ends = [float(begin[f"g{k}"] + self.of.bits(k, np.array([end[f"c{k}"]]), np.array([end["spelled"]]))[0]) if begin and end else 0.0 for k in range(3)]
+        shared.unpersist()
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, key, fold, bytes, bits, held, worst, held_worst of every row of ``docs``; held: by the other half's counts."""
-    spark = docs.sparkSession
+    spark, of = docs.sparkSession, model.of
     shards = int(np.clip(input_bytes(docs) // SHARD_BYTES, 64, 1 << 16))
-    grams = spelling_counts(counts)
-    often = frequent(counts).toArrow()
-    columns = [often.column(c).to_numpy() for c in ("n0", "n1", "rejected", "contexts")]
-    shared = spark.sparkContext.broadcast((of, grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), "\n".join(often.column("word").to_pylist()), columns))
+    often = frequent(model.words).toArrow()
+    columns = {c: often.column(c).to_numpy() for c in ("low", "n0", "n1", "rejected", "contexts", *_PARTS)}
+    shared = spark.sparkContext.broadcast((of, *model.grams, "\n".join(often.column("word").to_pylist()), columns, frequent_pairs(model.pairs), pair_bitmap(model.pairs), model.ends))
     del often, columns
     names = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens.release()
-        own_counts, gram, n, words, columns = shared.value
+        own_counts, gram, n, words, columns, pairs, bitmap, ends = shared.value
         spelling = Spelling(gram, n)
-        task = _Scan(Hot(words.split("\n") if words else [], columns, own_counts, spelling), own_counts, spelling, shards)
+        task = _Scan(Hot(words.split("\n") if words else [], columns, own_counts, spelling, pairs, bitmap, ends), own_counts, spelling, shards)
         for batch in batches:
             if len(task.docs) + len(batch) > _DOCS or task.held > _ENTRIES:
                 yield from task.rows()
@@ -383,8 +643,11 @@ def scores(docs: DataFrame, counts: DataFrame, of: Counts) -> DataFrame:
     scanned = cut(rows.mapInPandas(scan, f"shard long, batch long, entries binary, doc int, doc_id {names['doc_id']}, lang {names['lang']}, key long, fold int, bytes long, {numbers}"), "kn_scan")
     shared.unpersist()
     packed = scanned.filter("shard is not null").select("shard", "batch", "entries").groupBy("shard")
-    words = counts.select(F.pmod("hash", F.lit(shards)).alias("shard"), "hash", "n0", "n1", "rejected", "contexts").groupBy("shard")
-    changes = packed.cogroup(words).applyInPandas(lambda p, w: _changes(of, p, w), "batch long, changes binary")
+    shard = F.pmod("hash", F.lit(shards)).alias("shard")
+    none = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
+    words = model.words.select(shard, "hash", F.lit(False).alias("pair"), "n0", "n1", "rejected", F.col("contexts").cast("long").alias("contexts"), *_PARTS)
+    pairs = model.pairs.withColumnRenamed("p", "hash").select(shard, "hash", F.lit(True).alias("pair"), *none("n0", "n1", "rejected", "contexts", "c0", "c1", "c2"), *[F.col(f"d{k}").cast("double").alias(f"g{k}") for k in range(3)])
+    changes = packed.cogroup(words.unionByName(pairs).groupBy("shard")).applyInPandas(lambda p, w: _changes(of, p, w), "batch long, changes binary")
 
     def settle(own: pd.DataFrame, changed: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("doc", ignore_index=True)
@@ -420,9 +683,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, wor
     near = F.broadcast(known) if known.count() <= LABEL_ROWS else known
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
     texts = docs.filter(F.length("text") > 0).join(near, "doc_id").select("text", F.when(F.col("trusted"), half).otherwise(F.lit(2)).alias("kind"))
-    counts = cut(count_words(texts), "kn_counts")
-    of = totals(counts)
-    found = cut(scores(docs, counts, of), "kn_scores")
+    found = cut(scores(docs, Model(texts)), "kn_scores")
     perplexity = lambda bits: F.when(F.col("bytes") > 0, F.pow(F.lit(2.0), F.col(bits) / F.col("bytes")))
     trusted = found.filter("bytes > 0").join(near.filter("trusted"), "doc_id", "left_semi").select("lang", perplexity("held").alias("p"), F.col("held_worst").alias("w"))
     cutoff = [F.percentile_approx("p", F.lit(quantile), F.lit(10000)).alias("p"), F.percentile_approx("w", F.lit(worst_quantile), F.lit(10000)).alias("w")]

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -13,8 +14,20 @@ from scriptorium.llm import kneser_ney as kn
 class Plain:
     """The same model, a word at a time, from dictionaries."""
 
-    def __init__(self, trusted, rejected):
-        self.n, self.r = (Counter(w for t in texts for w in set(kn.words_of(t))) for texts in (trusted, rejected))
+    def __init__(self, trusted, rejected, whole=None):
+        lists = [kn.words_of(t) for t in trusted]
+        self.n = Counter(w for words in lists for w in set(words))
+        self.r = Counter(w for t in rejected for w in set(kn.words_of(t)))
+        lists = [[kn.BEGIN, *words, kn.END] for words in lists if words]
+        self.pairs = Counter(p for words in lists for p in zip(words, words[1:]))
+        self.t = Counter(w for words in lists for w in words)
+        kept = (whole or self).pairs
+        self.kept = {p: n for p, n in self.pairs.items() if kept[p] >= 2}
+        self.c = Counter(w for _, w in self.pairs)
+        self.d2 = kn.discounts(*(sum(v == j for v in self.pairs.values()) for j in (1, 2, 3, 4)))
+        self.left = Counter()
+        for (v, _), n in self.kept.items():
+            self.left[v] += n - self.d2[min(n, 3) - 1]
         before = {}
         for t in rejected:
             words = kn.words_of(t)
@@ -55,17 +68,18 @@ class Plain:
             out -= math.log2(p)
         return out
 
-    def bits(self, w, speller):
+    def bits(self, v, w, speller):
         if not hasattr(self, "whole"):
             self.whole = self.mass()
         d, total, back = self.whole
-        v = self.n[w]
-        return -math.log2((v - d[min(v, 3) - 1] if v else 0) / total + back * 2 ** -speller.spelled(w))
+        c, n, t = self.c[w], self.kept.get((v, w), 0), self.t[v]
+        p = ((c - d[min(c, 3) - 1] if c else 0) / total if total else 0) + back * 2 ** -speller.spelled(w)
+        return -math.log2(((n - self.d2[min(n, 3) - 1]) / t if n else 0) + (1 - self.left[v] / t if t else 1) * p)
 
     def mass(self):
-        d = kn.discounts(*(sum(v == j for v in self.n.values()) for j in (1, 2, 3, 4)))
-        total = sum(self.n.values())
-        return d, total, sum(d[min(x, 3) - 1] for x in self.n.values()) / total
+        d = kn.discounts(*(sum(v == j for v in self.c.values()) for j in (1, 2, 3, 4)))
+        total = sum(self.c.values())
+        return d, total, sum(d[min(x, 3) - 1] for x in self.c.values()) / total if total else 1.0
 
     def evidence(self, w):
         r, t, share = self.r[w], self.n[w], sum(self.r.values()) / (sum(self.r.values()) + sum(self.n.values()))
@@ -79,12 +93,15 @@ class Plain:
         words = kn.words_of(text or "")
         if not words:
             return None, 0.0
-        return 2 ** (sum(self.bits(w, speller) for w in words) / len(text.encode())), max(map(self.evidence, words))
+        around = [kn.BEGIN, *words, kn.END]
+        return 2 ** (sum(self.bits(v, w, speller) for v, w in zip(around, around[1:])) / len(text.encode())), max(map(self.evidence, words))
 
 
-@pytest.mark.parametrize("hot", [300_000, 3])
-def test_matches_a_plain_model(spark, docs, hot, monkeypatch):
-    monkeypatch.setattr(kn, "HOT", hot)  # 3: nearly all words go through the shards
+@pytest.mark.parametrize("hot,bits", [(300_000, 26), (3, 26), (3, 18)])
+def test_matches_a_plain_model(spark, docs, hot, bits, monkeypatch):
+    monkeypatch.setattr(kn, "HOT", hot)  # 3: nearly all words and bigrams go through the shards
+    monkeypatch.setattr(kn, "HOT_PAIRS", hot)
+    monkeypatch.setattr(kn, "PAIR_BITS", bits)
     docs = docs.filter("doc_id is null or doc_id not in (9, 12)").withColumn("perplexity", F.lit("clash")).withColumn("key", F.lit(1))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     bad = {4, 13, 15}
@@ -94,7 +111,7 @@ def test_matches_a_plain_model(spark, docs, hot, monkeypatch):
     rejected = [t for i, t in rows if i in bad]
     full = Plain(trusted, rejected)
     full.spell(full.n)
-    halves = [Plain([t or "" for i, t in rows if i not in bad | {8, None} and half[i] == k], rejected) for k in (0, 1)]
+    halves = [Plain([t or "" for i, t in rows if i not in bad | {8, None} and half[i] == k], rejected, full) for k in (0, 1)]
     got = kn.classify(docs, labels).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
@@ -107,6 +124,33 @@ def test_matches_a_plain_model(spark, docs, hot, monkeypatch):
     assert max(r.threshold for r in got) == pytest.approx(max(x for x, _ in held), rel=1e-5)
 
 
+def test_word_order_counts(spark):
+    r = random.Random(4)
+    pairs = [(f"left{k}", f"right{k}") for k in range(30)]
+    fixed = [" ".join(w for p in r.sample(pairs, 12) for w in p) for _ in range(60)]
+    shuffled = []
+    for t in fixed:
+        words = t.split()
+        shuffled.append(" ".join([words[0], *r.sample(words[1:], len(words) - 1)]))
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*fixed, *shuffled])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    p = {x.doc_id: x.perplexity for x in kn.classify(docs, labels).collect()}
+    assert all(p[60 + k] > 1.2 * p[k] for k in range(60))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b c d".split()), min_size=1, max_size=6), min_size=1, max_size=8))
+def test_bigrams_sum_to_one(texts):
+    plain = Plain([" ".join(t) for t in texts], [])
+    plain.spell(plain.n)
+    spelled = sum(2 ** -plain.spelled(w) for w in [*plain.c])
+    d, total, back = (plain.bits("a", "a", plain), plain.whole)[1]
+    for v in plain.t:
+        seen = sum(2 ** -plain.bits(v, w, plain) for w in plain.c)
+        left = 1 - plain.left[v] / plain.t[v]
+        assert seen == pytest.approx(1 - left * back * (1 - spelled), abs=1e-9)
+
+
 def test_without_trusted_and_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert kn.classify(no_docs, none).count() == 0
