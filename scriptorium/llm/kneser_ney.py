@@ -361,16 +361,18 @@ def saved_bits(pairs: DataFrame, words: DataFrame, of: Counts, off: list) -> Dat
 
 
 def pair_bitmap(pairs: DataFrame) -> np.ndarray:
-    """A bit for each slot that some bigram of the table falls into; ``PAIR_BITS`` bits, a row of it for each 15."""
+    """A bit for each slot that some bigram of the table falls into; ``PAIR_BITS`` bits, made in 32 parts."""
+    low = PAIR_BITS - 5
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 15, dtype=np.uint8)
-        bits[own["slot"].to_numpy() & 0x7FFF] = 1
-        return pd.DataFrame({"part": [int(own["slot"].iloc[0]) >> 15], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        slot = own["slot"].to_numpy()
+        bits = np.zeros(1 << low, dtype=np.uint8)
+        bits[slot & ((1 << low) - 1)] = 1
+        return pd.DataFrame({"part": [int(slot[0]) >> low], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     slots = pairs.select(F.shiftright("p", 63 - PAIR_BITS).cast("int").alias("slot")).distinct()
-    found = slots.groupBy(F.shiftright("slot", 15)).applyInPandas(run, "part int, bits binary").toPandas()
-    out = np.zeros((1 << (PAIR_BITS - 15), 1 << 12), dtype=np.uint8)
+    found = slots.groupBy(F.shiftright("slot", low)).applyInPandas(run, "part int, bits binary").toPandas()
+    out = np.zeros((32, 1 << (low - 3)), dtype=np.uint8)
     for part, bits in zip(found["part"], found["bits"], strict=True):
         out[part] = np.frombuffer(bits, dtype=np.uint8)
     return out.ravel()
