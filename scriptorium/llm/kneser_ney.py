@@ -256,10 +256,9 @@ def _from_six(x: np.ndarray) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def count_pairs(texts: DataFrame) -> DataFrame:
+def count_pairs(texts: DataFrame, shards: int = 16) -> DataFrame:
     """Bigrams of the trusted halves, as rows of two kinds: kind 0 has p, v, w, n0, n1 of a bigram of at least ``LEAST_PAIR``
     occurrences; kind 1 how many bigrams have n (1 to 4) occurrences in the halves and in all: n0, n1, n2."""
-    shards = int(np.clip(input_bytes(texts) // SHARD_BYTES, 16, 1 << 16))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes: dict[str, int] = {}
@@ -600,9 +599,9 @@ def spelled_words(words: DataFrame, spelling) -> DataFrame:
 class Model:
     """Everything that scoring needs: words and bigrams with counts, as tables, totals, and the spelling."""
 
-    def __init__(self, texts: DataFrame):
+    def __init__(self, texts: DataFrame, shards: int = 16):
         spark = texts.sparkSession
-        found = cut(count_pairs(texts), "kn_pairs")
+        found = cut(count_pairs(texts, shards), "kn_pairs")
         off = pair_discounts(found)
         pairs = found.filter("kind = 0").drop("kind")
         self.words = cut(with_continuations(cut(count_words(texts), "kn_counts"), pairs, off), "kn_words")
@@ -685,7 +684,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, wor
     near = F.broadcast(known) if known.count() <= LABEL_ROWS else known
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
     texts = docs.filter(F.length("text") > 0).join(near, "doc_id").select("text", F.when(F.col("trusted"), half).otherwise(F.lit(2)).alias("kind"))
-    found = cut(scores(docs, Model(texts)), "kn_scores")
+    model = Model(texts, int(np.clip(input_bytes(docs) // SHARD_BYTES, 16, 1 << 16)))  # a join's own estimate says nothing
+    found = cut(scores(docs, model), "kn_scores")
     perplexity = lambda bits: F.when(F.col("bytes") > 0, F.pow(F.lit(2.0), F.col(bits) / F.col("bytes")))
     trusted = found.filter("bytes > 0").join(near.filter("trusted"), "doc_id", "left_semi").select("lang", perplexity("held").alias("p"), F.col("held_worst").alias("w"))
     cutoff = [F.percentile_approx("p", F.lit(quantile), F.lit(10000)).alias("p"), F.percentile_approx("w", F.lit(worst_quantile), F.lit(10000)).alias("w")]
