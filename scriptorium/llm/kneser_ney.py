@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import tokens
-from scriptorium.session import cut, input_bytes, small_batches
+from scriptorium.session import cut, drop_cut, input_bytes, small_batches
 
 QUANTILE = 0.995
 WORST_QUANTILE = 0.99
@@ -64,8 +64,8 @@ FEW = 200  # trusted documents whose quantile isn't relied upon alone
 #: Words that tasks score themselves; none is longer than HOT_BYTES, which bounds the broadcast.
 HOT = 200_000
 HOT_BYTES = 64
-#: Bigrams that tasks score themselves, and the size of the bit map of those that have counts.
-HOT_PAIRS = 200_000
+#: Bigrams that tasks score themselves (20 bytes each), and the size of the bit map of those that have counts.
+HOT_PAIRS = 1_000_000
 PAIR_BITS = 26
 #: Occurrences of a bigram in all trusted texts, below which the words below it stand for it.
 LEAST_PAIR = 2
@@ -75,7 +75,7 @@ LABEL_ROWS = 5_000_000
 SHARD_BYTES = 8 << 20
 CONTEXTS = 64  # hashed words before a word, kept as the bits of a number
 BEGIN, END = " (", " )"  # no token of a text has a space
-_TOKENS = 1_000_000  # tokens whose bigrams a counting task holds before it writes them out
+_TOKENS = 2_000_000  # tokens whose bigrams a counting task holds before it writes them out
 _LOW48 = (1 << 48) - 1  # bigrams name their words by so many bits
 _PAIR_BYTES = 14
 _WORDS = 300_000  # distinct words a counting task holds before it writes them out
@@ -604,7 +604,9 @@ class Model:
         found = cut(count_pairs(texts, shards), "kn_pairs")
         off = pair_discounts(found)
         pairs = found.filter("kind = 0").drop("kind")
-        self.words = cut(with_continuations(cut(count_words(texts), "kn_counts"), pairs, off), "kn_words")
+        counts = cut(count_words(texts), "kn_counts")
+        self.words = cut(with_continuations(counts, pairs, off), "kn_words")
+        drop_cut(counts)
         self.of = totals(self.words)
         grams = spelling_counts(self.words)
         self.grams = (grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
@@ -615,6 +617,8 @@ class Model:
         begin, end = marks.get(BEGIN), marks.get(END)
         self.ends = [float(begin[f"g{k}"] + self.of.bits(k, np.array([end[f"c{k}"]]), np.array([end["spelled"]]))[0]) if begin and end else 0.0 for k in range(3)]
         shared.unpersist()
+        drop_cut(found)
+        drop_cut(trusted)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
