@@ -43,6 +43,8 @@ def ship_code(spark: SparkSession) -> None:
         for f in sorted(home.rglob("*.py")):
             z.write(f, f.relative_to(home.parent))
     sc.addPyFile(archive)
+    # Python that Spark starts beside the driver (planning of data sources, streams' processors) does not see added files
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (str(home.parent), sc.environment.get("PYTHONPATH")) if p)
     sc._scriptorium_shipped = True
 
 
