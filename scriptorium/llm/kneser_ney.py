@@ -43,6 +43,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections import Counter
@@ -65,7 +66,7 @@ FEW = 200  # trusted documents whose quantile isn't relied upon alone
 HOT = 200_000
 HOT_BYTES = 64
 #: Bigrams that tasks score themselves (20 bytes each), and the size of the bit map of those that have counts.
-HOT_PAIRS = 1_000_000
+HOT_PAIRS = 400_000
 PAIR_BITS = 26
 #: Occurrences of a bigram in all trusted texts, below which the words below it stand for it.
 LEAST_PAIR = 2
@@ -619,6 +620,9 @@ class Model:
         shared.unpersist()
         drop_cut(found)
         drop_cut(trusted)
+        # shuffles of the counting are over; Spark deletes their files once the driver has collected its garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
