@@ -136,10 +136,12 @@ class Spelling:
             seen = total > 0
             back = np.where(seen, held / np.maximum(total, 1), 1).astype(np.float32)
             # rows: context; the shorter context's row is its low bytes'
-            table = np.tile(p.astype(np.float32), (contexts // len(p), 1)) * back[:, None]
+            table = np.tile(p.astype(np.float32), (contexts // len(p), 1))
+            table *= back[:, None]
             table[own >> 8, own & 255] += ((counts - off) / np.maximum(total[own >> 8], 1)).astype(np.float32)
             p = table
-        self.bits_of = -np.log2(p).ravel()
+        np.log2(p, out=p)  # 64 MB in each worker: in place
+        self.bits_of = np.negative(p, out=p).ravel()
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -242,9 +244,16 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A bigram's hash, 63 bits, from those of its words."""
-    x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (w.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+    x, y = w.astype(np.uint64), v.astype(np.uint64)  # changed in place: a counting task has millions of them
+    x += np.uint64(0x632BE59BD9B4E019)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    y *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= y
+    x ^= np.right_shift(x, np.uint64(32), out=y)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= np.right_shift(x, np.uint64(29), out=y)
+    x >>= np.uint64(1)
+    return x.view(np.int64)
 
 
 def _six_bytes(x: np.ndarray) -> np.ndarray:
@@ -262,16 +271,23 @@ def count_pairs(texts: DataFrame, shards: int = 16) -> DataFrame:
     occurrences; kind 1 how many bigrams have n (1 to 4) occurrences in the halves and in all: n0, n1, n2."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens.release()
         hashes: dict[str, int] = {}
         held, kinds, n_held = [], [], 0
 
         def out() -> Iterator[pd.DataFrame]:
-            all_, of = np.concatenate(held), np.concatenate(kinds)
-            own = of[1:] == of[:-1]  # not from one text to the next: a text's number tells them apart
-            v, w, half = all_[:-1][own], all_[1:][own], of[1:][own] & 1
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            all_, half = np.concatenate(held), np.repeat(np.array(kinds, dtype=bool), sizes)
+            held.clear()
+            kinds.clear()
+            own = np.ones(len(all_) - 1, dtype=bool)
+            own[np.cumsum(sizes)[:-1] - 1] = False  # not from one text to the next
+            v, w, half = all_[:-1][own], all_[1:][own], half[1:][own]
+            del all_, own
             p, first, at = np.unique(mixed(v, w), return_index=True, return_inverse=True)
-            n = [np.bincount(at[half == k], minlength=len(p)) for k in (0, 1)]
             v, w, shard = _six_bytes(v[first]), _six_bytes(w[first]), p % shards
+            n = [np.bincount(at[half == k], minlength=len(p)) for k in (False, True)]
+            del at, first, half
             while len(p):
                 some = [np.minimum(x, 255) for x in n]
                 rows = np.concatenate([v, w, *[x.astype(np.uint8)[:, None] for x in some]], axis=1)
@@ -281,22 +297,18 @@ def count_pairs(texts: DataFrame, shards: int = 16) -> DataFrame:
                 n = [x - y for x, y in zip(n, some, strict=True)]
                 left = (n[0] + n[1]) > 0
                 p, v, w, shard, n = p[left], v[left], w[left], shard[left], [x[left] for x in n]
-            held.clear()
-            kinds.clear()
 
-        number = 0
         for batch in batches:
             for text, kind in zip(batch["text"], batch["kind"], strict=True):
                 words = words_of(text) if kind < 2 else []
                 if not words:
                     continue
-                number += 1
                 words = [BEGIN, *words, END]
                 for w in words:
                     if w not in hashes:
                         hashes[w] = word_hash(w.encode()) & _LOW48
                 held.append(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
-                kinds.append(np.full(len(words), 2 * number + kind))
+                kinds.append(kind)
                 n_held += len(words)
                 if n_held > _TOKENS:
                     yield from out()

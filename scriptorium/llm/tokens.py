@@ -7,6 +7,7 @@ is encoded once per task; a text costs one dictionary lookup a word.
 
 from __future__ import annotations
 
+import ctypes
 import operator
 import os
 import struct
@@ -132,3 +133,6 @@ def shared(kind: type, path: str | None):
 def release() -> None:
     """Free the tokenisers of this process: workers outlive a stage, and other stages need the memory."""
     _LOADED.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)

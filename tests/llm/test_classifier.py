@@ -1,14 +1,17 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.llm import kneser_ney as kn
+from scriptorium.llm import tokens
 
 
 class Plain:
@@ -174,3 +177,28 @@ def test_held_out_labels(spark):
     good, junk, toxic = p[(p.quality == 1) & (p.toxic == 0)], p[(p.quality == 0) & (p.toxic == 0)], p[(p.quality == 1) & (p.toxic == 1)]
     kept = good.kept.mean(), junk.kept.mean(), toxic.kept.mean()
     assert kept[0] > 0.97 and kept[1] < 0.3 and kept[2] < 0.15, kept
+
+
+def test_counting_frees_tokenisers_and_stays_small():
+    """A counting task of a worker that holds tokenisers of an earlier stage frees them, and holds few times its two million words."""
+
+    class Taken:
+        def filter(self, *_):
+            return self
+
+        select = groupBy = applyInPandas = filter
+
+        def mapInPandas(self, run, _):
+            self.run = run
+            return self
+
+    taken, r = Taken(), random.Random(2)
+    kn.count_pairs(taken)
+    words = [f"w{k}" for k in range(50_000)]
+    batch = pd.DataFrame({"text": [" ".join(r.choices(words, k=1000)) for _ in range(1000)] * 2, "kind": 0})
+    tokens._LOADED[object, None] = object()
+    tracemalloc.start()
+    assert sum(len(x) for x in taken.run(iter([batch]))) and not tokens._LOADED
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 175e6, peak
