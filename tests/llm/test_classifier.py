@@ -2,6 +2,7 @@ import math
 import random
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scriptorium import session
 from scriptorium.llm import kneser_ney as kn
 from scriptorium.llm import tokens
 
@@ -202,3 +204,32 @@ def test_counting_frees_tokenisers_and_stays_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 175e6, peak
+
+
+def test_entries_and_counts_pack_and_unpack():
+    r = np.random.default_rng(3)
+    own = np.zeros(5000, dtype=kn._ENTRY)
+    own["word"] = np.sort(r.integers(-(1 << 63), (1 << 63) - 1, 2000))[np.sort(r.integers(0, 2000, 5000))] // 51 * 51 + 7
+    own["n"], own["doc"] = r.integers(1, 65536, 5000), r.integers(0, 65536, 5000)
+    packed = kn.pack_entries(own, 51)
+    assert (kn.unpack_entries(packed, 7, 51) == own).all()
+
+
+def test_tables_on_disk_stay_below_the_input(spark, monkeypatch):
+    """No table of the scan is written, and the model's tables are gone as soon as nothing reads them."""
+    live, most = {}, [0]
+
+    def size(path):
+        return sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+
+    def cut(df, label):
+        back = session.cut(df, label)
+        live[back._cut_path] = label
+        most[0] = max(most[0], sum(map(size, live)))
+        return back
+
+    monkeypatch.setattr(kn, "cut", cut)
+    sf = "/root/testdata/sf0.1"
+    kn.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert most[0] < 1.1 * Path(f"{sf}/documents.parquet").stat().st_size, most
+    assert {label for path, label in live.items() if size(path)} == {"labelled", "kn_scores"}
