@@ -30,15 +30,15 @@ def _paper(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
-def read_works(spark: SparkSession, path: str) -> DataFrame:
-    """Dump of a works API, one record a line; records without an identifier or a title go."""
+def read_works(spark: SparkSession, path: str, untitled: bool = False) -> DataFrame:
+    """Dump of a works API, one record a line; records without an identifier go, and those without a title unless ``untitled``."""
     raw = spark.read.schema(WORK).json(path)
     made = _paper(
         raw, source=F.lit("works"), doi=biblio.normal_doi(F.col("doi")), openalex_id=F.element_at(F.split("id", "/"), -1), title=F.col("display_name"),
         authors=F.slice(F.transform("authorships", lambda a: a["author"]["display_name"]), 1, 10), year=F.col("publication_year"), abstract=abstract_text(F.col("abstract_inverted_index")),
         venue=F.col("primary_location.source.display_name"), citation_count=F.col("cited_by_count"), pdf_url=F.when(F.col("open_access.is_oa"), F.col("open_access.oa_url")),
     )
-    return made.filter("doi is not null and title is not null")
+    return made.filter("doi is not null" if untitled else "doi is not null and title is not null")
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
