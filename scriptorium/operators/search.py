@@ -16,6 +16,8 @@ from scriptorium.session import cut
 RRF_K = 60
 #: Bound of the query vectors that are broadcast at once.
 QUERY_BYTES = 32 << 20
+#: Vectors of a task that meet the queries at once, and scores that are in memory at once.
+ROWS, TILE = 1000, 1 << 20
 K1, B = 1.2, 0.75
 
 
@@ -65,40 +67,58 @@ def _coded(x: np.ndarray, clip: float | np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _rows_of(batches: Iterator[pd.DataFrame], held: tuple, k: int, key: str, clip: float | np.ndarray | None, skip_self: bool) -> Iterator[pd.DataFrame]:
-    """The best ``k`` rows of each query among a task's vectors; equal scores beyond ``k`` stay until keys decide."""
+    """The best ``k`` rows of each query among a task's vectors; equal scores beyond ``k`` stay until keys decide.
+
+    Products are of at most ``TILE`` scores at once; of each query, scores under the ``k``-th best so far are left out.
+    """
     ids, queries = held
-    wide, best = _unit(queries), []
+    wide, best, waiting = _unit(queries), [], 0
     more = k + int(skip_self)  # a query's own row may hold one of the places
     code, off = _coded(queries, clip) if clip is not None else (None, None)
+    least = np.full(len(ids), -np.inf)
 
     def pruned() -> pd.DataFrame:
         rows = pd.concat(best).sort_values(["q", "similarity", key], ascending=[True, False, True])
         return rows.groupby("q").head(k)
 
-    for batch in batches:
-        batch = batch[batch["embedding"].map(lambda e: e is not None and len(e) == wide.shape[1])]
-        if not len(batch):
-            continue
-        x, own = np.stack(batch["embedding"].to_numpy()).astype(float), batch[key].to_numpy()
+    def scored(x: np.ndarray, own: np.ndarray, some: slice) -> pd.DataFrame:
+        unit, first = _unit(x), len(x) > more and not np.isfinite(least[some]).all()
         if clip is not None:
             own_code, own_off = _coded(x, clip)
-            rough = own_code @ code.T
-            slack = own_off[:, None] + off[None, :] + own_off[:, None] * off[None, :] + 1e-6
-            low = rough - slack
-            least = np.partition(low, -more, axis=0)[-more] if len(x) > more else np.full(len(ids), -np.inf)
-            at, q = np.nonzero(rough + slack >= least[None, :])
-            scores = np.round((_unit(x)[at] * wide[q]).sum(axis=1), 6)
+            rough = own_code @ code[some].T
+            slack = own_off[:, None] + off[None, some] + own_off[:, None] * off[None, some] + 1e-6
+            floor = np.maximum(least[some], np.partition(rough - slack, -more, axis=0)[-more]) if first else least[some]
+            rough += slack
+            at, q = np.nonzero(rough >= floor[None, :])
+            scores = np.empty(len(at))
+            for i in range(0, len(at), TILE // unit.shape[1] + 1):
+                part = slice(i, i + TILE // unit.shape[1] + 1)
+                scores[part] = np.round((unit[at[part]] * wide[some][q[part]]).sum(axis=1), 6)
         else:
-            near = np.round(_unit(x) @ wide.T, 6)
-            least = np.partition(near, -more, axis=0)[-more] if len(x) > more else np.full(len(ids), -np.inf)
-            at, q = np.nonzero(near >= least[None, :])
+            near = np.round(unit @ wide[some].T, 6)
+            floor = np.maximum(least[some], np.partition(near, -more, axis=0)[-more]) if first else least[some]
+            at, q = np.nonzero(near >= floor[None, :])
             scores = near[at, q]
+        q = q + some.start
         if skip_self:
             other = own[at] != ids[q]
             at, q, scores = at[other], q[other], scores[other]
-        best.append(pd.DataFrame({"q": q, key: own[at], "similarity": scores}))
-        if sum(map(len, best)) > 20 * k * len(ids):
-            best[:] = [pruned()]
+        return pd.DataFrame({"q": q, key: own[at], "similarity": scores})
+
+    for batch in batches:
+        batch = batch[batch["embedding"].map(lambda e: e is not None and len(e) == wide.shape[1])]
+        for i in range(0, len(batch), ROWS):
+            rows = batch[i : i + ROWS]
+            x, own = np.stack(rows["embedding"].to_numpy()).astype(float), rows[key].to_numpy()
+            for j in range(0, len(ids), TILE // ROWS):
+                best.append(scored(x, own, slice(j, min(len(ids), j + TILE // ROWS))))
+                waiting += len(best[-1])
+                if waiting > max(8 * k * len(ids), TILE // 4):
+                    best[:] = [pruned()]
+                    waiting = len(best[0])
+                    worst = best[0].groupby("q")["similarity"].agg(["min", "size"])
+                    full = worst[worst["size"] == k]
+                    least[full.index] = full["min"] - 1e-6  # rounded scores
     if best:
         rows = pruned()
         yield rows.assign(query_id=ids[rows["q"].to_numpy()])[["query_id", key, "similarity"]]
