@@ -7,7 +7,7 @@ import pytest
 from scriptorium.operators import search
 
 
-@pytest.mark.parametrize("clip", [None, 0.35])
+@pytest.mark.parametrize("clip", [None, 0.35, np.full(16, 0.3)])
 def test_products_of_a_task_are_tiles(clip):
     r = np.random.default_rng(1)
     x = r.normal(size=(10_000, 16)) * 0.2
