@@ -1,6 +1,6 @@
 """Streams that act when nothing comes: breakers that try again and batches that leave, by event-time timers.
 
-Rows wait in list state until the watermark has passed them and are then taken in order of time, so that the
+Rows wait in state until the watermark has passed them and are then taken in order of time, so that the
 result doesn't depend on how rows fall into micro-batches.  What happens without a row is a timer: an open
 breaker lets one call through after the reset time, and a batch leaves when its first item has waited long enough.
 State of a key is its waiting rows (as many as come within the watermark's delay) and one small record.
@@ -10,8 +10,10 @@ Rows without key or time are left out.  Rows later than the watermark are droppe
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,37 +25,117 @@ from scriptorium.streaming.breaker import CLOSED, HALF_OPEN, OPEN
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A waiting row in state, rows of a chunk of state, and rows that are sorted at once.
+ROW = np.dtype([("at", "<i8"), ("row", "<i8"), ("failed", "?")])
+CHUNK, RUN = 10_000, 200_000
+
+
+def _sorted(rows: list[np.ndarray]) -> np.ndarray:
+    some = np.concatenate(rows)
+    return some[np.lexsort((some["failed"], some["row"], some["at"]))]
+
+
 class _InOrder(StatefulProcessor):
-    """Hands on a key's rows in order of (at, row) once the watermark has passed them."""
+    """Hands on a key's rows in order of (at, row) once the watermark has passed them.
+
+    Waiting rows are sorted runs of at most ``RUN`` rows, in chunks of ``CHUNK``; small runs are merged as they come, so that
+    there are few.  Due rows come from a merge that holds one chunk of each run, so a key may have more rows than memory takes.
+    """
 
-    row_schema = "at long, row long, failed boolean"
     columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.chunks = handle.getMapState("chunks", "number long", "rows binary")
+        self.index = handle.getValueState("index", "next long, runs string")
         self.held = handle.getValueState("held", self.held_schema)
 
+    def _index(self) -> list:
+        """The next chunk's number, and the runs: of each chunk its number, its rows and the time of the first."""
+        if not self.index.exists():
+            return [0, []]
+        number, runs = self.index.get()
+        return [number, json.loads(runs)]
+
+    def _chunk(self, number: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.chunks.getValue((number,))[0]), dtype=ROW)
+
+    def _add(self, index: list, new: list[np.ndarray]) -> None:
+        runs, n = index[1], sum(map(len, new))
+        while runs and (size := sum(c[1] for c in runs[-1])) <= n and size + n <= RUN:
+            for number, _, _ in runs.pop():
+                new.append(self._chunk(number))
+                self.chunks.removeKey((number,))
+            n += size
+        rows, run = _sorted(new), []
+        for i in range(0, len(rows), CHUNK):
+            some = rows[i : i + CHUNK]
+            self.chunks.updateValue((index[0],), (some.tobytes(),))
+            run.append([index[0], len(some), int(some["at"][0])])
+            index[0] += 1
+        runs.append(run)
+
+    def _due(self, index: list, now: int) -> Iterator[np.ndarray]:
+        """The rows up to ``now`` in order, in pieces; they leave the state."""
+        runs, open_ = index[1], {}
+        while True:
+            for k, run in enumerate(runs):
+                if k not in open_ and run and run[0][2] <= now:
+                    open_[k] = self._chunk(run[0][0])
+            if not any(rows["at"][0] <= now for rows in open_.values()):
+                break
+            end = min(rows[-1].item() for rows in open_.values())  # later chunks of a run are behind its first one's end
+            taken = []
+            for k, rows in list(open_.items()):
+                at, row = rows["at"], rows["row"]
+                upto = (at < end[0]) | (at == end[0]) & ((row < end[1]) | (row == end[1]) & (rows["failed"] <= end[2]))
+                n = np.count_nonzero(upto & (at <= now))
+                taken.append(rows[:n])
+                open_[k] = rows[n:]
+                if n == len(rows):
+                    self.chunks.removeKey((runs[k].pop(0)[0],))
+                    del open_[k]
+            yield _sorted(taken)
+        for k, rows in open_.items():
+            if len(rows) < runs[k][0][1]:
+                self.chunks.updateValue((runs[k][0][0],), (rows.tobytes(),))
+                runs[k][0][1:] = [len(rows), int(rows["at"][0])]
+        index[1] = [run for run in runs if run]
+
+    def _keep(self, index: list) -> None:
+        if index[1]:
+            self.index.update((index[0], json.dumps(index[1])))
+            self.handle.registerTimer(min(run[0][2] for run in index[1]))
+        else:
+            self.index.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(r), bool(f)) for batch in rows for a, r, f in zip(batch["at"], batch["row"], batch["failed"], strict=True)]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(a for a, _, _ in new))
+        index, new = self._index(), []
+        for batch in rows:
+            some = np.empty(len(batch), dtype=ROW)
+            for c in ROW.names:
+                some[c] = batch[c].to_numpy()
+            new.append(some)
+            if sum(map(len, new)) >= RUN:
+                self._add(index, new)
+                new = []
+        if sum(map(len, new)):
+            self._add(index, new)
+        self._keep(index)
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in rows if r[0] <= now]
-        if due:
-            rest = rows[len(due) :]
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(rest[0][0])
-            else:
-                self.waiting.clear()
+        index = self._index()
         held = tuple(self.held.get()) if self.held.exists() else self.fresh
-        held, out = self.advance(held, due, now)
+        for piece in self._due(index, now):
+            for i in range(0, len(piece), CHUNK):
+                due = piece[i : i + CHUNK].tolist()
+                held, out = self.advance(held, due, due[-1][0])
+                if out:
+                    yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+        held, out = self.advance(held, [], now)
+        self._keep(index)
         self.held.update(held)
         if (timer := self.timer(held)) is not None:
             self.handle.registerTimer(max(timer, now + 1))
