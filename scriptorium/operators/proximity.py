@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.biblio import reference_surname
-from scriptorium.session import ship_code
+from scriptorium.session import cut, ship_code
 
 #: Most characters between a surname and its year.
 NEAR = 30
+#: References of a surname that meet a text at once.
+BLOCK = 1000
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
 _WORD = re.compile(r"\w+")
 MENTION = "array<struct<surname: string, year: int, gap: int>>"
@@ -66,20 +68,45 @@ def _named(references: DataFrame) -> DataFrame:
     return references.withColumn("surname", F.lower(reference_surname(F.trim("reference"))))
 
 
+def _merged_pairs(read: DataFrame, refs: DataFrame, key: list[str]) -> DataFrame:
+    """The pairs of references of which several have one ref_id: their flags are put together."""
+    yes, no = F.lit(True), F.lit(False)
+    near = read.select(*key, F.explode("mentions").alias("m")).select(*key, "m.surname", "m.year").join(refs, "surname")
+    by_name = near.select(*key, "ref_id", yes.alias("by_name"), F.coalesce(F.col("year") == F.col("own_year"), no).alias("by_year"), no.alias("by_number"))
+    numbered = read.select(*key, F.explode("numbers").alias("place")).join(refs.select("ref_id", "place"), "place")
+    by_number = numbered.select(*key, "ref_id", no.alias("by_name"), no.alias("by_year"), yes.alias("by_number"))
+    return by_name.unionByName(by_number).groupBy(*key, "ref_id").agg(*[F.max(c).alias(c) for c in ("by_name", "by_year", "by_number")])
+
+
 def cited_pairs(texts: DataFrame, references: DataFrame, key: list[str]) -> DataFrame:
     """key, ref_id, by_name, by_year, by_number of every text and reference that belong together in one of the ways.
 
     ``texts``: key columns and text; ``references``: ref_id, place (from 1), reference, year, for all texts alike.  by_name: the
     surname is near any year; by_year: near the reference's own; by_number: its place stands in brackets.
+
+    The pairs may be far more than the rows, so they are not shuffled: a text meets blocks of ``BLOCK`` references of a
+    surname, which are spread over the tasks, and each pair is made once with all its flags.
     """
     read = with_mentions(texts).select(*key, "mentions", "numbers")
-    refs = _named(references).select("ref_id", "place", "surname", F.col("year").cast("int").alias("own_year"))
-    near = read.select(*key, F.explode("mentions").alias("m")).select(*key, "m.surname", "m.year").join(refs.filter("surname is not null"), "surname")
-    yes, no = F.lit(True), F.lit(False)
-    by_name = near.select(*key, "ref_id", yes.alias("by_name"), F.coalesce(F.col("year") == F.col("own_year"), no).alias("by_year"), no.alias("by_number"))
-    numbered = read.select(*key, F.explode("numbers").alias("place")).join(refs.filter("surname is not null").select("ref_id", "place"), "place")
-    by_number = numbered.select(*key, "ref_id", no.alias("by_name"), no.alias("by_year"), yes.alias("by_number"))
-    return by_name.unionByName(by_number).groupBy(*key, "ref_id").agg(*[F.max(c).alias(c) for c in ("by_name", "by_year", "by_number")])
+    read = cut(read.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("mentions"))).alias("mentions"), F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers")), "mentions")
+    refs = _named(references).filter("surname is not null").select("ref_id", "place", "surname", F.col("year").cast("int").alias("own_year"))
+    one = cut(refs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("surname", "place", "own_year")).alias("r")), "cited_references")
+    once = one.filter("n = 1").select("ref_id", "r.*")
+
+    sizes = once.groupBy("surname").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    listed = once.join(sizes, "surname").withColumn("block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")))
+    listed = listed.groupBy("surname", "block").agg(F.collect_list(F.struct("ref_id", "place", "own_year")).alias("refs"))
+    near = read.select(*key, "numbers", F.explode("mentions").alias("m")).groupBy(*key, F.col("m.surname").alias("surname")).agg(F.first("numbers").alias("numbers"), F.collect_set("m.year").alias("years"))
+    near = near.join(sizes, "surname").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = near.join(listed.hint("shuffle_hash"), ["surname", "block"]).select(*key, "numbers", "years", F.explode("refs").alias("r"))
+    flag = lambda array, value: F.coalesce(F.array_contains(array, value), F.lit(False))
+    named = met.select(*key, "r.ref_id", F.lit(True).alias("by_name"), flag("years", F.col("r.own_year")).alias("by_year"), flag("numbers", F.col("r.place").cast("long")).alias("by_number"))
+
+    surnames = F.transform("mentions", lambda m: m["surname"])
+    numbered = read.select(*key, surnames.alias("surnames"), F.explode("numbers").alias("place")).join(once, "place").filter(~F.array_contains("surnames", F.col("surname")))
+    pairs = named.unionByName(numbered.select(*key, "ref_id", *[F.lit(c == "by_number").alias(c) for c in ("by_name", "by_year", "by_number")]))
+    again = one.filter("n > 1").select(F.col("ref_id").alias("again_id"))
+    return pairs if again.isEmpty() else pairs.unionByName(_merged_pairs(read, refs.join(again, F.col("ref_id").eqNullSafe(F.col("again_id")), "left_semi"), key))
 
 
 def split_references(texts: DataFrame, lists: DataFrame, key: list[str]) -> DataFrame:

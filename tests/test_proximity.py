@@ -55,3 +55,17 @@ def test_all_references_against_all_answers(spark, sf):
             if found[0] or found[2]:
                 want[a.conv_id, a.turn, r.ref_id] = found
     assert got == want and len(want) > 50
+
+
+def test_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "BLOCK", 3)
+    refs = [(i, i + 1, "Smith, J. (2020). One.", 2000 + i) for i in range(20)] + [(50, 30, "Brown, C. Two.", None), (50, 31, "Green, C. Two.", 2001), (51, 40, "no name", 2000), (None, 41, "Brown, C. Three.", 2002), (None, 42, "Brown, C. Four.", 2001)]
+    texts = [(1, "Smith 2003 and Smith (2004) [2] [30] [31]"), (1, "Smith (2005) [3]"), (2, "Brown 2001, Green 2001"), (None, "[1] [41]"), (3, None)]
+    made = proximity.cited_pairs(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(refs, "ref_id long, place int, reference string, year int"), ["k"])
+    got = {(r.k, r.ref_id): (r.by_name, r.by_year, r.by_number) for r in made.collect()}
+    want = {(1, i): (True, i in (3, 4, 5), i in (1, 2)) for i in range(20)}
+    want |= {(1, 50): (False, False, True), (2, 50): (True, True, False), (2, None): (True, True, False), (None, 0): (False, False, True), (None, None): (False, False, True)}
+    assert got == want and made.count() == len(want)
+    once = proximity.cited_pairs(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(refs[:20], "ref_id long, place int, reference string, year int"), ["k"])
+    plan = once._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(refs")[0]
+    assert "Aggregate" not in plan.split("Generate")[0]
